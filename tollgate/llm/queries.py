@@ -7,8 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import table
+from tollgate.llm.bpe import bpe_round_trip
+from tollgate.llm.common import table, table_path
 from tollgate.llm.decontaminate import find_benchmark
+from tollgate.llm.token_counts import count_tokens
+
+
+def vocabulary() -> str:
+    """The vocabulary file of the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(), table_path(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(documents: DataFrame) -> DataFrame:
+    coded = bpe_round_trip(documents.select("doc_id", "text"), vocabulary())
+    return coded.select("doc_id", F.col("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +47,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op5_bpe": op5_bpe,
     "op10_decontaminate": op10_decontaminate,
 }
 
