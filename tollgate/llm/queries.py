@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tollgate.llm.bpe import bpe_round_trip
 from tollgate.llm.common import table, table_path
 from tollgate.llm.decontaminate import find_benchmark
+from tollgate.llm.language import fit as fit_language
+from tollgate.llm.language import held_out, identify
 from tollgate.llm.token_counts import count_tokens
 
 
@@ -46,9 +48,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_model(documents: DataFrame):
+    """A model of the rows whose crc32(doc_id) is not 2 modulo 4."""
+    return fit_language(documents.filter(~held_out(F.col("doc_id"), 4, 2) & F.col("doc_id").isNotNull()), "text", "lang")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = identify(documents.select("doc_id", "text"), language_model(documents))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op5_bpe": op5_bpe,
+    "op8_language_id": op8_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
