@@ -12,6 +12,7 @@ from tollgate.llm.common import table, table_path
 from tollgate.llm.decontaminate import find_benchmark
 from tollgate.llm.language import fit as fit_language
 from tollgate.llm.language import held_out, identify
+from tollgate.llm.private import pseudonymised
 from tollgate.llm.token_counts import count_tokens
 
 
@@ -59,10 +60,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op5_bpe": op5_bpe,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 
