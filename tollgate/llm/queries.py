@@ -13,6 +13,7 @@ from tollgate.llm.decontaminate import find_benchmark
 from tollgate.llm.language import fit as fit_language
 from tollgate.llm.language import held_out, identify
 from tollgate.llm.private import pseudonymised
+from tollgate.llm.simhash import near_duplicates
 from tollgate.llm.token_counts import count_tokens
 
 
@@ -28,6 +29,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op5_bpe": op5_bpe,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
