@@ -12,6 +12,7 @@ from tollgate.llm.common import table, table_path
 from tollgate.llm.decontaminate import find_benchmark
 from tollgate.llm.language import fit as fit_language
 from tollgate.llm.language import held_out, identify
+from tollgate.llm.neighbours import nearest
 from tollgate.llm.private import pseudonymised
 from tollgate.llm.simhash import near_duplicates
 from tollgate.llm.token_counts import count_tokens
@@ -69,10 +70,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op5_bpe": op5_bpe,
+    "op6_neighbours": op6_neighbours,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
