@@ -14,6 +14,8 @@ from tollgate.llm.language import fit as fit_language
 from tollgate.llm.language import held_out, identify
 from tollgate.llm.neighbours import nearest
 from tollgate.llm.private import pseudonymised
+from tollgate.llm.quality import fit as fit_quality
+from tollgate.llm.quality import scored
 from tollgate.llm.simhash import near_duplicates
 from tollgate.llm.token_counts import count_tokens
 
@@ -74,11 +76,18 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = fit_quality(labels.filter(~held_out(F.col("doc_id"), 5, 0)), documents)
+    return scored(documents, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op5_bpe": op5_bpe,
     "op6_neighbours": op6_neighbours,
+    "op7_quality": op7_quality,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
