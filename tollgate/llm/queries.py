@@ -18,6 +18,7 @@ from tollgate.llm.quality import fit as fit_quality
 from tollgate.llm.quality import scored
 from tollgate.llm.simhash import near_duplicates
 from tollgate.llm.token_counts import count_tokens
+from tollgate.llm.wrappers import extracted
 
 
 def vocabulary() -> str:
@@ -82,9 +83,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(documents, model).select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extracted(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
     "op5_bpe": op5_bpe,
     "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
