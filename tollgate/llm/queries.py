@@ -12,6 +12,7 @@ from tollgate.llm.common import table, table_path
 from tollgate.llm.decontaminate import find_benchmark
 from tollgate.llm.language import fit as fit_language
 from tollgate.llm.language import held_out, identify
+from tollgate.llm.licences import CUE, scan_licences
 from tollgate.llm.neighbours import nearest
 from tollgate.llm.private import pseudonymised
 from tollgate.llm.quality import fit as fit_quality
@@ -88,10 +89,29 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(as_files(table(spark, sf_dir, "documents")))
+
+
+def as_files(documents: DataFrame) -> DataFrame:
+    """doc_id, path and text: documents as files of source/group/, a thousand ids to a group.
+
+    Texts of which a quarter of the words are in lines about licences are licence files: those of even ids of the
+    source, the others of the group.
+    """
+    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    about = F.array_join(F.filter(F.split("text", r"\n"), lambda s: s.rlike(CUE)), " ")
+    licence = F.coalesce(F.col("text").rlike(CUE) & (words(about) * 4 >= words(F.col("text"))), F.lit(False))
+    group = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    path = F.when(licence & (F.col("doc_id") % 2 == 0), F.concat(F.coalesce("source", F.lit("none")), F.lit("/LICENSE"))).when(licence, F.concat(group, F.lit("/LICENSE"))).otherwise(F.concat(group, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return documents.select("doc_id", path.alias("path"), "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_html": op3_html,
+    "op4_licences": op4_licences,
     "op5_bpe": op5_bpe,
     "op6_neighbours": op6_neighbours,
     "op7_quality": op7_quality,
