@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.contract import INPUT_CHARS, ISSUE, MESSAGE_CHARS, MONEY_DIGITS, MONEY_PLACES, PATH_CHARS, SKEW_MINUTES, Field, type_of
 from tollgate.functions.payload import as_text, canonical, elements, kind, let, members
@@ -116,8 +117,12 @@ def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Colu
 
 
 def typed(f: Field, value: Column) -> Column:
-    """The stored value of a valid scalar field."""
-    text = as_text(value)
+    """The stored value of a valid scalar field's variant."""
+    return typed_text(f, as_text(value), value.isNull())
+
+
+def typed_text(f: Field, text: Column, missing: Column) -> Column:
+    """The stored value of a valid scalar field, from its text."""
     if f.kind == "uuid":
         bare = F.regexp_replace(F.lower(text), "urn:uuid:|[^0-9a-f]", "")
         out = F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -130,7 +135,7 @@ def typed(f: Field, value: Column) -> Column:
     else:
         out = text
     if f.has_default and f.default is not None:
-        out = F.when(value.isNull(), F.lit(f.default).cast(type_of(f))).otherwise(out)
+        out = F.when(missing, F.lit(f.default).cast(type_of(f))).otherwise(out)
     return out
 
 
@@ -210,6 +215,71 @@ def _record(f: Field, element: bool) -> Callable[[Column], Column]:
     return lambda own: record_of(f.fields, own)
 
 
+def text_schema(fields: tuple[Field, ...]) -> T.StructType:
+    """The fields as from_json reads them for the short way: whole numbers as such, other scalars as text."""
+    kinds = {"record": lambda f: text_schema(f.fields), "records": lambda f: T.ArrayType(text_schema(f.fields)), "whole": lambda f: T.LongType()}
+    return T.StructType([T.StructField(f.name, kinds.get(f.kind, lambda _: T.StringType())(f)) for f in fields])
+
+
+def surely_good(f: Field, x: Column, as_of: Column) -> Column:
+    """Whether a field that was read by text_schema certainly breaks no rule; what is in doubt goes the long way."""
+    if f.kind == "record":
+        out = x.isNotNull() & all_good(f.fields, x, as_of)
+    elif f.kind == "records":
+        out = F.size(x).between(f.shortest, f.longest) & F.forall(x, lambda i: i.isNotNull() & all_good(f.fields, i, as_of))
+    elif f.kind == "uuid":
+        out = (F.length(x) == 36) & x.rlike(UUID)
+    elif f.kind == "choice":
+        out = x.isin(*f.choices)
+    elif f.kind == "money":
+        out = x.rlike(rf"^[0-9]{{1,{MONEY_DIGITS - MONEY_PLACES}}}(?:\.[0-9]{{1,{MONEY_PLACES}}})?\z")
+        out = out & x.rlike("[1-9]") if f.above == 0 else out & F.lit(f.above is None and f.at_least in (None, 0))
+    elif f.kind == "whole":
+        out = (x > (f.above if f.above is not None else -(2**63))) & (x <= (f.at_most if f.at_most is not None else 2**63 - 1))
+    elif f.kind == "moment":
+        out = x.rlike(MOMENT.replace("[Tt _]", "T") + ZONE) & (moment(x) <= as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"))
+    else:
+        out = F.length(x).between(f.shortest or 0, f.longest or 2**31 - 1)
+        out = out & x.rlike(f.pattern[:-1] + r"\z") if f.pattern else out
+    return F.coalesce(x.isNull() | out if f.has_default else out, F.lit(False))
+
+
+def all_good(fields: tuple[Field, ...], have: Column, as_of: Column) -> Column:
+    out = F.lit(True)
+    for f in fields:
+        out = out & surely_good(f, have.getField(f.name), as_of)
+    return out
+
+
+def text_record(fields: tuple[Field, ...], have: Column) -> Column:
+    """The typed struct of what text_schema has read."""
+    made = []
+    for f in fields:
+        x = have.getField(f.name)
+        if f.kind == "record":
+            out = text_record(f.fields, x)
+        elif f.kind == "records":
+            out = F.transform(x, _text_record(f))
+        else:
+            out = x if f.kind == "whole" else typed_text(f, x, x.isNull())
+        made.append(out.alias(f.name))
+    return F.struct(*made)
+
+
+def _text_record(f: Field) -> Callable[[Column], Column]:
+    return lambda x: text_record(f.fields, x)
+
+
+def same_form(raw: Column, have: Column) -> Column:
+    """Whether raw is what to_json makes of have, spaces after commas and colons aside, with or without a null campaign.
+
+    Then it is one JSON document with the contract's keys only, in their order, once each, and its text is text.
+    """
+    tight = F.replace(F.replace(F.replace(raw, F.lit('": '), F.lit('":')), F.lit(', "'), F.lit(',"')), F.lit(", {"), F.lit(",{"))
+    tight = F.when(tight.contains(',"campaign":null}'), F.regexp_replace(tight, r',"campaign":null(?=\}(?:,"contract_version"|\}))', "")).otherwise(tight)
+    return F.coalesce(tight == F.to_json(have), F.lit(False))
+
+
 def items_total(items: Column) -> Column:
     """The exact sum of price times quantity."""
     return F.aggregate(items, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x["price"] * x["quantity"].cast("decimal(10,0)")).cast("decimal(38,2)"))
