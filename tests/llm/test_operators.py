@@ -1,0 +1,351 @@
+"""Each operator on small tables with every odd case, against brute force, round trips or held-out accuracy."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tollgate.llm import language, licences, neighbours, private, quality, simhash, wrappers
+from tollgate.llm.bpe import Bpe, bpe_round_trip
+from tollgate.llm.decontaminate import decontaminated, find_benchmark
+from tollgate.llm.token_counts import count_tokens
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [None, "", " ", "a", "a\x1c b", "<|endoftext|> x<|endoftext|>", "don't  we'll\n\n \nx", "é" * 300, "x" * 20_000, "1½²Ⅷ _ \t\t y", "same text here", "same text here"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, score string, `a.b` string"
+
+
+def table(spark, texts, start=0):
+    """Documents with columns whose names clash with those of results."""
+    return spark.createDataFrame([(start + k, t, "en", "s", len(t or ""), "old", "old", "dots") for k, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    pieces = ["a", "b", "th", " ", " ", "\n", "\t", "é", "1", "²", "!", "'s", "\x1c", "\x85", "ß", "漢", "😀", "_", "<|endoftext|>", " the", " and"]
+    return ODD + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+
+
+def test_bpe_is_the_library(spark, texts):
+    library = Tokenizer.from_file(BYTE_BPE)
+    got = {r.doc_id: r for r in bpe_round_trip(table(spark, texts), BYTE_BPE).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(got[k].ids, "<u4").tolist() == want
+        assert (got[k].n_tokens, got[k].decoded) == (len(want), library.decode(want, skip_special_tokens=False))
+    assert got[0]["a.b"] == "dots" and got[0].score == "old"
+    assert bpe_round_trip(table(spark, []), BYTE_BPE).count() == 0
+
+
+def test_bpe_of_every_letter():
+    library, own = Tokenizer.from_file(BYTE_BPE), Bpe(open(BYTE_BPE).read())
+    texts = [f"a{chr(c)}1{chr(c)} {chr(c)}. {chr(c)}" for c in range(0, 0x30000, 3) if not 0xD800 <= c < 0xE000]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids
+
+
+def test_bpe_refuses_other_kinds():
+    with pytest.raises((ValueError, KeyError, TypeError)):
+        Bpe(open(public_tokenizers.path("word_bpe_49k.json")).read())
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_and_cache(spark, texts, tmp_path, name):
+    path, cache = public_tokenizers.path(name), f"file://{tmp_path}/cache"
+    got = count_tokens(table(spark, texts), path, cache)
+    if name.endswith(".model"):
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [len(library.encode(t or "")) for t in texts]
+    else:
+        library = Tokenizer.from_file(path)
+        want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == want
+    assert [r.n_bytes for r in got.orderBy("doc_id").collect()] == [len((t or "").encode()) for t in texts]
+    stored = spark.read.parquet(f"{cache}/*").count()
+    assert stored == len({t or "" for t in texts})
+    again = count_tokens(table(spark, [*texts, "a new text"]), path, cache)
+    assert again.count() == len(texts) + 1
+    assert spark.read.parquet(f"{cache}/*").count() == stored + 1
+    assert count_tokens(table(spark, []), path, f"file://{tmp_path}/none").count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    words = re.findall(rb"[^\x20\x09-\x0D]+", low)
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else []
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_fingerprints(spark):
+    texts = [*ODD, "A b C d", "a b c d", "one two", "One  Two", "Ünder ünder ÜNDER x y z"]
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert got == {k: f"{brute_fingerprint(t):016x}" for k, t in enumerate(texts)}
+    spark_hash = spark.createDataFrame([("a b c",)], "s string").select(F.xxhash64("s")).first()[0]
+    assert simhash.fingerprint("a b c") == spark_hash % 2**64
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_links_against_all_pairs(spark, block):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
+    for f in fps[:20]:
+        chain = f
+        for _ in range(8):  # chains, and links of just three and four bits
+            for b in rng.sample(range(64), rng.choice([1, 2, 3, 3, 4])):
+                chain ^= 1 << b
+            fps.append(chain)
+    hot = rng.getrandbits(64)
+    fps += [hot ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2]))) for _ in range(150)]
+    fps = sorted(set(fps))
+    rows = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    labels = {r.v: r.root for r in simhash.components(simhash.links(rows, block)).collect()}
+    want = brute_components(fps)
+    groups = {}
+    for f, w in zip(fps, want, strict=True):
+        groups.setdefault(w, set()).add(labels.get(simhash.signed(f), simhash.signed(f)))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_near_dedup_keeps_one(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    rows = table(spark, [base, base, base + " tail", "something else", None, ""], 10).unionByName(table(spark, [base], 10))
+    rows = rows.unionByName(spark.createDataFrame([(None, "lost", "en", "s", 4, "old", "old", "dots")] * 2, DOCS))
+    assert sorted((r.doc_id is None, r.doc_id) for r in simhash.near_deduplicated(rows).select("doc_id").collect()) == [(False, 10), (False, 13), (False, 14), (True, None)]
+    assert simhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def brute_hits(texts, items, n=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for t in texts:
+        own, hit, found = words(t), set(), set()
+        for item, text in items:
+            w = words(text)
+            for win in [w[i : i + n] for i in range(max(1, len(w) - n + 1))] if w else []:
+                for i in range(len(own) - len(win) + 1):
+                    if own[i : i + len(win)] == win:
+                        hit |= set(range(i, i + len(win)))
+                        found.add(str(item))
+        out.append((len(own), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 200])
+def test_decontamination(spark, most_bytes):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["the", "of", "über", "x1", "and", "漢字"])
+    line = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, line(rng.choice([0, 1, 3, 9, 10, 11, 30]))) for k in range(25)] + [(100, None), (101, ""), (3, "Short, one!"), (3, "the of"), (103, "A. nice; QUESTION about über-things that are ten words long")]
+    texts = [None, "", "...", "short ONE", line(3000)]
+    for _ in range(120):
+        item = rng.choice(items)[1] or "x"
+        texts.append(f"{line(rng.randint(0, 30))}, {item.upper() if item.isascii() else item.replace(' ', ' -- ')}. {line(rng.randint(0, 9))}")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_benchmark(table(spark, texts), bench, most_bytes=most_bytes).orderBy("doc_id").collect()
+    assert [(r.n_words, len(r.hit_words), r.item_ids) for r in got] == brute_hits(texts, items)
+    for r in got:
+        for at in r.hit_words[:50]:
+            assert re.fullmatch(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id][at.start : at.end].lower())
+    clean = decontaminated(table(spark, texts), bench)
+    assert clean.columns == table(spark, []).columns
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if not r.hit_words}
+    assert find_benchmark(table(spark, texts[:3]), bench.limit(0)).filter("size(item_ids) > 0").count() == 0
+    assert find_benchmark(table(spark, []), bench).count() == 0
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    cards = ["4539 1488 0343 6467", "4539148803436467"]
+    texts = [
+        None, "", "plain, 12 345 and 2024-13-45", "card 4539148803436468 fails", f"a {cards[0]} b", f"{cards[1]}.", "+1 (487) 555-7209 and 487-555-7209",
+        "mail un.92@mail6.example.com!", "97.51.17.173. End 300.1.1.1", "on 2024-02-29, 29.02.2024 and 12/31/1999", "DE89 3704 0044 0532 0130 00",
+        "DE88 3704 0044 0532 0130 00", "123-45-6789 000-45-6789", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "x" * 50_000 + " 97.51.17.173",
+    ]
+    rows = table(spark, texts).withColumn("n_private", F.lit("old"))
+    out = private.pseudonymised(rows)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns.count("n_private") == 1
+    for k in (0, 1, 2, 3, 11):
+        assert got[k].text == texts[k] and got[k].n_private == 0
+    one, two = re.sub(r"\D", "", got[4].text), re.sub(r"\D", "", got[5].text)
+    assert one == two != cards[1] and luhn(one) and re.fullmatch(r"a \d{4} \d{4} \d{4} \d{4} b", got[4].text)
+    first, second = re.fullmatch(r"\+1 \((\d{3})\) (\d{3}-\d{4}) and (.*)", got[6].text).groups()[:2], got[6].text[-12:]
+    assert f"{first[0]}-{first[1]}" == second != "487-555-7209"
+    assert re.fullmatch(r"mail [a-z]{2}\.\d\d@mail6\.example\.com!", got[7].text) and "un.92" not in got[7].text
+    assert re.fullmatch(r"\d+\.\d+\.\d+\.\d+\. End 300\.1\.1\.1", got[8].text) and got[14].text.endswith(got[8].text.split(". End")[0])
+    iso, dots, _ = re.fullmatch(r"on (\S+), (\S+) and (\S+)", got[9].text).groups()
+    assert iso.split("-") == list(reversed(dots.split("."))) and iso != "2024-02-29"
+    iban = re.sub(" ", "", got[10].text)
+    assert iban != "DE89370400440532013000" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[12].text.endswith("000-45-6789") and not got[12].text.startswith("123-45-6789")
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[13].text) and got[13].text != texts[13]
+    assert private.pseudonymised(rows.limit(0)).count() == 0
+
+
+def test_permutation_has_no_fixed_point_and_no_clash(spark):
+    rows = spark.range(676).select((F.col("id") % 26).cast("int").alias("a"), F.floor(F.col("id") / 26).cast("int").alias("b"))
+    new = rows.select("a", "b", private.permuted(F.array("a", "b"), F.array(F.lit(26), F.lit(26)), F.lit("k")).alias("n"))
+    got = [(r.a, r.b, tuple(r.n)) for r in new.collect()]
+    assert len({n for _, _, n in got}) == 676 and all((a, b) != n for a, b, n in got)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
+    x[700:760] = x[700]
+    rows = [(k, [float(v) for v in x[k]]) for k in range(len(x))]
+    odd = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [float("inf")] + [1.0] * 15), (5080, [1.0]), (5100, [None] + [1.0] * 15), (None, [1.0] * 16)]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<double>, rank int")
+    got = {}
+    for r in neighbours.nearest(frame, F.col("id") % 20 == 0, block=400, batch=30).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 1500, 20))
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
+        assert [(v, s) for _, v, s in found] == sorted([(v, s) for _, v, s in found], key=lambda y: (-y[1], y[0]))
+        assert all(abs(s - float(x[v] @ x[q])) < 1e-9 for _, v, s in found)
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = sorted(range(len(x)), key=lambda k: (-round(score[k], 9), k))[:20]
+        hits += len(set(best) & {v for _, v, _ in found})
+    assert hits >= 0.9 * 20 * len(got)
+    few = neighbours.nearest(frame.filter("vec_id < 5"), F.col("id") % 20 == 0).collect()
+    assert len(few) == 4
+    assert neighbours.nearest(frame.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_language_id(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(rows.filter(~out), "text", "lang", per_language=200)
+    scored = language.identify(rows.select("doc_id", "text", "lang", F.lit("x").alias("score")), model)
+    held = scored.filter(out)
+    assert held.filter("lang_pred = lang").count() >= 0.97 * held.count()
+    assert scored.filter("score < 0 or score > 1").count() == 0
+    odd = {r.doc_id: r for r in language.identify(table(spark, [*ODD[:3], "12 !!", "Ça" * 600_000]), model).collect()}
+    assert all((odd[k].lang_pred, odd[k].score, odd[k].rejected) == ("und", 0.0, True) for k in range(4))
+    assert odd[4].lang_pred == "fr"
+    kept = language.understood(rows, model)
+    assert kept.columns == rows.columns and kept.count() >= 0.99 * rows.count()
+    assert language.understood(table(spark, ODD), model).filter("text is null or trim(text) = ''").count() == 0
+    none = language.fit(rows.limit(0), "text", "lang")
+    assert language.identify(table(spark, ["the text"]), none).first().lang_pred == "und"
+
+
+def test_quality(spark):
+    rows, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = language.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(labels.filter(~out), rows)
+    held = quality.scored(rows, model).join(labels, "doc_id").filter(out)
+    right = held.filter((F.col("score") >= 0.3).cast("int") == F.col("quality")).count()
+    assert right >= 0.9 * held.count()
+    odd = quality.scored(table(spark, ODD), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    assert quality.fit(labels.limit(0), rows).score("x") == 0.5
+    assert quality.fit(labels.filter("quality = 1"), rows).score("x") == 1.0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><script>var t="</p><article>no</article>";</script><style>p{{}}</style></head><body>
+<header class="site">Site name</header><nav><ul><li><a>Home{n}</a><li><a>More</a></ul></nav><div class="cookie-notice">We use cookies</div>
+{body}<aside>Side {n}</aside><form><input value="x">Search</form><footer>&copy; {n}</footer></body></html>"""
+
+
+def article(n):
+    return f"<article><header><h1>Head {n} &amp; more</h1></header><p>First <b>bold {n}<br>line<p>Second\n  text&nbsp;{n}</p><ul><li>one<li>two</ul><div class='ad'>Buy {n}</div><section id='comments'><p>Nice {n}</p></section></article>"
+
+
+def content(n):
+    return f"<div id='wrap'><div class='c1'><p>Long paragraph number {n} with much text to read and think about.</p><p>Another one {n * 7} with as much text again, or more.</p></div><div class='c2'>x</div></div>"
+
+
+def test_main_text(spark):
+    pages = [(k, "http://a.example/x", PAGE.format(n=k, body=article(k))) for k in range(6)]
+    pages += [(10 + k, "https://b.example:80/y?z", PAGE.format(n=k, body=content(k))) for k in range(6)]
+    pages += [(20, "http://c.example/", None), (21, "http://c.example/", ""), (22, None, "just text &lt;here&gt;"), (23, "http://d.example", "<p>cut <article><p>end &am"), (24, "http://d.example", "<div>" * 3000 + "deep"), (0, "http://a.example/x", PAGE.format(n=0, body=article(0)))]
+    rows = spark.createDataFrame([(i, u, h, "old") for i, u, h in pages], "page_id long, url string, html string, text string").repartition(3)
+    for most in (1 << 20, 0):
+        got = {r.page_id: r.text for r in wrappers.extracted(rows, most_bytes=most).collect()}
+        for k in range(6):
+            assert got[k] == f"Head {k} & more\n\nFirst bold {k} line\n\nSecond text {k}\n\none\n\ntwo"
+            assert got[10 + k].startswith(f"Long paragraph number {k} with") and "cookies" not in got[10 + k] and "Side" not in got[10 + k]
+        assert (got[20], got[21], got[22], got[23]) == ("", "", "just text <here>", "end &am")
+        assert "deep" in got[24]
+    assert wrappers.extracted(rows.limit(0)).count() == 0
+
+
+def test_wrapper_inference():
+    a, b = wrappers.tree("<div><h2>A</h2><p>x</p><h2>B</h2><p>y</p></div>"), wrappers.tree("<div><h2>A</h2><p>x</p></div><p>more</p>")
+    both = wrappers.merged(a, b)
+    assert wrappers.expression(a) == "<div>(<h2>#text</> <p>#text</>)+</>"
+    assert "?" in wrappers.expression(both) and "#text" in wrappers.expression(both)
+
+
+def test_licences(spark):
+    files = [
+        ("r/LICENSE", "MIT License\n\nReleased under the MIT License."), ("r/a.py", "# code"), ("r/sub/b.py", "# LICENSED under the Apache License,\n# Licensed under the Apache License, Version 2.0.\ncode"),
+        ("r/sub/deep/c.py", "x"), ("r/sub/deep/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("q/d.py", None), (None, "All rights reserved."), (None, ""),
+        ("top.py", "Licensed%%% under&&& CC*** BY-NC### 4.0.$$$"), ("r/e.py", "the word licence in a long sentence about nothing that any template has to say"), ("r/a.py", "# code"),
+    ]
+    rows = spark.createDataFrame([(k, p, t, "old") for k, (p, t) in enumerate(files)], "id int, path string, text string, origin string")
+    got = {r.id: (r.licence, r.origin, r.licence_path) for r in licences.scan_licences(rows).collect()}
+    assert got == {
+        0: ("MIT", "file", "r/LICENSE"), 1: ("MIT", "inherited", "r"), 2: ("Apache-2.0", "header", "r/sub/b.py"), 3: ("GPL-3.0", "inherited", "r/sub/deep"),
+        4: ("GPL-3.0", "file", "r/sub/deep/COPYING"), 5: (None, "none", None), 6: ("Proprietary", "header", None), 7: (None, "none", None),
+        8: ("CC-BY-NC-4.0", "header", "top.py"), 9: ("MIT", "inherited", "r"), 10: ("MIT", "inherited", "r"),
+    }
+    assert licences.scan_licences(rows.limit(0)).count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    model = corpus_pipeline.language_model(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = [d for d in docs if not model.predict(d.text)[2]]
+    roots = brute_components([brute_fingerprint(d.text) for d in docs])
+    docs = [d for k, d in enumerate(docs) if roots[k] == k]
+    docs = [d for d, hit in zip(docs, brute_hits([d.text for d in docs], bench), strict=True) if not hit[1]]
+    assert set(rows) == {d.doc_id for d in docs}
+    library = Tokenizer.from_file(BYTE_BPE)
+    plain = [d for d in docs if not re.search(r"[0-9@]", d.text)]
+    assert plain
+    for d in plain:
+        ids = np.array(library.encode(d.text, add_special_tokens=False).ids, "<u4")
+        assert rows[d.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()

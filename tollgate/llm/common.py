@@ -68,22 +68,21 @@ def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make:
     make gets a list of texts (None where null) and returns one list for each field.
     """
     names = {f.name.lower() for f in fields}
-    keep = [c for c in df.columns if c.lower() not in names]
-    source = free_name(df, "text_in")
-    out = T.StructType([f for f in df.schema.fields if f.name in keep] + fields)
-    new = pa.schema([(f.name, arrow_type(f.dataType)) for f in fields])
+    keep = [f for f in df.schema.fields if f.name.lower() not in names]
+    # Plain names while Python has the rows: names with dots or those that differ by case don't pass.
+    out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
+    new = pa.schema([(f"n{i}", arrow_type(f.dataType)) for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, source):
-                made = make(part.column(source).to_pylist())
-                columns = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != source]
-                heads = [f for f in part.schema if f.name != source]
-                columns += [pa.array(v, t.type) for v, t in zip(made, new, strict=True)]
+            for part in slices(batch, "text_in"):
+                made = make(part.column("text_in").to_pylist())
+                heads = [f for f in part.schema if f.name != "text_in"]
+                columns = [part.column(f.name) for f in heads] + [pa.array(v, t.type) for v, t in zip(made, new, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(heads + list(new)))
 
-    picked = [F.col(quoted(c)) for c in keep] + [F.col(quoted(text_col)).alias(source)]
-    return df.select(*picked).mapInArrow(run, out)
+    rows = df.select(*[F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(keep)], F.col(quoted(text_col)).alias("text_in"))
+    return rows.mapInArrow(run, out).select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(keep)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(fields)])
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -100,13 +100,14 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, text_col: str = "
     fields = [("n_words", T.LongType()), ("hit_words", SPANS), ("item_ids", T.ArrayType(T.StringType(), False))]
     names = {n for n, _ in fields}
     keep = [c for c in documents.columns if c.lower() not in names]
-    source, state = free_name(documents, "text_in"), T.StructType([T.StructField(n, t) for n, t in fields])
-    out = documents.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias(source), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("item_ids"))
+    source, state = "text_in", T.StructType([T.StructField(n, t) for n, t in fields])
+    inner = [f"c{i}" for i in range(len(keep))]  # plain names while Python has the rows
+    out = documents.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, inner, strict=True)], F.col(quoted(text_col)).alias(source), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("item_ids"))
     for shard in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == shard)
         bundle = spark.sparkContext.broadcast([(r.item, r.words) for r in part.collect()])
-        out = out.mapInArrow(_scanner(bundle, f"{spark.sparkContext.applicationId}-{next(_ids)}", source, state, window, shards > 1), T.StructType(out.select(*[quoted(c) for c in keep], quoted(source)).schema.fields + state.fields))
-    return out.drop(source)
+        out = out.mapInArrow(_scanner(bundle, f"{spark.sparkContext.applicationId}-{next(_ids)}", source, state, window, shards > 1), T.StructType(out.select(*inner, source).schema.fields + state.fields))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, inner, strict=True)], *[n for n, _ in fields])
 
 
 def _scanner(bundle, key: str, source: str, state: T.StructType, window: int, more: bool):

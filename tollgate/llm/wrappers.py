@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import free_name, quoted, slices, stored
+from tollgate.llm.common import quoted, slices, stored
 
 WIDE, DEEP, HOSTS = 64, 64, 2000
 MOST_BYTES = 8 << 20
@@ -372,15 +372,16 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
     found = stored(infer_wrappers(pages, url_col, html_col).select("host", "rules"), "rules")
     size = found.agg(F.coalesce(F.sum(F.length("host") + F.length("rules")), F.lit(0))).first()[0]
     keep = [c for c in pages.columns if c.lower() != text_col.lower()]
-    host, source, own = free_name(pages, "host_in"), free_name(pages, "html_in"), free_name(pages, "rules_in")
-    rows = pages.select(*[F.col(quoted(c)) for c in keep], host_of(F.col(quoted(url_col))).alias(host), F.col(quoted(html_col)).alias(source))
+    host, source, own = "host_in", "html_in", "rules_in"
+    inner = [f"c{i}" for i in range(len(keep))]  # plain names while Python has the rows
+    rows = pages.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, inner, strict=True)], host_of(F.col(quoted(url_col))).alias(host), F.col(quoted(html_col)).alias(source))
     small = size <= most_bytes
     told = spark.sparkContext.broadcast({r.host: json.loads(r.rules) for r in found.collect()} if small else {})
     if small:
         rows = rows.withColumn(own, F.lit(None).cast("string"))
     else:
         rows = rows.join(found.withColumnsRenamed({"host": f"{host}_2", "rules": own}), F.col(host) == F.col(f"{host}_2"), "left").drop(f"{host}_2")
-    out = T.StructType([f for f in rows.schema.fields if f.name in keep] + [T.StructField(text_col, T.StringType())])
+    out = T.StructType([f for f in rows.schema.fields if f.name in inner] + [T.StructField("text_out", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,7 +389,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
                 made = []
                 for name, page, rule in zip(part.column(host).to_pylist(), part.column(source).to_pylist(), part.column(own).to_pylist(), strict=True):
                     made.append(extract(page, json.loads(rule) if rule else told.value.get(name, [])))
-                heads = [f for f in part.schema if f.name in keep]
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in heads] + [pa.array(made, pa.string())], schema=pa.schema([*heads, pa.field(text_col, pa.string())]))
+                heads = [f for f in part.schema if f.name in inner]
+                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in heads] + [pa.array(made, pa.string())], schema=pa.schema([*heads, pa.field("text_out", pa.string())]))
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, out).select(*[F.col(n).alias(c) for c, n in zip(keep, inner, strict=True)], F.col("text_out").alias(text_col))
