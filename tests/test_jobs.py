@@ -40,10 +40,10 @@ def test_generator(spark):
     one, two = (generate(spark, config).repartition(n).orderBy("index").collect() for n in (1, 7))
     assert one == two
     assert one[0].fault is None
-    ids = {json.loads(r.line).get("transaction_id"): r.index for r in one if r.fault is None}
+    ids = {json.loads(r.line).get("transaction_id"): r["index"] for r in one if r.fault is None}
     for r in one:
         if r.fault == "duplicate_transaction":
-            assert ids[json.loads(r.line)["transaction_id"]] < r.index
+            assert ids[json.loads(r.line)["transaction_id"]] < r["index"]
     assert {reason for reason, _ in FAULTS.values()} | {"malformed_payload", "out_of_range", "schema_violation"} == set(REASONS)
 
 

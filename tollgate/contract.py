@@ -159,6 +159,12 @@ QUARANTINE = T.StructType(
 PATH_CHARS, MESSAGE_CHARS, INPUT_CHARS = 200, 1000, 1000
 
 
+def columns(ddl: str) -> T.StructType:
+    """Nullable columns from "name type, ..." of simple types and maps from text; needs no session."""
+    simple = {"string": T.StringType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "int": T.IntegerType(), "bigint": T.LongType(), "counts": T.MapType(T.StringType(), T.LongType()), "texts": T.MapType(T.StringType(), T.StringType())}
+    return T.StructType([T.StructField(name, simple[kind]) for name, kind in (c.split() for c in ddl.split(","))])
+
+
 @dataclass(frozen=True)
 class Settings:
     """What a consumer service is told by its environment."""
