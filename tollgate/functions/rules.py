@@ -228,7 +228,7 @@ def surely_good(f: Field, x: Column, as_of: Column) -> Column:
     elif f.kind == "records":
         out = F.size(x).between(f.shortest, f.longest) & F.forall(x, lambda i: i.isNotNull() & all_good(f.fields, i, as_of))
     elif f.kind == "uuid":
-        out = (F.length(x) == 36) & x.rlike(UUID)
+        out = x.rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z")
     elif f.kind == "choice":
         out = x.isin(*f.choices)
     elif f.kind == "money":
@@ -237,7 +237,7 @@ def surely_good(f: Field, x: Column, as_of: Column) -> Column:
     elif f.kind == "whole":
         out = (x > (f.above if f.above is not None else -(2**63))) & (x <= (f.at_most if f.at_most is not None else 2**63 - 1))
     elif f.kind == "moment":
-        out = x.rlike(MOMENT.replace("[Tt _]", "T") + ZONE) & (moment(x) <= as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"))
+        out = x.rlike(MOMENT.replace("[Tt _]", "T") + ZONE) & (F.try_to_timestamp(x) <= as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"))
     else:
         out = F.length(x).between(f.shortest or 0, f.longest or 2**31 - 1)
         out = out & x.rlike(f.pattern[:-1] + r"\z") if f.pattern else out
@@ -261,7 +261,8 @@ def text_record(fields: tuple[Field, ...], have: Column) -> Column:
         elif f.kind == "records":
             out = F.transform(x, _text_record(f))
         else:
-            out = x if f.kind == "whole" else typed_text(f, x, x.isNull())
+            plain = {"whole": lambda x: x, "uuid": F.lower, "moment": F.try_to_timestamp}.get(f.kind)  # as surely_good has it
+            out = plain(x) if plain else typed_text(f, x, x.isNull())
         made.append(out.alias(f.name))
     return F.struct(*made)
 
