@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, per_language: int = P
 
     languages = sorted(sizes)
     number = {x: k for k, x in enumerate(languages)}
-    found = [(number[r.lang], np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32)) for r in picked.mapInArrow(count, "lang string, ids binary, counts binary").toLocalIterator() if r.ids]
+    found = [(number[r.lang], np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32)) for r in picked.mapInArrow(count, "lang string, ids binary, counts binary").repartition(8).toLocalIterator() if r.ids]
     found = sorted(found, key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(found))

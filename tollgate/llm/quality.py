@@ -6,7 +6,7 @@ these has a sparse random index vector; its word vector is the sum of the index
 sample, at length one, plus its own. A document is the mean of its words' vectors with a few statistics of the words;
 a network with one hidden layer gives the score, and a temperature fitted on a tenth of the sample calibrates it.
 
-The sample is bounded: `rows` labelled rows at most, give or take what hashing does, of texts up to `longest` bytes.
+The sample is bounded: about `rows` labelled rows, and of them, in the order of a hash, those that make up `most_bytes`.
 Scores are computed from whole texts.
 
 Cases: null and empty texts are scored by the network as a text without words; null labels aren't learned from; rows
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tollgate.llm.common import add_columns, quoted
 
 ROWS = 5000
-LONGEST = 1 << 20
+MOST_BYTES = 64 << 20
 VOCABULARY, SHAPES = 8192, 512
 DIM, FILLED, AROUND = 96, 6, 2
 HIDDEN, EPOCHS = 32, 40
@@ -118,14 +118,20 @@ def word_vectors(texts: list[str], rng: np.random.Generator) -> tuple[list[str],
     return known, around / np.maximum(np.sqrt((around**2).sum(1, keepdims=True)), 1e-9) + own / np.sqrt(FILLED)
 
 
-def fit(labelled: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS, longest: int = LONGEST, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS, most_bytes: int = MOST_BYTES, seed: int = 7) -> Model:
     """A model of a bounded sample of labelled (ids and 0/1 labels), with the texts that documents has for the ids."""
     spark = documents.sparkSession
     labels = labelled.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     share = rows / max(1, labels.count())
     picked = labels.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(1 << 30) < share).orderBy(F.xxhash64("id")).limit(2 * rows).collect()  # at most 2 * rows small rows
     picked = spark.createDataFrame([(r.id, r.label) for r in picked], labels.schema)
-    texts = documents.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter(F.octet_length("text") <= longest)
+    texts = documents.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter("text is not null")
+    total, kept = 0, []
+    for r in sorted(texts.join(F.broadcast(picked), "id").select("id", "label", F.octet_length("text").alias("n")).collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.n, r.label)):
+        total += r.n
+        if total <= most_bytes:
+            kept.append((r.id, r.label))
+    picked = spark.createDataFrame(sorted(set(kept)), labels.schema)
     found = sorted((r.text, r.label) for r in texts.join(F.broadcast(picked), "id").select("text", "label").collect())
     y = np.array([label for _, label in found], float)
     if not len(y) or y.min() == y.max():
