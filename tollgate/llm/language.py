@@ -31,7 +31,7 @@ BUCKETS = 1 << 15
 DIM = 16
 PER_LANGUAGE = 800
 EPOCHS = 6
-REJECT_MOST = 0.5
+REJECT_MOST = 0.4
 UNKNOWN = "und"
 PART = 1 << 20
 
