@@ -123,7 +123,7 @@ class Bpe:
         """The ids of a stretch of text, as little-endian unsigned 32-bit integers."""
         if text[1:].isalpha() and text[0] == " ":
             return self.word(text)
-        return b"".join([self.by_word[w] for w in self.split.findall(text)])
+        return b"".join([self.by_piece[w[1:]] if w[0] == " " and w[1:].isalpha() else self.by_word[w] for w in self.split.findall(text)])
 
     def plain(self, text: str) -> bytes:
         """The ids of text without special tokens.
