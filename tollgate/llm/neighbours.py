@@ -31,7 +31,7 @@ from tollgate.llm.common import quoted
 PIVOTS = 256
 SAMPLE = 4096
 LISTED = 40
-SHARE = 0.2
+SHARE = 0.3
 BLOCK = 8192
 BATCH = 4096
 K = 20
