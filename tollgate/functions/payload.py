@@ -70,6 +70,11 @@ def transaction_id(raw: Column) -> Column:
     return F.when(kind(value) == "STRING", as_text(value))
 
 
+def utc_text(moment: Column, pattern: str) -> Column:
+    """A timestamp as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(None, F.lit("UTC"), moment.cast("timestamp_ntz")), pattern)
+
+
 def canonical(event: Column) -> Column:
     """An event as compact JSON: fields in the contract's order, amounts with two places as text, times in UTC."""
     amount = lambda c: c.cast("string")
@@ -84,7 +89,7 @@ def canonical(event: Column) -> Column:
         elif n == "items":
             c = F.transform(c, item)
         elif n == "event_timestamp":
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+            c = utc_text(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         made.append(c.alias(n))
     return F.to_json(F.struct(*made), {"ignoreNullFields": "false"})
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.contract import CURRENCIES, PURCHASE, VERSION
+from tollgate.functions.payload import utc_text
 
 #: Kind of fault, the reason that a record with it must get, and what is done.
 FAULTS: dict[str, tuple[str, str]] = {
@@ -90,7 +91,7 @@ def valid_events(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
     uuid = F.concat_ws("-", hexes.substr(1, 8), hexes.substr(9, 4), F.concat(F.lit("4"), hexes.substr(14, 3)), F.concat(F.lit("a"), hexes.substr(18, 3)), hexes.substr(21, 12))
     at = draw(config, "traffic", len(TRAFFIC))
     age = draw(config, "age", 7 * 24 * 3600 - 60) + 60
-    when = F.date_format(F.timestamp_seconds(F.lit(int(config.reference_time.timestamp())) - age), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = utc_text(F.timestamp_seconds(F.lit(int(config.reference_time.timestamp())) - age), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     event = F.struct(
         uuid.alias("event_id"),
         F.format_string("T-%d-%06d", F.lit(config.reference_time.year), F.col("index") + 1).alias("transaction_id"),
@@ -133,7 +134,7 @@ def generate(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
     amounts, counts = of(["0.00", "-1.00", "-19.99"], draw(config, "bad price", 3)), of([0, -1, -3], draw(config, "bad quantity", 3)).cast("long")
     on_price = draw(config, "price or quantity", 2) == 0
     items = F.transform("event.items", lambda x, i: F.struct(x["item_id"].alias("item_id"), x["item_name"].alias("item_name"), F.coalesce(change(F.when((i == bad) & on_price, amounts)), x["price"]).alias("price"), F.coalesce(change(F.when((i == bad) & ~on_price, counts)), x["quantity"]).alias("quantity")))
-    ahead = F.date_format(F.timestamp_seconds(F.lit(int(config.reference_time.timestamp())) + 3600 * (draw(config, "ahead", 14) + 1)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ahead = utc_text(F.timestamp_seconds(F.lit(int(config.reference_time.timestamp())) + 3600 * (draw(config, "ahead", 14) + 1)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     wrong = (event["value"].cast("decimal(12,2)") + money(of(["0.01", "1.00", "10.00"], draw(config, "wrong", 3)))).cast("decimal(12,2)").cast("string")
     new = {
         "transaction_id": F.when(fault == "duplicate_transaction", F.col("earlier")).otherwise(event["transaction_id"]),

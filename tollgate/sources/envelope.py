@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.functions.payload import utc_text
+
 MESSAGE = "data string, messageId string, message_id string, publishTime string, publish_time string, attributes map<string,string>"
 ENVELOPE = f"subscription string, message struct<{', '.join(f.replace(' ', ':', 1) for f in MESSAGE.split(', '))}>, deliveryAttempt int, delivery_attempt int"
 
@@ -39,5 +41,5 @@ def read_envelopes(rows: DataFrame, value_col: str = "value") -> DataFrame:
 
 def to_envelope(body: Column, message_id: Column, published: Column, attributes: Column, subscription: str = "events") -> Column:
     """An envelope as JSON text."""
-    message = F.struct(F.base64(body).alias("data"), message_id.alias("messageId"), F.date_format(published, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishTime"), attributes.alias("attributes"))
+    message = F.struct(F.base64(body).alias("data"), message_id.alias("messageId"), utc_text(published, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishTime"), attributes.alias("attributes"))
     return F.to_json(F.struct(F.lit(subscription).alias("subscription"), message.alias("message")))
