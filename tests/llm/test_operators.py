@@ -142,6 +142,35 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def shingle_set(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_like_texts_are_linked(spark, monkeypatch, block):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 120, 400]))]
+        for _ in range(4):  # chains and stars of changed words, similarity from about 0.6 to 1
+            new = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
+                new[rng.randrange(len(new))] = "other"
+            texts.append(" ".join(new))
+            words = rng.choice([words, new])
+    sets = [shingle_set(t) for t in texts]
+    like = [(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    fps = [brute_fingerprint(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 3 for i, j in like) > 10
+    root = brute_components(fps)
+    for i, j in like * 8:
+        root[i] = root[j] = root[root[i]] = root[root[j]] = min(root[i], root[j])
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    monkeypatch.setattr(simhash.likes, "__defaults__", (block,))
+    assert {r.doc_id for r in simhash.near_deduplicated(table(spark, texts)).collect()} == set(least.values())
+
+
 def brute_hits(texts, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     out = []

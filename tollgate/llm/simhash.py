@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import add_columns, discard, free_name, quoted, stored
+from tollgate.llm.common import add_columns, discard, quoted, stored
 
 WORDS = 3
 SEED = 42
@@ -37,6 +37,12 @@ DISTANCE = 3
 BLOCK = 2048
 RANGES = (10, 10, 10, 10, 12, 12)
 LOW = 0x5555555555555555
+#: The links of near_deduplicated: words of a shingle, the Jaccard similarity as a fraction, bands and rows of MinHash
+#: cells (a pair of similarity 0.8 shares none with a chance of 0.0002), members of a block of a large cell.
+SHINGLE, LIKE = 5, (4, 5)
+BANDS, ROWS = 16, 4
+LIKE_BLOCK = 512
+TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Hot cells are broadcast up to this many, each about 40 bytes.
 MOST_CELLS = 100_000
 
@@ -52,16 +58,21 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of a text: each bit is set if over half of the shingles' hashes have it."""
+def shingled(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     starts = [0, *accumulate(len(p) + 1 for p in parts)][:-1]
     ends = [a + len(p) for a, p in zip(starts, parts, strict=True)]
     k = min(words, len(parts)) - 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[k:], strict=False)), np.uint64, len(parts) - k)
+    return np.fromiter((xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[k:], strict=False)), np.uint64, len(parts) - k)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of a text: each bit is set if over half of the shingles' hashes have it."""
+    hashes = shingled(text, words)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -183,15 +194,118 @@ def near_duplicates(documents: DataFrame, text_col: str = "text", id_col: str =
     return rows.join(ids, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias(fingerprint_col), F.col("component").alias(component_col))
 
 
+def banded(hashes: np.ndarray) -> list[int]:
+    """The cells of a set of shingles: a hash of each `ROWS` of its least values under `BANDS` * `ROWS` permutations."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * TIMES + PLUS).min(0))
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return [signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
+
+
+def _printed(texts: list) -> list[list]:
+    """Fingerprint, digest of the set of shingles and its cells; texts without words have none."""
+    out: list[list] = [[], [], []]
+    for t in texts:
+        kinds = np.unique(shingled(t, SHINGLE))
+        out[0].append(signed(fingerprint(t)))
+        out[1].append(signed(xxhash.xxh64_intdigest(kinds.astype("<u8").tobytes())))
+        out[2].append(banded(kinds) if len(kinds) else [])
+    return out
+
+
+def like_forest(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of sets with a Jaccard similarity of `LIKE` that connect those of one cell as all such links do."""
+    sizes = np.array([len(x) for x in sets])
+    kinds, held = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [held[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    mark = np.zeros(len(kinds), np.int64)
+    left, out = np.arange(1, len(sets)), []
+    queue, at = [0], 0
+    while len(left) or at < len(queue):
+        if at == len(queue):
+            queue.append(int(left[0]))
+            left = left[1:]
+        i = queue[at]
+        at += 1
+        top, below = LIKE
+        maybe = left[np.minimum(sizes[left], sizes[i]) * below >= np.maximum(sizes[left], sizes[i]) * top]
+        if not len(maybe):
+            continue
+        mark[own[i]] = 1
+        both = np.array([mark[own[k]].sum() for k in maybe])
+        mark[own[i]] = 0
+        near = maybe[both * below >= (sizes[maybe] + sizes[i] - both) * top]
+        if len(near):
+            out += [(int(fps[i]), int(fps[k])) for k in near if fps[i] != fps[k]]
+            queue += near.tolist()
+            left = left[~np.isin(left, near, assume_unique=True)]
+    return out
+
+
+def _likes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each run of equal (cell, pair); the rows come sorted by them."""
+    run: tuple | None = None
+    fps: list[int] = []
+    sets: list[np.ndarray] = []
+
+    def found() -> pa.RecordBatch:
+        pairs = np.array(like_forest(np.array(fps), sets) if len(fps) > 1 else [], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))] if len(pairs) else [pa.array([], pa.int64())] * 2, ["u", "v"])
+
+    for batch in batches:
+        kinds = batch.column(3)
+        for k, (cell, pair, fp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            if (cell, pair) != run:
+                if len(fps) > 1:
+                    yield found()
+                run, fps, sets = (cell, pair), [], []
+            fps.append(fp)
+            sets.append(np.array(kinds[k].values.to_numpy(zero_copy_only=False)))
+    yield found()
+
+
+def likes(prints: DataFrame, texts: DataFrame, block: int = LIKE_BLOCK) -> DataFrame:
+    """Links u < v of fingerprints of texts (row, text) that connect them as all pairs with like sets of shingles do.
+
+    Texts with equal sets are one row from the start. MinHash cells with the same members are one cell, and cells of
+    over `block` members are cut into pairs of blocks. prints: row, fp, digest, bands.
+    """
+    one = prints.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    cells = stored(one.select("row", "fp", F.explode("bands").alias("cell")), "cells")
+    sums = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("x"))
+    kept = sums.filter("n > 1").groupBy("n", "a", "b", "x").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("n") / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("row"), F.col("blocks"))
+    pair = lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
+    members = cells.join(kept, "cell").select("row", "fp", "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("pair"))
+    members = stored(members, "members")
+    wanted = texts.join(members.select("row").distinct(), "row", "left_semi")
+    sets = add_columns(wanted, "text", [T.StructField("kinds", T.ArrayType(T.LongType()))], lambda some: [[np.unique(shingled(t, SHINGLE)).view(np.int64) for t in some]])
+    told = members.join(sets.select("row", "kinds"), "row").select("cell", "pair", "fp", "kinds")
+    return told.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_likes, "u bigint, v bigint").distinct()
+
+
 def near_deduplicated(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """documents with one row of each component: the one with the least id.
 
+    Links are those of near_duplicates, and pairs of texts whose sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more, which differ in far more bits.
+
     Of rows that share that id one stays. Rows without an id can't be named by a component; of those with equal text
     one stays.
     """
-    flag = free_name(documents, "kept_in")
-    found = near_duplicates(documents.filter(F.col(quoted(id_col)).isNotNull()), text_col, id_col, component_col="component_in", fingerprint_col="fp_in")
-    kept = found.filter(F.col(quoted(id_col)) == F.col("component_in")).select(F.col(quoted(id_col)).alias(flag)).distinct()
-    own = documents.join(kept, documents[quoted(id_col)] == kept[flag], "left_semi").dropDuplicates([id_col])
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    named = documents.filter(F.col(quoted(id_col)).isNotNull())
+    inner = [F.col(quoted(c)).alias(n) for c, n in zip(documents.columns, names, strict=True)]
+    extra = [F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]
+    rows = stored(named.select(*inner, *extra), "rows")
+    fields = [T.StructField("fp", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    prints = stored(add_columns(rows.select("row", "id", "text"), "text", fields, _printed), "prints")
+    firsts = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    labels = components(links(firsts.select("fp")).unionByName(likes(prints, rows.select("row", "text"))).distinct())
+    component = F.coalesce("root", "fp")
+    kept = firsts.join(labels.withColumnRenamed("v", "fp"), "fp", "left").groupBy(component).agg(F.min("first").alias("id"))
+    own = rows.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]).select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
     lost = documents.filter(F.col(quoted(id_col)).isNull()).dropDuplicates([text_col])
     return own.unionByName(lost)
