@@ -342,6 +342,29 @@ def test_wrapper_inference():
     assert "?" in wrappers.expression(both) and "#text" in wrappers.expression(both)
 
 
+def texts_by_host(pages):
+    """The texts of pages all of one host, and of pages each of a host of its own."""
+    whole = None
+    for page in pages:
+        whole = wrappers.tree(page) if whole is None else wrappers.merged(whole, wrappers.tree(page))
+    return [wrappers.extract(p, wrappers.rules(whole)) for p in pages], [wrappers.extract(p, wrappers.rules(wrappers.tree(p))) for p in pages]
+
+
+def slug(n):
+    return "".join("abcdefghij"[int(c)] for c in str(n))
+
+
+def test_many_names_on_one_host():
+    dress = "<html><body class='page-{s}'><div class='sidebar x-{s}'><p>Side {s}</p></div>{b}<footer>Foot</footer></body></html>"
+    articles = [dress.format(s=slug(k), b=f"<article class='how-to-{slug(k)}'><p>Text {slug(k)}</p></article><div class='rest'>Rest {slug(k)}</div>") for k in range(200)]
+    plain = [dress.format(s=slug(k), b=f"<div class='c-{slug(k)}'><p>Long text of {slug(k)}, and more</p><p>Again {slug(k)}</p></div><div class='z-{slug(k)}'>z</div>") for k in range(200)]
+    many, one = texts_by_host(articles)
+    assert many == one == [f"Text {slug(k)}" for k in range(200)]
+    many, one = texts_by_host(plain)
+    assert all(f"Long text of {slug(k)}, and more\n\nAgain {slug(k)}" in m and "Side" not in m and "Foot" not in m for k, m in enumerate(many))
+    assert any(wrappers.rules(wrappers.tree(p)) for p in plain) and all(o in m for o, m in zip(one, many, strict=True))
+
+
 def test_licences(spark):
     files = [
         ("r/LICENSE", "MIT License\n\nReleased under the MIT License."), ("r/a.py", "# code"), ("r/sub/b.py", "# LICENSED under the Apache License,\n# Licensed under the Apache License, Version 2.0.\ncode"),

@@ -5,17 +5,18 @@ and takes in one page after the other: child sequences are aligned, what one sid
 differ become slots. Wrappers are merged as pages are, so every partition folds its own pages, without moving them, and
 then the partitions' wrappers of a host are merged in two steps. No wrapper needs all pages of a host in one place.
 
-From the wrapper come the host's rules: the paths of the main regions, in order of preference (article elements, main
-elements, elements named as content, the element with the most slot text right below it), each without the menus,
-headers, footers, sidebars, notices, adverts, forms and comments in it. A page takes the first kind of region that it
-has, and its whole body without those if none. Constant text in a region stays: copies of a page on one host have it all
+The main regions are, in order of preference, article elements, main elements, elements named as content, and the
+element with the most slot text right below it, each without the menus, headers, footers, sidebars, notices, adverts,
+forms and comments in it. The first three are told by the page's own names, however many pages the host has; the last
+by its path in the host's wrapper. A page takes the first kind of region that it has, and its whole body without those
+if none. Constant text in a region stays: copies of a page on one host have it all
 constant.
 
 Rules are broadcast up to `most_bytes`; beyond, pages are joined to them by host, with skewed hosts split.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own name, all together; text without
 tags is one block; cut and unclosed tags end where their parents do; deep nesting is flattened at `DEEP` levels; where
-an element has over `WIDE` different children, they are told apart by tag only; repeated pages are extracted alike; an
+an element has over `WIDE` different children, they are told apart by tag only, and pages are held against them so; repeated pages are extracted alike; an
 empty table gives an empty one; other columns are kept, except those named as the new ones, which are replaced.
 """
 
@@ -62,7 +63,7 @@ def signature(tag: str, attributes: str) -> tuple[str, bool]:
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     names = re.findall(r"[^\s]+", f"{found.get('id', '')} {found.get('class', '')} {found.get('itemprop', '')}".lower())
     kinds = ["".join("0" if c.isdigit() else c for c in n)[:40] for n in names[:4]]
-    role = found.get("role", "").lower()
+    role = "_".join(found.get("role", "").lower().split())
     return tag + "".join(f".{k}" for k in kinds) + (f"@{role}" if role else ""), hidden
 
 
@@ -75,14 +76,16 @@ def is_aside(sig: str, inside: bool) -> bool:
     if key not in _asides:
         if len(_asides) > 100_000:
             _asides.clear()
-        tag, *names = sig.partition("@")[0].split(".")
+        tag, *names = sig.partition("@")[0].partition("*")[0].split(".")
         words = {w for n in names for w in re.split(r"[-_:]+", n)}
-        _asides[key] = tag in ASIDE_TAGS or (tag == "header" and not inside) or sig.partition("@")[2] in ASIDE_ROLES or bool(words & ASIDE_NAMES and tag not in ("html", "body", "article", "main"))
+        _asides[key] = is_wide(sig) and "a" in sig.partition("*")[2] or tag in ASIDE_TAGS or (tag == "header" and not inside) or sig.partition("@")[2] in ASIDE_ROLES or bool(words & ASIDE_NAMES and tag not in ("html", "body", "article", "main"))
     return _asides[key]
 
 
 def main_kind(sig: str) -> int | None:
     """0 for articles, 1 for main elements, 2 for elements named as content."""
+    if is_wide(sig):
+        return int(sig[-1]) if sig[-1].isdigit() else None
     tag, *names = sig.partition("@")[0].split(".")
     if tag == "article" or "articlebody" in names:
         return 0
@@ -91,6 +94,16 @@ def main_kind(sig: str) -> int | None:
     return 2 if {w for n in names for w in re.split(r"[-_:]+", n)} & MAIN_NAMES and tag in ("div", "section", "td") else None
 
 
+def wide(sig: str) -> str:
+    """The signature that an element has among over `WIDE` different siblings: its tag, and what kind of part it is."""
+    tag, kind = re.match("[a-z0-9]+", sig)[0], main_kind(sig)
+    return sig if sig[len(tag) :].startswith("*") else f"{tag}*" + ("a" if is_aside(sig, True) else "") + ("" if kind is None else str(kind))
+
+
+def is_wide(sig: str) -> bool:
+    return re.match(r"[a-z0-9]+\*", sig) is not None
+
+
 def events(page: str) -> Iterator[tuple[str, str]]:
     """("open", signature), ("close", ""), ("text", decoded text) of the block elements of a page, well nested.
 
@@ -190,8 +203,7 @@ def tree(page: str) -> list:
 def folded(nodes: list) -> list:
     """Siblings with repeats as repeated nodes: of one element, then of groups of two to four."""
     if len({n[SIG] for n in nodes}) > WIDE:
-        for n in nodes:
-            n[SIG] = n[SIG].split(".")[0].split("@")[0]
+        nodes = widened(nodes)
     out: list = []
     for n in nodes:
         if out and out[-1][SIG] == n[SIG]:
@@ -215,6 +227,17 @@ def folded(nodes: list) -> list:
     return out
 
 
+def widened(nodes: list) -> list:
+    """Siblings told apart by tag only; those of repeated groups stand by themselves."""
+    out = []
+    for n in nodes:
+        if n[SIG][:1] == "(":
+            out += [[c[SIG], c[OPTIONAL], True, *c[SEEN:]] for c in widened(n[CHILDREN])]
+        else:
+            out.append([wide(n[SIG]), *n[OPTIONAL:]])
+    return out
+
+
 def merged(a: list, b: list) -> list:
     """The least wrapper that covers two of the same signature."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else "" if a[TEXT] is not None or b[TEXT] is not None else None
@@ -223,6 +246,9 @@ def merged(a: list, b: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """Two child sequences as one: the longest common subsequence by signature, the rest optional."""
+    one, two = (any(is_wide(n[SIG].lstrip("(")) for n in k) for k in (a, b))
+    if one != two:
+        a, b = (a, folded(widened(b))) if one else (folded(widened(a)), b)
     x, y = [n[SIG] for n in a], [n[SIG] for n in b]
     if x == y:
         return [merged(p, q) for p, q in zip(a, b, strict=True)]
@@ -251,9 +277,8 @@ def expression(node: list) -> str:
     return body + ("+" if node[REPEATED] else "") + ("?" if node[OPTIONAL] else "")
 
 
-def rules(wrapper: list) -> list[list[str]]:
-    """Paths of main regions by kind: articles, main elements, elements named as content, the element with most slot text."""
-    kinds: list[set[str]] = [set(), set(), set(), set()]
+def rules(wrapper: list) -> list[str]:
+    """The path of the element with most slot text right below it, if any."""
     densest = (0, "")
 
     def walk(node: list, path: str, inside: bool) -> int:
@@ -263,10 +288,7 @@ def rules(wrapper: list) -> list[list[str]]:
             if is_aside(node[SIG], inside):
                 return 0
             path = f"{path} {node[SIG]}"
-            kind = main_kind(node[SIG])
-            if kind is not None:
-                kinds[kind].add(path)
-                inside = True
+            inside = inside or main_kind(node[SIG]) is not None
         below = 0
         for child in node[CHILDREN]:
             below += walk(child, path, inside)
@@ -277,18 +299,17 @@ def rules(wrapper: list) -> list[list[str]]:
         return node[CHARS] if node[TEXT] == "" or node[SEEN] == 1 and node[TEXT] else 0
 
     walk(wrapper, "", False)
-    if densest[0]:
-        kinds[3].add(densest[1])
-    return [sorted(k) for k in kinds]
+    return [densest[1]] if densest[0] else []
 
 
-def extract(page: str | None, regions: list[list[str]]) -> str:
+def extract(page: str | None, regions: list[str]) -> str:
     """The text of the first kind of region that the page has, block by block; of the whole page if it has none."""
-    paths = [set(k) for k in regions]
-    found: list[list[str]] = [[] for _ in range(len(paths) + 1)]
-    stack: list[tuple[str, tuple[bool, ...], bool]] = [("", (False,) * len(paths), False)]
+    steps = regions[0].split() if regions else []
+    found: list[list[str]] = [[] for _ in range(5)]
+    # How many steps of the path lead here (-1: others do), the kinds of regions around, whether within an aside.
+    stack: list[tuple[int, tuple[bool, ...], bool]] = [(0, (False,) * 4, False)]
     buffer: list[str] = []
-    seen = [False] * len(paths) + [True]
+    seen = [False] * 4 + [True]
 
     def flush() -> None:
         if buffer:
@@ -308,15 +329,16 @@ def extract(page: str | None, regions: list[list[str]]) -> str:
         if kind == "close":
             stack.pop()
             continue
-        path, inside, gone = stack[-1]
+        at, inside, gone = stack[-1]
         gone = gone or is_aside(what, any(inside[:3]))
-        path = f"{path} {what}"
+        at = at + 1 if 0 <= at < len(steps) and steps[at] in (what, wide(what)) else -1
         if not gone:
-            hits = [path in p for p in paths]
-            if any(hits):
-                inside = tuple(a or b for a, b in zip(inside, hits, strict=True))
-                seen = [a or b for a, b in zip(seen, (*hits, False), strict=True)]
-        stack.append((path, inside, gone))
+            kind = 3 if at > 0 and at == len(steps) else None
+            for k in (main_kind(what), kind):
+                if k is not None:
+                    inside = (*inside[:k], True, *inside[k + 1 :])
+                    seen[k] = True
+        stack.append((at, inside, gone))
     flush()
     return "\n\n".join(next(f for f, s in zip(found, seen, strict=True) if s))
 
