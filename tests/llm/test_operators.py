@@ -365,6 +365,15 @@ def test_many_names_on_one_host():
     assert any(wrappers.rules(wrappers.tree(p)) for p in plain) and all(o in m for o, m in zip(one, many, strict=True))
 
 
+def test_all_names_of_an_element_count():
+    page = "<body><div class='row a b c entry-content'><p>Story</p><div id=x class='col-md-4 d-none d-lg-block sidebar'>Side</div><section class='a b c d comments'>Nice</section></div><div class='p q r s'>Rest</div></body>"
+    assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "Story"
+    page = "<body><div id=i class='a b c d' itemprop=articleBody>Story</div><main>Cards</main></body>"
+    assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "Story"
+    page = f"<body><main>Story<div class='{'x' * 60}-sidebar'>Side</div></main></body>"
+    assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "Story"
+
+
 def test_licences(spark):
     files = [
         ("r/LICENSE", "MIT License\n\nReleased under the MIT License."), ("r/a.py", "# code"), ("r/sub/b.py", "# LICENSED under the Apache License,\n# Licensed under the Apache License, Version 2.0.\ncode"),

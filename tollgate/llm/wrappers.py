@@ -56,15 +56,32 @@ SIG, OPTIONAL, REPEATED, SEEN, TEXT, CHARS, CHILDREN = range(7)
 
 
 def signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with role, id and classes, digits as 0; and whether the element is hidden."""
+    """Tag with id and classes, digits as 0, the role, and after "*" what kind of part it is; and whether it is hidden.
+
+    All names count for the kind, but only the first four, each cut, stay in the signature.
+    """
     if not attributes or attributes.isspace():
-        return tag, False
+        return labelled(tag, tag, set(), ""), False
     found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     names = re.findall(r"[^\s]+", f"{found.get('id', '')} {found.get('class', '')} {found.get('itemprop', '')}".lower())
-    kinds = ["".join("0" if c.isdigit() else c for c in n)[:40] for n in names[:4]]
+    names = ["".join("0" if c.isdigit() else c for c in n) for n in names]
     role = "_".join(found.get("role", "").lower().split())
-    return tag + "".join(f".{k}" for k in kinds) + (f"@{role}" if role else ""), hidden
+    label = tag + "".join(f".{n[:40]}" for n in names[:4]) + (f"@{role}" if role else "")
+    return labelled(label.replace("*", "-"), tag, {w for n in names for w in n.split(".")}, role), hidden
+
+
+def labelled(label: str, tag: str, names: set[str], role: str) -> str:
+    """label with "*" and the kind of part: a for asides, 0 for articles, 1 for main elements, 2 for those named as content."""
+    words = {w for n in names for w in re.split(r"[-_:]+", n)}
+    aside = role in ASIDE_ROLES or words & ASIDE_NAMES and tag not in ("html", "body", "article", "main")
+    main = "0" if tag == "article" or "articlebody" in names else "1" if tag == "main" or role == "main" else "2" if words & MAIN_NAMES and tag in ("div", "section", "td") else ""
+    kind = ("a" if aside else "") + main
+    return f"{label}*{kind}" if kind else label
+
+
+def tag_of(sig: str) -> str:
+    return re.match("[a-z0-9]+", sig)[0]
 
 
 _asides: dict[tuple[str, bool], bool] = {}
@@ -76,32 +93,24 @@ def is_aside(sig: str, inside: bool) -> bool:
     if key not in _asides:
         if len(_asides) > 100_000:
             _asides.clear()
-        tag, *names = sig.partition("@")[0].partition("*")[0].split(".")
-        words = {w for n in names for w in re.split(r"[-_:]+", n)}
-        _asides[key] = is_wide(sig) and "a" in sig.partition("*")[2] or tag in ASIDE_TAGS or (tag == "header" and not inside) or sig.partition("@")[2] in ASIDE_ROLES or bool(words & ASIDE_NAMES and tag not in ("html", "body", "article", "main"))
+        tag = tag_of(sig)
+        _asides[key] = tag in ASIDE_TAGS or (tag == "header" and not inside) or "a" in sig.partition("*")[2]
     return _asides[key]
 
 
 def main_kind(sig: str) -> int | None:
     """0 for articles, 1 for main elements, 2 for elements named as content."""
-    if is_wide(sig):
-        return int(sig[-1]) if sig[-1].isdigit() else None
-    tag, *names = sig.partition("@")[0].split(".")
-    if tag == "article" or "articlebody" in names:
-        return 0
-    if tag == "main" or sig.endswith("@main"):
-        return 1
-    return 2 if {w for n in names for w in re.split(r"[-_:]+", n)} & MAIN_NAMES and tag in ("div", "section", "td") else None
+    kind = sig.partition("*")[2][-1:]
+    return int(kind) if kind.isdigit() else None
 
 
 def wide(sig: str) -> str:
     """The signature that an element has among over `WIDE` different siblings: its tag, and what kind of part it is."""
-    tag, kind = re.match("[a-z0-9]+", sig)[0], main_kind(sig)
-    return sig if sig[len(tag) :].startswith("*") else f"{tag}*" + ("a" if is_aside(sig, True) else "") + ("" if kind is None else str(kind))
+    return sig if is_wide(sig) else f"{tag_of(sig)}**{sig.partition('*')[2]}"
 
 
 def is_wide(sig: str) -> bool:
-    return re.match(r"[a-z0-9]+\*", sig) is not None
+    return "**" in sig
 
 
 def events(page: str) -> Iterator[tuple[str, str]]:
@@ -246,7 +255,7 @@ def merged(a: list, b: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """Two child sequences as one: the longest common subsequence by signature, the rest optional."""
-    one, two = (any(is_wide(n[SIG].lstrip("(")) for n in k) for k in (a, b))
+    one, two = (any(is_wide(n[SIG]) for n in k) for k in (a, b))
     if one != two:
         a, b = (a, folded(widened(b))) if one else (folded(widened(a)), b)
     x, y = [n[SIG] for n in a], [n[SIG] for n in b]
