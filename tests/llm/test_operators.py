@@ -374,6 +374,17 @@ def test_all_names_of_an_element_count():
     assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "Story"
 
 
+def test_closes_below_deep_nesting():
+    for deep in (10, 100, 5000):
+        inner = "<div>" * deep + "quote<nav>Menu</nav><div class='advert'>Buy</div>" + "</div>" * deep
+        page = f"<body><div class='wrap'><article><p>First</p>{inner}<p>After</p></article></div><footer>Foot</footer></body>"
+        assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "First\n\nquote\n\nAfter"
+        page = "<body>" + "<div>" * deep + "<nav>Menu</nav><article>Story</article>rest" + "</div>" * deep + "end</body>"
+        assert wrappers.extract(page, wrappers.rules(wrappers.tree(page))) == "Story"
+    page = "<body>" + "<div>" * 100 + "<ul><li>one<li>two<div>in</div></ul><table><tr><td>a<tr><td>b</table>" + "</div>" * 100 + "<p>x<p>y</body>"
+    assert wrappers.extract(page, []) == "one\n\ntwo\n\nin\n\na\n\nb\n\nx\n\ny"
+
+
 def test_licences(spark):
     files = [
         ("r/LICENSE", "MIT License\n\nReleased under the MIT License."), ("r/a.py", "# code"), ("r/sub/b.py", "# LICENSED under the Apache License,\n# Licensed under the Apache License, Version 2.0.\ncode"),

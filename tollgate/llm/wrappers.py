@@ -15,7 +15,8 @@ constant.
 Rules are broadcast up to `most_bytes`; beyond, pages are joined to them by host, with skewed hosts split.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own name, all together; text without
-tags is one block; cut and unclosed tags end where their parents do; deep nesting is flattened at `DEEP` levels; where
+tags is one block; cut and unclosed tags end where their parents do; wrappers are flattened at
+`DEEP` levels, while pages keep all theirs; where
 an element has over `WIDE` different children, they are told apart by tag only, and pages are held against them so; repeated pages are extracted alike; an
 empty table gives an empty one; other columns are kept, except those named as the new ones, which are replaced.
 """
@@ -119,11 +120,14 @@ def events(page: str) -> Iterator[tuple[str, str]]:
     Raw and hidden elements are left out, inline elements only give their text; a line break is white space.
     """
     stack: list[str] = []  # tags of open blocks; hidden ones begin with "!"
-    hidden, at = 0, 0
+    places: dict[str, list[int]] = {}  # of each tag in the stack, hidden or not
+    hidden, at, paragraphs = 0, 0, 0
 
     def leave() -> Iterator[tuple[str, str]]:
-        nonlocal hidden
+        nonlocal hidden, paragraphs
         tag = stack.pop()
+        places[tag.lstrip("!")].pop()
+        paragraphs -= tag == "p"
         if tag[0] == "!":
             hidden -= 1
         elif not hidden:
@@ -146,7 +150,7 @@ def events(page: str) -> Iterator[tuple[str, str]]:
                 yield "text", " "
             continue
         if m[1]:
-            if tag in BLOCKS and (tag in stack or f"!{tag}" in stack):
+            if tag in BLOCKS and places.get(tag):
                 while stack and stack[-1].lstrip("!") != tag:
                     yield from leave()
                 yield from leave()
@@ -160,35 +164,33 @@ def events(page: str) -> Iterator[tuple[str, str]]:
         if tag not in BLOCKS or m[3].rstrip().endswith("/") and tag != "p":
             continue
         closes = CLOSES.get(tag, ())
-        if "p" in stack:  # a block ends an open paragraph
+        if paragraphs:  # a block ends an open paragraph
             while stack and stack[-1].lstrip("!") != "p" and stack[-1].lstrip("!") not in LISTS | {"div", "article", "section"}:
                 yield from leave()
             if stack and stack[-1].lstrip("!") == "p":
                 yield from leave()
         if closes:
-            inner = len(stack)
-            while inner and stack[inner - 1].lstrip("!") not in LISTS:
-                inner -= 1
-                if stack[inner].lstrip("!") in closes:
-                    while len(stack) > inner:
-                        yield from leave()
-                    break
+            inner = max((places[c][-1] for c in closes if places.get(c)), default=-1)
+            if inner > max((places[c][-1] for c in LISTS if places.get(c)), default=-1):
+                while len(stack) > inner:
+                    yield from leave()
         sig, gone = signature(tag, m[3])
-        if len(stack) >= DEEP and not gone:
-            continue
         if not hidden and not gone:
             yield "open", sig
         if gone:
             hidden += 1
+        paragraphs += tag == "p" and not gone
+        places.setdefault(tag, []).append(len(stack))
         stack.append(f"!{tag}" if gone else tag)
     while stack:
         yield from leave()
 
 
 def tree(page: str) -> list:
-    """The page as a wrapper of its own."""
+    """The page as a wrapper of its own; what lies below `DEEP` levels is text of the last of them, without its asides."""
     root = ["", False, False, 1, None, 0, []]
     stack, texts = [root], [[]]
+    below: list[tuple[bool, bool]] = []  # of each open element below DEEP: within an aside, within a main region
 
     def end() -> None:
         node, text = stack.pop(), " ".join("".join(texts.pop()).split())
@@ -198,7 +200,15 @@ def tree(page: str) -> list:
 
     for kind, what in events(page):
         if kind == "text":
-            texts[-1].append(what)
+            if not below or not below[-1][0]:
+                texts[-1].append(what)
+        elif kind == "open" and len(stack) > DEEP:
+            gone, inside = below[-1] if below else (False, any(main_kind(n[SIG]) is not None for n in stack))
+            below.append((gone or is_aside(what, inside), inside or main_kind(what) is not None))
+            texts[-1].append(" ")
+        elif kind == "close" and below:
+            below.pop()
+            texts[-1].append(" ")
         elif kind == "open":
             stack[-1][CHILDREN].append([what, False, False, 1, None, 0, []])
             stack.append(stack[-1][CHILDREN][-1])
