@@ -401,6 +401,31 @@ def test_licences(spark):
     assert licences.scan_licences(rows.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    files = []
+    for name, text in licences.TEMPLATES:
+        wrapped = textwrap.wrap(text, 30)
+        files += [(name, text), (name, "\n".join(wrapped)), (name, "import x\n# " + "\n# ".join(wrapped) + "\nx = 1"), (name, "/*\n * " + "\n * ".join(wrapped) + "\n */\nint x;")]
+    for text in (MIT, MIT.replace("\n\n", "\n")):
+        files += [("MIT", text), ("MIT", "".join(f"# {x}\n" for x in text.split("\n")) + "import x\n")] * 200  # common, so its words weigh little
+    files += [(None, f"word{k} about licences of thing{k}") for k in range(2000)]
+    rows = spark.createDataFrame([(k, f"d{k}/x.py", t) for k, (_, t) in enumerate(files)], "id int, path string, text string")
+    got = {r.id: (r.licence, r.origin) for r in licences.scan_licences(rows).collect()}
+    assert {k: (files[k], g) for k, g in got.items() if g != (files[k][0], "header" if files[k][0] else "none")} == {}
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 

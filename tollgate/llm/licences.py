@@ -1,6 +1,7 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from directories.
 
-A passage is a sentence or line that speaks of licences or copyright; of a licence file (LICENSE, COPYING, ...) the whole
+A passage is a line that speaks of licences or copyright, or a sentence that does, over line ends and comment marks, up
+to a blank line, a copyright line or the end of the comment; of a licence file (LICENSE, COPYING, ...) the whole
 text is one passage more. Passages and templates are weighted vectors of their words; a word's weight is its count times
 its inverse document frequency among all passages, words that no template has counting as seen once. A passage has the
 template of the largest cosine, if that is `least` or more; a file has that of its best passage. Equal passages are
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from tollgate.llm.common import quoted, stored
 
 LEAST = 0.6
-CUE = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx-|unlicense"
+CUE = r"(?i)licen[sc]e|copyright|all[\W_]+rights[\W_]+reserved|public[\W_]+domain|spdx-|unlicense|permission[\W_]+is[\W_]+hereby[\W_]+granted"
+MARK = r"[^\S\n]*(?:#|//|/?\*|--|;|%|<!--)"
+#: Where a comment begins or ends, and copyright lines.
+EDGES = [(rf"(?m)^({MARK}[^\n]*)\n(?!{MARK})", "$1\n\n"), (rf"(?m)^(?!{MARK})([^\n]*)\n(?={MARK})", "$1\n\n"), (r"(?im)^([^\w\n]*copyright\s*(?:\(c\)|\u00a9|\d{4})[^\n]*)$", "\n\n$1\n\n")]
 FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|copyright|notice)([-._][^/]*)?\z"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -55,6 +59,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Licensed under the MIT license."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -67,7 +72,11 @@ def terms(text: Column) -> Column:
 
 def passages(text: Column, path: Column) -> Column:
     """The distinct passages of a text, as their terms joined by spaces."""
-    said = F.filter(F.split(text, r"(?<=[.?])\s+|\n"), lambda s: s.rlike(CUE))
+    parts = text
+    for edge, new in EDGES:
+        parts = F.regexp_replace(parts, edge, new)
+    parts = F.concat(F.split(text, r"(?<=[.?])\s+|\n"), F.split(parts, r"(?<=[.?])(?<! v\.)\s+|\n[^\w\n]*\n"))
+    said = F.filter(parts, lambda s: s.rlike(CUE))
     said = F.when(path.rlike(FILE), F.concat(said, F.array(text))).otherwise(said)
     joined = F.filter(F.transform(said, lambda s: F.array_join(terms(s), " ")), lambda s: s != "")
     return F.coalesce(F.when(text.rlike(CUE), F.array_distinct(joined)), F.array().cast("array<string>"))
