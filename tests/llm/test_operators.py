@@ -142,6 +142,15 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_dedup_of_odd_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(300)) for c in "abc")
+    rows = [(1, one), (1, two), (1, one), (2, one + " tail"), (None, one + " end"), (None, three), (None, three + " end"), (None, two)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "old", "old", "dots") for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in simhash.near_deduplicated(frame).collect()]
+    assert len(got) == 3 and {(1, one), (1, two)} < set(got)
+    assert [i for i, t in got if t in (three, three + " end")] == [None]
+
+
 def shingle_set(text):
     words = text.lower().split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}

@@ -292,20 +292,19 @@ def near_deduplicated(documents: DataFrame, text_col: str = "text", id_col: str
     Links are those of near_duplicates, and pairs of texts whose sets of five-word shingles have a Jaccard similarity
     of 0.8 or more, which differ in far more bits.
 
-    Of rows that share that id one stays. Rows without an id can't be named by a component; of those with equal text
-    one stays.
+    Rows, not ids, are kept: those that share an id but no component all stay, and of those that share both the one
+    with the least hash of its text does. A row without an id comes after all with one.
     """
     names = [f"c{i}" for i in range(len(documents.columns))]
-    named = documents.filter(F.col(quoted(id_col)).isNotNull())
     inner = [F.col(quoted(c)).alias(n) for c, n in zip(documents.columns, names, strict=True)]
     extra = [F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]
-    rows = stored(named.select(*inner, *extra), "rows")
+    rows = stored(documents.select(*inner, *extra), "rows")
     fields = [T.StructField("fp", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    prints = stored(add_columns(rows.select("row", "id", "text"), "text", fields, _printed), "prints")
-    firsts = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "firsts")
+    prints = add_columns(rows.select("row", "id", "text"), "text", fields, _printed)
+    prints = stored(prints.select("row", "id", F.xxhash64("text").alias("tie"), "fp", "digest", "bands"), "prints")
+    order = F.struct(F.col("id").isNull().alias("lost"), "id", "tie", "row")
+    firsts = stored(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
     labels = components(links(firsts.select("fp")).unionByName(likes(prints, rows.select("row", "text"))).distinct())
     component = F.coalesce("root", "fp")
-    kept = firsts.join(labels.withColumnRenamed("v", "fp"), "fp", "left").groupBy(component).agg(F.min("first").alias("id"))
-    own = rows.join(kept.select("id"), "id", "left_semi").dropDuplicates(["id"]).select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
-    lost = documents.filter(F.col(quoted(id_col)).isNull()).dropDuplicates([text_col])
-    return own.unionByName(lost)
+    kept = firsts.join(labels.withColumnRenamed("v", "fp"), "fp", "left").groupBy(component).agg(F.min("first").alias("first"))
+    return rows.join(kept.select("first.row"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
