@@ -1,23 +1,29 @@
 """Main text of web pages by inferred wrappers: union-free regular expressions over the tag streams of each host.
 
-A page is a tree of block elements. Runs of like siblings are repeated groups; a host's wrapper begins as its first page
-and takes in one page after the other: child sequences are aligned, what one side lacks becomes optional, texts that
-differ become slots. Wrappers are merged as pages are, so every partition folds its own pages, without moving them, and
-then the partitions' wrappers of a host are merged in two steps. No wrapper needs all pages of a host in one place.
-
-The main regions are, in order of preference, article elements, main elements, elements named as content, and the
-element with the most slot text right below it, each without the menus, headers, footers, sidebars, notices, adverts,
-forms and comments in it. The first three are told by the page's own names, however many pages the host has; the last
-by its path in the host's wrapper. A page takes the first kind of region that it has, and its whole body without those
-if none. Constant text in a region stays: copies of a page on one host have it all
-constant.
+A page is a tree of block elements with its texts as leaves. A host's wrapper begins as its first page and takes in one
+page after the other. Child sequences are aligned: equal subtrees are anchors; between them, elements with equal
+signatures meet; siblings that repeat become a repeated element or, where they alternate, a repeated group; what one
+side lacks becomes optional; unlike names of elements that meet are left out; texts that differ become slots. All steps
+are linear or sorted in the number of siblings. Wrappers are merged as pages are, so every partition folds its own
+pages, without moving them, and the partitions' wrappers of a host are merged in a tree of groups.
+
+The wrapper of two or more different pages decides: the main region is found from the root by going down to the child
+with nearly all slot text, as long as no heading is left behind; constants of the wrapper in it, which half of the pages
+have, three at least, are dropped, headings aside. A page is aligned with the wrapper along the way to the region. Menus,
+headers, footers, sidebars, notices, adverts, forms and comments that vary from page to page can only be told by their
+tags, roles and names, and are left out by them.
+
+Names also choose the region where the wrapper can't: on hosts of one page, where slots hold too little of the text (near
+copies of one page), and on pages that don't have the region. It is the articles, main elements or elements named as
+content, the first of them that hold half of the text that is no aside (an eighth if there is one only), else the
+element with over half of it right below, else the whole body. They also choose within the wrapper's region.
 
 Rules are broadcast up to `most_bytes`; beyond, pages are joined to them by host, with skewed hosts split.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own name, all together; text without
-tags is one block; cut and unclosed tags end where their parents do; wrappers are flattened at
-`DEEP` levels, while pages keep all theirs; where
-an element has over `WIDE` different children, they are told apart by tag only, and pages are held against them so; repeated pages are extracted alike; an
+tags is one block; cut and unclosed tags end where their parents do; nesting and the number of siblings have no bound;
+wrappers of a host are merged in an order that the wrappers themselves give, so the same partitions give the same
+result, while other partitions may align otherwise; repeated pages count once in a partition and are extracted alike; an
 empty table gives an empty one; other columns are kept, except those named as the new ones, which are replaced.
 """
 
@@ -26,18 +32,26 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+import sys
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Callable, Hashable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.llm.common import quoted, slices, stored
 
-WIDE, DEEP, HOSTS = 64, 64, 2000
-MOST_BYTES = 8 << 20
+#: Wrappers that a task holds, and nodes of pages that it folds, before it hands them on; memory only.
+HOSTS, NODES = 2000, 400_000
+MOST_BYTES = 4 << 20
+#: Pages that must have a constant before it counts as the host's; the share of slot text below a part for it to be the
+#: region; the least share of slots in all text for the wrapper to decide.
+PAGES, NEARLY_ALL, VARIED = 3, 0.9, 0.2
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -51,24 +65,29 @@ ASIDE_NAMES = set("ad ads adv advert adverts advertisement advertising banner ba
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 MAIN_NAMES = set("article articlebody content entry post story maincontent main".split())
 
-# A wrapper's node: signature, optional, repeated, pages seen, text (None: none, "": a slot, else constant), characters
-# of text, children. A group of siblings that repeats together is a node whose signature is in brackets.
-SIG, OPTIONAL, REPEATED, SEEN, TEXT, CHARS, CHILDREN = range(7)
+# A node: signature, optional, repeated, pages seen, digest of a constant subtree (0: it has slots), characters of text,
+# children. Texts are leaves of signature "#text", in pages with the text in place of children. A group of siblings that
+# repeats together is a node of signature "(".
+SIG, OPTIONAL, REPEATED, SEEN, DIGEST, CHARS, CHILDREN = range(7)
+LEAF, GROUP = "#text", "("
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with id and classes, digits as 0, the role, and after "*" what kind of part it is; and whether it is hidden.
+def deep() -> None:
+    """Nesting is followed by recursion of plain Python functions, which needs no more than memory."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
-    All names count for the kind, but only the first four, each cut, stay in the signature.
-    """
+
+def signature(tag: str, attributes: str) -> tuple[str, bool]:
+    """Tag with id and classes, digits as 0, the role, and after "*" what kind of part it is; and whether it is hidden."""
     if not attributes or attributes.isspace():
         return labelled(tag, tag, set(), ""), False
     found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    names = re.findall(r"[^\s]+", f"{found.get('id', '')} {found.get('class', '')} {found.get('itemprop', '')}".lower())
+    names = f"{found.get('id', '')} {found.get('class', '')} {found.get('itemprop', '')}".lower().split()
     names = ["".join("0" if c.isdigit() else c for c in n) for n in names]
     role = "_".join(found.get("role", "").lower().split())
-    label = tag + "".join(f".{n[:40]}" for n in names[:4]) + (f"@{role}" if role else "")
+    label = tag + "".join(f".{n}" for n in sorted(set(names))) + (f"@{role}" if role else "")
     return labelled(label.replace("*", "-"), tag, {w for n in names for w in n.split(".")}, role), hidden
 
 
@@ -105,15 +124,6 @@ def main_kind(sig: str) -> int | None:
     return int(kind) if kind.isdigit() else None
 
 
-def wide(sig: str) -> str:
-    """The signature that an element has among over `WIDE` different siblings: its tag, and what kind of part it is."""
-    return sig if is_wide(sig) else f"{tag_of(sig)}**{sig.partition('*')[2]}"
-
-
-def is_wide(sig: str) -> bool:
-    return "**" in sig
-
-
 def events(page: str) -> Iterator[tuple[str, str]]:
     """("open", signature), ("close", ""), ("text", decoded text) of the block elements of a page, well nested.
 
@@ -186,180 +196,420 @@ def events(page: str) -> Iterator[tuple[str, str]]:
         yield from leave()
 
 
-def tree(page: str) -> list:
-    """The page as a wrapper of its own; what lies below `DEEP` levels is text of the last of them, without its asides."""
-    root = ["", False, False, 1, None, 0, []]
-    stack, texts = [root], [[]]
-    below: list[tuple[bool, bool]] = []  # of each open element below DEEP: within an aside, within a main region
+_parts: dict[str, tuple[tuple[str, str], frozenset[str]]] = {}
+
+
+def parts(sig: str) -> tuple[tuple[str, str], frozenset[str]]:
+    """What must be equal in elements that meet (tag and kind of part), and the names, which may differ."""
+    if sig not in _parts:
+        if len(_parts) > 100_000:
+            _parts.clear()
+        label, _, kind = sig.partition("*")
+        tag = tag_of(label) if label[:1].isalnum() else label
+        _parts[sig] = (tag, kind), frozenset(re.findall(r"[.@][^.@]*", label[len(tag) :]))
+    return _parts[sig]
+
 
-    def end() -> None:
-        node, text = stack.pop(), " ".join("".join(texts.pop()).split())
-        if text:
-            node[TEXT], node[CHARS] = text[:200], len(text)
-        node[CHILDREN] = folded(node[CHILDREN])
+def general(a: str, b: str) -> str:
+    """The signature of both: the names that they share."""
+    if a == b:
+        return a
+    (tag, kind), names = parts(a)
+    return tag + "".join(sorted(names & parts(b)[1])) + (f"*{kind}" if kind else "")
+
+
+def tree(page: str, texts: bool = False) -> list:
+    """The page as a wrapper of its own; with texts, leaves keep their text."""
+    root = ["", False, False, 1, 0, 0, []]
+    stack, buffer = [root], []
+
+    def flush() -> None:
+        if buffer:
+            text = " ".join("".join(buffer).split())
+            buffer.clear()
+            if text:
+                stack[-1][CHILDREN].append([LEAF, False, False, 1, xxhash.xxh64_intdigest(text) or 1, len(text), text if texts else []])
 
     for kind, what in events(page):
         if kind == "text":
-            if not below or not below[-1][0]:
-                texts[-1].append(what)
-        elif kind == "open" and len(stack) > DEEP:
-            gone, inside = below[-1] if below else (False, any(main_kind(n[SIG]) is not None for n in stack))
-            below.append((gone or is_aside(what, inside), inside or main_kind(what) is not None))
-            texts[-1].append(" ")
-        elif kind == "close" and below:
-            below.pop()
-            texts[-1].append(" ")
-        elif kind == "open":
-            stack[-1][CHILDREN].append([what, False, False, 1, None, 0, []])
-            stack.append(stack[-1][CHILDREN][-1])
-            texts.append([])
+            buffer.append(what)
+            continue
+        flush()
+        if kind == "open":
+            stack.append([what, False, False, 1, 0, 0, []])
+            stack[-2][CHILDREN].append(stack[-1])
         else:
-            end()
-    end()
+            close(stack.pop())
+    flush()
+    close(root)
     return root
 
 
-def folded(nodes: list) -> list:
-    """Siblings with repeats as repeated nodes: of one element, then of groups of two to four."""
-    if len({n[SIG] for n in nodes}) > WIDE:
-        nodes = widened(nodes)
+def close(node: list) -> None:
+    node[CHARS] = sum([c[CHARS] for c in node[CHILDREN]])
+    node[DIGEST] = xxhash.xxh64_intdigest(f"{node[SIG]} {[c[DIGEST] for c in node[CHILDREN]]}") or 1
+
+
+def merged(a: list, b: list, apart: bool = True) -> list:
+    """The least wrapper that covers both, of different pages or (not apart) of one."""
+    same = a[DIGEST] == b[DIGEST] != 0
+    below = [] if a[SIG] == LEAF else aligned(a[CHILDREN], b[CHILDREN], apart)
+    seen = a[SEEN] + b[SEEN] if apart else max(a[SEEN], b[SEEN])
+    return [general(a[SIG], b[SIG]), a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], seen, a[DIGEST] if same else 0, a[CHARS] + b[CHARS], below]
+
+
+def optional(n: list) -> list:
+    return [n[SIG], True, *n[REPEATED:]]
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, given by their second place, whose first places rise too."""
+    tops: list[int] = []
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (i, _) in enumerate(pairs):
+        at = bisect_left(tops, i)
+        back.append(ends[at - 1] if at else -1)
+        tops[at : at + 1], ends[at : at + 1] = [i], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def anchors(a: list, b: list, key: Callable[[list], Hashable] = lambda n: n[DIGEST]) -> list[tuple[int, int]]:
+    """Places of siblings with equal keys that are alone of their kind on each side, in order."""
+    once: list[dict[Hashable, int]] = [{}, {}]
+    for nodes, places in zip((a, b), once, strict=True):
+        for i, n in enumerate(nodes):
+            if k := key(n):
+                places[k] = -1 if k in places else i
+    return rising([(once[0][k], j) for k, j in once[1].items() if j >= 0 and once[0].get(k, -1) >= 0])
+
+
+def shape(n: list) -> Hashable:
+    """What tells like elements apart: signature and those of the children."""
+    return None if n[SIG] == GROUP or n[REPEATED] else (n[SIG], frozenset([s for c in n[CHILDREN] for s in members(c)]) if n[SIG] != LEAF else ())
+
+
+def aligned(a: list, b: list, apart: bool = True) -> list:
+    """Two child sequences as one: equal subtrees first, then what is between them."""
+    if len(a) == len(b) == 1 and a[0][SIG] == b[0][SIG]:
+        return [merged(a[0], b[0], apart)]
+    return split(a, b, apart, anchors(a, b), between)
+
+
+def split(a: list, b: list, apart: bool, at: list[tuple[int, int]], rest: Callable[[list, list, bool], list]) -> list:
+    """Elements at the given places meet, stretches between them by another rule."""
     out: list = []
-    for n in nodes:
-        if out and out[-1][SIG] == n[SIG]:
-            out[-1] = merged(out[-1], n)
-            out[-1][REPEATED] = True
-        else:
-            out.append(n)
-    for size in (2, 3, 4):
-        i = 0
-        while i + 2 * size <= len(out):
-            sigs = [n[SIG] for n in out]
-            if sigs[i : i + size] != sigs[i + size : i + 2 * size]:
-                i += 1
-                continue
-            group, j = out[i : i + size], i + size
-            while sigs[j : j + size] == sigs[i : i + size]:
-                group = [merged(a, b) for a, b in zip(group, out[j : j + size], strict=True)]
-                j += size
-            out[i:j] = [[f"({' '.join(sigs[i : i + size])})", False, True, 1, None, 0, group]]
-            i += 1
+    i = j = 0
+    for p, q in [*at, (len(a), len(b))]:
+        out += rest(a[i:p], b[j:q], apart)
+        if p < len(a):
+            out.append(merged(a[p], b[q], apart))
+        i, j = p + 1, q + 1
     return out
 
 
-def widened(nodes: list) -> list:
-    """Siblings told apart by tag only; those of repeated groups stand by themselves."""
-    out = []
-    for n in nodes:
-        if n[SIG][:1] == "(":
-            out += [[c[SIG], c[OPTIONAL], True, *c[SEEN:]] for c in widened(n[CHILDREN])]
-        else:
-            out.append([wide(n[SIG]), *n[OPTIONAL:]])
+def between(a: list, b: list, apart: bool) -> list:
+    """Two stretches without common anchors as one: by signatures in order, else by shapes, else by what repeats."""
+    sigs = [n[SIG] for n in a]
+    if GROUP not in sigs and sigs == [n[SIG] for n in b]:
+        return [merged(x, y, apart) for x, y in zip(a, b, strict=True)]
+    return split(a, b, apart, anchors(a, b, shape) if a and b else [], repeating)
+
+
+def repeating(a: list, b: list, apart: bool) -> list:
+    """Two stretches as one, with each signature once."""
+    a, b = folded(a), folded(b)
+    at = {s: i for i, n in enumerate(a) for s in members(n)}
+    boxes: list[list[int]] = []  # stretches of a and of b whose elements meet, in order on both sides
+    for i, j in sorted({(at[s], j) for j, n in enumerate(b) for s in members(n) if s in at}):
+        box = [i, i, j, j]
+        while boxes and not (boxes[-1][1] < box[0] and boxes[-1][3] < box[2]):
+            p, q, r, s = boxes.pop()
+            box = [min(p, box[0]), max(q, box[1]), min(r, box[2]), max(s, box[3])]
+        boxes.append(box)
+    out: list = []
+    i = j = 0
+    for p, q, r, s in [*boxes, [len(a), len(a), len(b), len(b)]]:
+        out += loose(a[i:p], b[j:r], apart)
+        if p < len(a):
+            out.append(grouped(a[p : q + 1], b[r : s + 1], apart))
+        i, j = q + 1, s + 1
     return out
 
 
-def merged(a: list, b: list) -> list:
-    """The least wrapper that covers two of the same signature."""
-    text = a[TEXT] if a[TEXT] == b[TEXT] else "" if a[TEXT] is not None or b[TEXT] is not None else None
-    return [a[SIG], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[SEEN] + b[SEEN], text, a[CHARS] + b[CHARS], aligned(a[CHILDREN], b[CHILDREN])]
-
-
-def aligned(a: list, b: list) -> list:
-    """Two child sequences as one: the longest common subsequence by signature, the rest optional."""
-    one, two = (any(is_wide(n[SIG]) for n in k) for k in (a, b))
-    if one != two:
-        a, b = (a, folded(widened(b))) if one else (folded(widened(a)), b)
-    x, y = [n[SIG] for n in a], [n[SIG] for n in b]
-    if x == y:
-        return [merged(p, q) for p, q in zip(a, b, strict=True)]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][SIG], True, *a[i][REPEATED:]])
-            i += 1
-        else:
-            out.append([b[j][SIG], True, *b[j][REPEATED:]])
+def members(n: list) -> list[str]:
+    return [c[SIG] for c in n[CHILDREN]] if n[SIG] == GROUP else [n[SIG]]
+
+
+def folded(nodes: list) -> list:
+    """Siblings with each signature once: those that repeat as a repeated element, or group where they alternate."""
+    last = {s: i for i, n in enumerate(nodes) for s in members(n)}
+    if len(last) == sum([len(members(n)) for n in nodes]):
+        return nodes
+    out, i = [], 0
+    while i < len(nodes):
+        j = end = i
+        while j <= end:
+            end = max([end, *[last[s] for s in members(nodes[j])]])
             j += 1
-    return folded(out) if len(out) > 1 else out
+        out.append(nodes[i] if end == i else grouped(nodes[i : end + 1], [], False))
+        i = end + 1
+    return out
+
+
+def grouped(a: list, b: list, apart: bool) -> list:
+    """The elements of both stretches as one element or as a repeated group with each signature once."""
+    if len(a) == len(b) == 1 and a[0][SIG] != GROUP and b[0][SIG] != GROUP:
+        return merged(a[0], b[0], apart)
+    sides: list[dict[str, list]] = []
+    for nodes in (a, b):
+        side: dict[str, list] = {}
+        for n in nodes:
+            for c in n[CHILDREN] if n[SIG] == GROUP else [n]:
+                side[c[SIG]] = [*merged(side[c[SIG]], c, False)] if c[SIG] in side else c
+        sides.append(side)
+    one, two = sides
+    out = [merged(n, two[s], apart) if s in two else optional(n) if two else n for s, n in one.items()]
+    out += [optional(n) for s, n in two.items() if s not in one]
+    if len(out) == 1:
+        return [*out[0][:REPEATED], True, *out[0][SEEN:]]
+    bare = any([bool(x) and all([n[OPTIONAL] for n in x]) for x in (a, b)])
+    return [GROUP, bare, True, max([n[SEEN] for n in out]), 0, sum([n[CHARS] for n in out]), out]
+
+
+def loose(a: list, b: list, apart: bool) -> list:
+    """Stretches with no signature in common: elements of one tag and kind meet in order, the rest is optional."""
+    waiting: dict[tuple[str, str], deque[int]] = {}
+    for i, n in enumerate(a):
+        if n[SIG] != GROUP:
+            waiting.setdefault(parts(n[SIG])[0], deque()).append(i)
+    new: list = [optional(n) for n in a]
+    after: dict[int, list] = {}
+    last = -1
+    for n in b:
+        places = waiting.get(parts(n[SIG])[0]) if n[SIG] != GROUP else None
+        while places and (places[0] < last or places[0] == last and (last in after or not new[last][REPEATED])):
+            places.popleft()
+        if places:
+            i = places[0]
+            new[i] = merged(new[i] if i == last else a[i], n, apart and i != last)
+            last = i
+        else:
+            after.setdefault(last, []).append(optional(n))
+    out = after.get(-1, [])
+    for i, n in enumerate(new):
+        out += [n, *after.get(i, [])]
+    return out
 
 
 def expression(node: list) -> str:
-    """The wrapper as a regular expression over tags, #text for slots."""
-    inner = ("#text " if node[TEXT] == "" else f"{node[TEXT]!r} " if node[TEXT] else "") + " ".join(map(expression, node[CHILDREN]))
-    body = f"({inner.strip()})" if node[SIG][:1] == "(" else f"<{node[SIG]}>{inner.strip()}</>" if node[SIG] else inner.strip()
+    """The wrapper as a regular expression over tags, #text for slots and #same for constant text."""
+    if node[SIG] == LEAF:
+        body = "#same" if node[DIGEST] else "#text"
+    else:
+        inner = " ".join([expression(c) for c in node[CHILDREN]])
+        body = f"({inner})" if node[SIG] == GROUP else f"<{node[SIG]}>{inner}</>" if node[SIG] else inner
     return body + ("+" if node[REPEATED] else "") + ("?" if node[OPTIONAL] else "")
 
 
-def rules(wrapper: list) -> list[str]:
-    """The path of the element with most slot text right below it, if any."""
-    densest = (0, "")
+def plain(wrapper: list) -> str:
+    """A wrapper as text: its nodes in order, each with its depth."""
+    rows: list = []
+    stack = [(0, wrapper)]
+    while stack:
+        depth, n = stack.pop()
+        rows.append([depth, n[SIG], int(n[OPTIONAL]) + 2 * int(n[REPEATED]), n[SEEN], n[DIGEST], n[CHARS]])
+        stack += [(depth + 1, c) for c in reversed(n[CHILDREN])] if n[SIG] != LEAF else []
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def unplain(text: str) -> list:
+    path: list = []
+    for depth, sig, flags, seen, digest, chars in json.loads(text):
+        node = [sig, bool(flags & 1), bool(flags & 2), seen, digest, chars, []]
+        del path[depth:]
+        if path:
+            path[-1][CHILDREN].append(node)
+        path.append(node)
+    return path[0]
+
+
+def elements(node: list) -> Iterator[list]:
+    """The children of a node, those of groups one by one."""
+    for c in node[CHILDREN]:
+        if c[SIG] == GROUP:
+            yield from c[CHILDREN]
+        else:
+            yield c
 
-    def walk(node: list, path: str, inside: bool) -> int:
-        nonlocal densest
-        group = node[SIG][:1] == "("
-        if not group and node[SIG]:
-            if is_aside(node[SIG], inside):
-                return 0
-            path = f"{path} {node[SIG]}"
-            inside = inside or main_kind(node[SIG]) is not None
-        below = 0
-        for child in node[CHILDREN]:
-            below += walk(child, path, inside)
-        if group:
-            return below
-        if below > densest[0]:
-            densest = (below, path)
-        return node[CHARS] if node[TEXT] == "" or node[SEEN] == 1 and node[TEXT] else 0
 
-    walk(wrapper, "", False)
-    return [densest[1]] if densest[0] else []
+def rules(wrapper: list) -> dict:
+    """What extraction needs of a wrapper: the siblings along the way to the region, and constants to be dropped.
 
+    way: for each step the siblings (signature, optional, repeated, digest) and the place of the one to take; drop: pairs of
+    a parent's tag and kind and the digest of a constant.
+    """
+    deep()
+    if wrapper[SEEN] < 2 or wrapper[DIGEST]:
+        return {}
+    slots: dict[int, tuple[int, bool]] = {}  # slot text of each element that is no aside, and whether headings have some
+
+    def weigh(node: list, inside: bool) -> tuple[int, int, bool]:
+        """Characters in slots and in all, and whether headings hold slots."""
+        if node[SIG] == LEAF:
+            return (0 if node[DIGEST] else node[CHARS]), node[CHARS], False
+        if node[SIG] and is_aside(node[SIG], inside):
+            return 0, 0, False
+        inside = inside or main_kind(node[SIG]) is not None
+        own = total = 0
+        heads = False
+        for c in elements(node):
+            x, y, z = weigh(c, inside)
+            own, total, heads = own + x, total + y, heads or z
+        heads = heads or own > 0 and tag_of_node(node) in HEADINGS
+        slots[id(node)] = own, heads
+        return own, total, heads
+
+    own, total, _ = weigh(wrapper, False)
+    if own <= VARIED * total:
+        return {}
+    way, at, inside = [], wrapper, False
+    while True:
+        most = slots[id(at)][0]
+        below = list(elements(at))
+        heavy = max(range(len(below)), key=lambda k: slots.get(id(below[k]), (0,))[0], default=None)
+        if heavy is None or tag_of_node(at) == "article":
+            break
+        best = below[heavy]
+        if best[SIG] == LEAF or best[REPEATED] or not any(best is c for c in at[CHILDREN]) or slots.get(id(best), (0,))[0] < NEARLY_ALL * most:
+            break
+        if any(slots.get(id(c), (0, False))[1] for c in below if c is not best):
+            break
+        place = next(k for k, c in enumerate(at[CHILDREN]) if c is best)
+        way.append([[[c[SIG], c[OPTIONAL], c[REPEATED], c[DIGEST]] if c[SIG] != GROUP else [GROUP, True, True, 0] for c in at[CHILDREN]], place])
+        at, inside = best, inside or main_kind(best[SIG]) is not None
+    drop: list = []
+    constant = [0]
+
+    def constants(node: list, inside: bool) -> None:
+        inside = inside or main_kind(node[SIG]) is not None
+        for c in elements(node):
+            if c[SIG] != LEAF and (is_aside(c[SIG], inside) or tag_of_node(c) in HEADINGS):
+                continue
+            if c[DIGEST]:
+                if c[CHARS] and c[SEEN] >= max(PAGES, node[SEEN] / 2):
+                    drop.append([*parts(node[SIG])[0], c[DIGEST]])
+                    constant[0] += c[CHARS]
+            elif c[SIG] != LEAF:
+                constants(c, inside)
+
+    if wrapper[SEEN] >= PAGES:
+        constants(at, inside)
+    return {"way": way, "drop": drop if constant[0] <= slots[id(at)][0] else []}
+
+
+def tag_of_node(node: list) -> str:
+    return parts(node[SIG])[0][0]
+
+
+def located(step: list, page: list) -> list | None:
+    """The child of a page's element that the wrapper's step takes."""
+    siblings, place = step
+    wanted = siblings[place]
+    kind, names = parts(wanted[0])
+    fits = lambda s: parts(s)[0] == kind and names <= parts(s)[1]
+    nodes = page[CHILDREN]
+    # Between the nearest anchors on either side.
+    known = [[s[0], 0, 0, 0, s[3]] for s in siblings]
+    low, high, i, j = 0, len(nodes), 0, len(siblings)
+    for p, q in anchors(known, nodes):
+        if p == place:
+            return nodes[q]
+        if p < place:
+            low, i = q + 1, p + 1
+        else:
+            high, j = q, p
+            break
+    here = [n for n in nodes[low:high] if n[SIG] != LEAF and fits(n[SIG])]
+    like = [k for k in range(i, j) if siblings[k][0] != GROUP and parts(siblings[k][0])[0] == kind and parts(siblings[k][0])[1] >= names]
+    sure = [k for k in like if not siblings[k][1] or k == place]
+    rank = (sure if len(here) <= len(sure) else like).index(place)
+    return here[min(rank, len(here) - 1)] if here else None
 
-def extract(page: str | None, regions: list[str]) -> str:
-    """The text of the first kind of region that the page has, block by block; of the whole page if it has none."""
-    steps = regions[0].split() if regions else []
-    found: list[list[str]] = [[] for _ in range(5)]
-    # How many steps of the path lead here (-1: others do), the kinds of regions around, whether within an aside.
-    stack: list[tuple[int, tuple[bool, ...], bool]] = [(0, (False,) * 4, False)]
-    buffer: list[str] = []
-    seen = [False] * 4 + [True]
 
-    def flush() -> None:
-        if buffer:
-            text = " ".join("".join(buffer).split())
-            buffer.clear()
-            _, inside, gone = stack[-1]
-            if text and not gone:
-                for k, here in enumerate((*inside, True)):
-                    if here:
-                        found[k].append(text)
-
-    for kind, what in events(page or ""):
-        if kind == "text":
-            buffer.append(what)
-            continue
-        flush()
-        if kind == "close":
-            stack.pop()
+def blocks(node: list, inside: bool, drop: set[tuple[str, str, int]]) -> list[str]:
+    """The texts of a part, block by block, without asides and constants."""
+    out: list[str] = []
+    stack = [(node, inside)]
+    while stack:
+        n, within = stack.pop()
+        if n[SIG] == LEAF:
+            out.append(n[CHILDREN])
             continue
-        at, inside, gone = stack[-1]
-        gone = gone or is_aside(what, any(inside[:3]))
-        at = at + 1 if 0 <= at < len(steps) and steps[at] in (what, wide(what)) else -1
-        if not gone:
-            kind = 3 if at > 0 and at == len(steps) else None
-            for k in (main_kind(what), kind):
-                if k is not None:
-                    inside = (*inside[:k], True, *inside[k + 1 :])
-                    seen[k] = True
-        stack.append((at, inside, gone))
-    flush()
-    return "\n\n".join(next(f for f, s in zip(found, seen, strict=True) if s))
+        within = within or main_kind(n[SIG]) is not None
+        own = parts(n[SIG])[0]
+        for c in reversed(n[CHILDREN]):
+            if (*own, c[DIGEST]) not in drop and (c[SIG] == LEAF or not is_aside(c[SIG], within)):
+                stack.append((c, within))
+    return out
+
+
+def size(texts: list[str]) -> int:
+    return sum([len(t) for t in texts])
+
+
+def extract(page: str | None, told: dict | None = None) -> str:
+    """The main text of a page by the rules of its host's wrapper, or by names where they don't tell."""
+    root = tree(page or "", True)
+    told = told or {}
+    drop = {(a, b, d) for a, b, d in told.get("drop", [])}
+    at: list | None = root if told.get("way") else None
+    inside = False
+    for step in told.get("way", []):
+        at = located(step, at)
+        if at is None:
+            break
+        inside = inside or main_kind(at[SIG]) is not None
+    found = by_names(at, inside, drop) if at is not None else []
+    return "\n\n".join(found or by_names(root, False, drop, True))
+
+
+def by_names(root: list, inside: bool, drop: set[tuple[str, str, int]], alone: bool = False) -> list[str]:
+    """The text of the articles, main elements or elements named as content in a part, else of the whole.
+
+    The first kind counts that has half of the text, or an eighth where it is one element. alone: no wrapper has chosen
+    the part, so without such elements the one with over half of the text right below it does.
+    """
+    whole = blocks(root, inside, drop)
+    if tag_of_node(root) == "article":
+        return whole
+    kinds: list[list[list]] = [[], [], []]
+    densest: tuple[int, list | None] = (0, None)
+    stack = [(root, (inside, False, False, False))]
+    while stack:
+        n, around = stack.pop()
+        kind = main_kind(n[SIG])
+        if kind is not None and not around[kind + 1]:
+            kinds[kind].append(n)
+            around = (*around[: kind + 1], True, *around[kind + 2 :])
+        below = 0
+        for c in reversed(n[CHILDREN]):
+            if c[SIG] != LEAF and not is_aside(c[SIG], any(around)):
+                stack.append((c, around))
+                below += sum([x[CHARS] for x in c[CHILDREN] if x[SIG] == LEAF])
+        if below > densest[0]:
+            densest = (below, n)
+    for nodes in kinds:
+        found = [t for n in nodes for t in blocks(n, True, drop)]
+        if found and (2 if len(nodes) > 1 else 8) * size(found) >= size(whole):
+            return found
+    if not alone or any(kinds) or 2 * densest[0] <= size(whole):
+        return whole
+    return blocks(densest[1], inside, drop)
 
 
 def host_of(url: Column) -> Column:
@@ -367,41 +617,53 @@ def host_of(url: Column) -> Column:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host of a partition; handed on early if there are many hosts."""
+    """One wrapper for each host of a partition; handed on early if there are many hosts or nodes."""
+    deep()
     held: dict[str, list] = {}
+    met: set[tuple[str, int]] = set()
+    nodes = 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(json.dumps, held.values()), pa.string())], ["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([plain(w) for w in held.values()], pa.string())], ["host", "wrapper"])
 
     for batch in batches:
         for part in slices(batch, "html"):
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 new = tree(page or "")
+                if (host, new[DIGEST]) in met:
+                    continue
+                met.add((host, new[DIGEST]))
                 held[host] = merged(held[host], new) if host in held else new
-                if len(held) >= HOSTS:
+                nodes += (page or "").count("<")
+                if len(held) >= HOSTS or nodes >= NODES:
                     yield out()
                     held.clear()
+                    met.clear()
+                    nodes = 0
     yield out()
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    deep()
     wrapper = None
-    for text in rows.wrapper:
-        new = json.loads(text)
+    for text in sorted(rows.wrapper):
+        new = unplain(text)
         wrapper = new if wrapper is None else merged(wrapper, new)
-    return pd.DataFrame({"host": [rows.host.iloc[0]], "wrapper": [json.dumps(wrapper)]})
+    return pd.DataFrame({"host": [rows.host.iloc[0]], "wrapper": [plain(wrapper)]})
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (as JSON) and rules (as JSON) of every host of pages."""
-    parts = pages.select(host_of(F.col(quoted(url_col))).alias("host"), F.col(quoted(html_col)).alias("html")).mapInArrow(_fold, "host string, wrapper string")
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id()), F.lit(64)))
-    parts = parts.groupBy("host", "salt").applyInPandas(_merge, "host string, wrapper string")
-    whole = parts.groupBy("host").applyInPandas(_merge, "host string, wrapper string")
+    """host, wrapper (its nodes as JSON) and rules (as JSON) of every host of pages."""
+    folded_ = pages.select(host_of(F.col(quoted(url_col))).alias("host"), F.col(quoted(html_col)).alias("html")).mapInArrow(_fold, "host string, wrapper string")
+    whole = folded_
+    for groups in (4096, 64):
+        whole = whole.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(groups)).alias("salt")).applyInPandas(_merge, "host string, wrapper string")
+    whole = whole.groupBy("host").applyInPandas(_merge, "host string, wrapper string")
 
     def ruled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deep()
         for batch in batches:
-            made = [json.dumps(rules(json.loads(w))) for w in batch.column(1).to_pylist()]
+            made = [json.dumps(rules(unplain(w)), separators=(",", ":")) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["host", "wrapper", "rules"])
 
     return whole.mapInArrow(ruled, "host string, wrapper string, rules string")
@@ -429,7 +691,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
             for part in slices(batch, source):
                 made = []
                 for name, page, rule in zip(part.column(host).to_pylist(), part.column(source).to_pylist(), part.column(own).to_pylist(), strict=True):
-                    made.append(extract(page, json.loads(rule) if rule else told.value.get(name, [])))
+                    made.append(extract(page, json.loads(rule) if rule else told.value.get(name)))
                 heads = [f for f in part.schema if f.name in inner]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in heads] + [pa.array(made, pa.string())], schema=pa.schema([*heads, pa.field("text_out", pa.string())]))
 
