@@ -527,6 +527,75 @@ def test_wrapped_licences(spark):
     assert {k: (files[k], g) for k, g in got.items() if g != (files[k][0], "header" if files[k][0] else "none")} == {}
 
 
+PROBES = [
+    ("BSD-3-Clause", "LICENSE", "Copyright (c) 2023, Someone\nAll rights reserved.\n\n" + f"{licences.BSD}\n\n{licences.BSD_THIRD}\n\n{licences.BSD_REST}"),
+    ("BSD-2-Clause", "LICENSE", "BSD 2-Clause License\n\nCopyright (c) 2023, Someone\nAll rights reserved.\n\n" + f"{licences.BSD}\n\n{licences.BSD_REST}"),
+    ("BSD-3-Clause", "x.c", "/*\n * Copyright 2023 Someone. All rights reserved.\n *\n * " + f"{licences.BSD}\n\n{licences.BSD_THIRD}\n\n{licences.BSD_REST}".replace("\n", "\n * ") + "\n */\nint x;"),
+    ("Apache-2.0", "x.py", "# Copyright 2024 The Authors. All rights reserved.\n#\n# " + licences.APACHE.replace("\n", "\n# ") + "\nimport os\n"),
+    ("Apache-2.0", "LICENSE", licences.APACHE_TITLE + "\n\n1. Definitions.\n\n" + "Legal words that nobody has written down here. " * 50),
+    ("MIT", "MIT-LICENSE.txt", "Copyright (c) 2024 Jane Doe\n\n" + licences.MIT + "\n\n" + licences.MIT_REST),
+    ("LGPL-2.1", "x.h", "// " + licences.GNU.format(name="Lesser General", version="2.1").replace("\n", "\n// ") + "\nint x;"),
+    ("GPL-3.0", "COPYING", licences.GNU_TITLE.format(NAME="GENERAL", version="3", dated="29 June 2007") + "\n\nPreamble\n\n" + "More legal words. " * 100),
+    ("ISC", "x.js", licences.ISC + licences.ISC_TERM + "\n\n" + licences.ISC_REST),
+    ("Proprietary", "x.py", "# Copyright 2024 Acme. All rights reserved.\nx = 1"),
+    (None, "notes_license.py", "x = 1"),
+]
+
+
+def test_whole_texts_and_headers_of_licences(spark):
+    rows = [(k, f"d{k}/{path}", text) for k, (_, path, text) in enumerate(PROBES)] + [(100 + k, f"e{k}/x.py", "All rights reserved.") for k in range(300)]
+    frame = spark.createDataFrame(rows, "id int, path string, text string")
+    got = {r.id: r.licence for r in licences.scan_licences(frame).collect()}
+    assert [got[k] for k in range(len(PROBES))] == [want for want, _, _ in PROBES]
+    assert all(got[100 + k] == "Proprietary" for k in range(300))
+
+
+def brute_licence(path, passages, weight, norm):
+    """The best template of a file by dense vectors."""
+    best = []
+    for terms in passages:
+        for name, template in norm:
+            dot = sum(n * terms.count(t) * weight(t) ** 2 for t, n in template.items())
+            length = lambda c: sum((n * weight(t)) ** 2 for t, n in c.items()) ** 0.5
+            cosine = round(dot / length(template) / length({t: terms.count(t) for t in set(terms)}), 6)
+            if cosine >= licences.LEAST:
+                best.append((name == licences.CLAIM, -cosine, name))
+    return min(best)[1:] if best else None
+
+
+def test_cosines_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+    words = re.findall(licences.TERM, " ".join(t for _, t in licences.TEMPLATES).lower()) + ["zebra", "quagga", "okapi"]
+    lines = []
+    for _, text in licences.TEMPLATES[:40] * 2:
+        own = text.split()
+        for _ in range(rng.randint(0, len(own) // 3 + 1)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        lines.append(" ".join(own).replace("?", "").replace(". ", " "))
+    files = [(k, f"d{k}/x.py", line) for k, line in enumerate(lines)] + [(1000 + k, f"e{k}/x.py", lines[0]) for k in range(50)]
+    frame = spark.createDataFrame(files, "id int, path string, text string")
+    got = {r.id: (r.licence, r.similarity) for r in licences.scan_licences(frame).collect()}
+    rows = frame.select("id", licences.passages(F.col("text"), F.col("path")).alias("p")).collect()
+    seen = Counter(p for r in rows for p in r.p)
+    norm = [(name, Counter(re.findall(licences.TERM, text.lower()))) for name, text in licences.TEMPLATES]
+    known = {t for _, c in norm for t in c}
+    total = sum(seen.values()) + len(norm)
+    having = Counter()
+    for p, n in seen.items():
+        for t in set(p.split()):
+            having[t] += n
+    weight = lambda t: math.log((1 + total) / (1 + having[t] + sum(t in c for _, c in norm) if t in known else (1 + total) / 2 and 2)) + 1
+    for r in rows:
+        want = brute_licence("", [p.split() for p in r.p], weight, norm)
+        have = got[r.id]
+        assert (want is None) == (have[0] is None)
+        if want:
+            assert have[0] == want[1] and abs(have[1] + want[0]) < 1e-5
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
