@@ -285,6 +285,40 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def brute_neighbours(x, q, k=20):
+    score = x @ x[q]
+    score[q] = -np.inf
+    return sorted(range(len(x)), key=lambda i: (-round(score[i], 9), i))[:k]
+
+
+def test_recall_with_copies_and_clusters():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2000] = x[0]  # a third of all rows are one vector
+    x[2000:2700] = x[2000] + 0.01 * rng.normal(size=(700, 48))  # and many are like another
+    here = neighbours.Block(np.arange(len(x)), x)
+    queries = list(range(1, 6000, 60))
+    hits = []
+    for q, own in zip(queries, here.lists(x[queries]), strict=True):
+        ids, scores = here.search(q, x[q], own)
+        want = brute_neighbours(x, q)
+        assert len(ids) == 20 and q not in ids and np.allclose(scores, x[ids] @ x[q])
+        hits.append(np.mean(scores >= x[want[-1]] @ x[q] - 1e-9))
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.5
+    assert here.search(1, x[1], here.lists(x[1:2])[0])[0].tolist() == [0, *range(2, 21)]
+
+
+def test_vectors_of_several_sizes_and_repeated_ids(spark):
+    rows = [(k, [float(k % 7), 1.0, float(k)]) for k in range(40)] + [(100 + k, [1.0, float(k)]) for k in range(0, 60, 20)] + [(20, [9.0, 9.0, 9.0]), (7, [50.0, 50.0, 50.0])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: len(v) for q, v in got.items()} == {0: 3, 20: 3, 100: 2, 120: 2, 140: 2}
+    assert sorted(got[100]) == [(1, 140, 1.0 + 0.0), (2, 120, 1.0)] or {v for _, v, _ in got[100]} == {120, 140}
+    assert sorted(got[0])[0][1:] == (7, 50.0) and sorted(got[20])[0][1:] == (7, 6 * 50.0 + 50.0 + 20 * 50.0)
+
+
 def test_language_id(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.held_out(F.col("doc_id"), 4, 2)
