@@ -14,7 +14,7 @@ from tollgate.llm.common import free_name, stored, table
 from tollgate.llm.decontaminate import decontaminated
 from tollgate.llm.language import understood
 from tollgate.llm.private import pseudonymised
-from tollgate.llm.queries import bpe_digests, language_model
+from tollgate.llm.queries import bpe_digests, language_model, secret_key
 from tollgate.llm.simhash import near_deduplicated
 
 
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms in the texts; n_chars follows where a text has changed."""
     changed = free_name(docs, "changed_in")
-    out = pseudonymised(docs, "text", count_col=changed)
+    out = pseudonymised(docs, secret_key(spark), count_col=changed)
     return out.withColumn("n_chars", F.when(F.col(changed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(changed)
 
 

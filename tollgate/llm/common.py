@@ -62,6 +62,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(df: DataFrame, name: str) -> str:
+    """The column of df that name means: the one of that very name, else the only one but for case."""
+    like = [c for c in df.columns if c.lower() == name.lower()]
+    if name in like:
+        return name
+    if len(like) != 1:
+        raise ValueError(f"no column {name!r}" if not like else f"column {name!r} is not the only one of its name")
+    return like[0]
+
+
 def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[list], list[list]], tool: str | None = None) -> DataFrame:
     """df with columns computed from one text column in Arrow batches; a column of df with a new name is replaced.
 

@@ -1,14 +1,16 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
 Validated numbers (cards by Luhn, IBANs by mod 97, US social security numbers, IPv4 addresses, phone numbers), dates,
-e-mail addresses and long hexadecimal secrets are permuted within their format by a keyed Feistel network over mixed
-radices, with SHA-512 as the round function. Equal values, however they are spaced, get equal pseudonyms in all
-documents, and different values different ones. The permutation is P, a step of one in each place, and P backwards:
-so no value stays what it was. Check digits are computed anew. Values that fail validation stay.
+e-mail addresses, long hexadecimal secrets and access tokens with known prefixes are permuted within their format by a
+keyed Feistel network over mixed radices, with SHA-512 as the round function. Equal values, however they are spaced, get
+equal pseudonyms in all documents, and different values different ones. The permutation is P, a step of one in each
+place, and P backwards: so no value stays what it was. Check digits are computed anew. Dates of the years 1900 to 2099
+stay within them, others outside. Values that fail validation stay; so do digits without separators, but for cards, as
+nothing tells them from other numbers. Who has the key can undo all pseudonyms, so it has no default.
 
 Cases: null stays null, empty stays empty; texts without private values stay byte for byte; rows are independent, so
-repeated rows change alike; an empty table gives an empty one; other columns are kept, except n_private, which is
-replaced. Very long texts are one pass of one regular expression.
+repeated rows change alike; an empty table gives an empty one; the text column is found whatever its case; other columns
+are kept, except n_private, which is replaced. Very long texts are one pass of one regular expression.
 """
 
 from __future__ import annotations
@@ -19,23 +21,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import free_name, quoted
+from tollgate.llm.common import free_name, named, quoted
 
-KEY = "tollgate"
 ROUNDS = 8
-#: Days from 1900-01-01 to 2099-12-31: 17 times 4297.
-DAYS, YEAR_0 = (17, 4297), "1900-01-01"
+#: The days of 1900 to 2099, and those of the years 1 to 1899 and 2100 to 9999, each as a product of two radices.
+DAYS, OTHER_DAYS = (17, 4297), (1258, 2845)
+FIRST, YEAR_1900, DAYS_BEFORE = "0001-01-01", "1900-01-01", 693595
+#: Put around what is found; texts that hold it themselves are split by the expression a second time.
+MARK = "\x01\x02"
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
-SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
+TOKENS = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "xoxb-", "xoxp-"]
+TOKEN = rf"(?<![0-9A-Za-z_-])(?:{'|'.join(TOKENS)})[0-9A-Za-z]{{16,}}+(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){3,4})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9])"
+DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 IP = rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])"
-ANY = "|".join([EMAIL, SECRET, IBAN, PHONE, SSN, DATE, CARD, IP])
+#: All kinds; those that begin with a digit, a sign or a bracket are only tried there.
+PLAIN = "|".join([SECRET, TOKEN, IBAN, f"(?=[0-9+(])(?:{'|'.join([PHONE, SSN, DATE, CARD, IP])})"])
+ANY = f"{EMAIL}|{PLAIN}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -109,7 +117,7 @@ def mod97(text: Column) -> Column:
     return F.aggregate(letters(text), F.lit(0), lambda a, c: F.pmod(F.when(c < "A", a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of a text that ANY has found."""
     k = lambda kind: F.lit(f"{key}|{kind}")
     whole = lambda pattern: value.rlike(rf"^(?:{pattern})\z")
@@ -131,29 +139,50 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     octets = F.split(value, r"\.").cast("array<int>")
     ip = F.array_join(permuted(octets, F.transform(octets, lambda _: F.lit(256)), k("ip")).cast("array<string>"), ".")
 
+    secret = let(F.regexp_extract(value, f"^(?:{'|'.join(TOKENS)})", 0), lambda head: let(value.substr(F.length(head) + 1, F.length(value)), lambda rest: F.concat(head, swapped(rest, k("token")))))
+
     def dated(pattern: str) -> Column:
-        def moved(day: Column) -> Column:
-            parts = permuted(F.array((day / DAYS[1]).cast("int"), F.pmod(day, F.lit(DAYS[1]))), F.array(F.lit(DAYS[0]), F.lit(DAYS[1])), k("date"))
-            return let(parts, lambda x: F.date_format(F.date_add(F.to_date(F.lit(YEAR_0)), x.getItem(0) * DAYS[1] + x.getItem(1)), pattern))
+        def moved(day: Column, radices: tuple[int, int], kind: str) -> Column:
+            return let(permuted(F.array((day / radices[1]).cast("int"), F.pmod(day, F.lit(radices[1]))), F.array(*map(F.lit, radices)), k(kind)), lambda x: x.getItem(0) * radices[1] + x.getItem(1))
+
+        def placed(day: Column) -> Column:
+            span = DAYS[0] * DAYS[1]
+            inside = moved(day - DAYS_BEFORE, DAYS, "date") + DAYS_BEFORE
+            outside = let(moved(F.when(day < DAYS_BEFORE, day).otherwise(day - span), OTHER_DAYS, "other date"), lambda d: F.when(d < DAYS_BEFORE, d).otherwise(d + span))
+            return F.when(day.between(DAYS_BEFORE, DAYS_BEFORE + span - 1), inside).otherwise(outside)
 
-        day = F.datediff(F.to_date(F.try_to_timestamp(value, F.lit(pattern))), F.to_date(F.lit(YEAR_0)))
-        return let(day, lambda d: F.when(d.between(0, DAYS[0] * DAYS[1] - 1), moved(d)))
+        day = F.datediff(F.to_date(F.try_to_timestamp(value, F.lit(pattern))), F.to_date(F.lit(FIRST)))
+        return let(day, lambda d: F.when(d >= 0, F.date_format(F.date_add(F.to_date(F.lit(FIRST)), placed(d).cast("int")), pattern)))
 
     date = F.coalesce(F.when(value.rlike("^[0-9]{4}-"), dated("yyyy-MM-dd")).when(value.contains("/"), F.coalesce(dated("MM/dd/yyyy"), dated("dd/MM/yyyy"))).otherwise(dated("dd.MM.yyyy")), value)
 
-    kinds = [(value.contains("@"), email), (value.rlike(r"^[0-9A-Fa-f]{32,}\z"), swapped_hex(value, k("hex"))), (value.rlike("^[A-Z]"), F.when(good_iban, iban).otherwise(value)), (whole(SSN), ssn), (whole(PHONE), phone), (whole(DATE), date), (whole(IP), ip)]
+    kinds = [(value.contains("@"), email), (value.rlike(r"^[0-9A-Fa-f]{32,}\z"), swapped_hex(value, k("hex"))), (value.rlike(f"^(?:{TOKEN})\\z"), secret), (value.rlike("^[A-Z]"), F.when(good_iban, iban).otherwise(value)), (whole(SSN), ssn), (whole(PHONE), phone), (whole(DATE), date), (whole(IP), ip)]
     return reduce(lambda c, x: c.when(*x), kinds[1:], F.when(*kinds[0])).otherwise(F.when(luhn(bare(value)) == 0, card).otherwise(value))
 
 
-def pseudonymised(documents: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = "n_private") -> DataFrame:
+def parts(text: Column) -> Column:
+    """A text cut before and after each private value: every other part is one."""
+
+    def cut(pattern: str) -> Column:
+        marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        # A text that holds the mark itself is passed twice: once for what is between, once for what is found.
+        between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        twice = F.flatten(F.zip_with(between, F.concat(found, F.array(F.lit(""))), lambda a, b: F.array(a, b)))
+        return F.when(text.contains(MARK), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(marked)
+
+    return F.when(text.contains("@"), cut(ANY)).when(text.rlike("[0-9]"), cut(PLAIN)).otherwise(F.array(text))
+
+
+def pseudonymised(documents: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_private") -> DataFrame:
     """documents with private values replaced in text_col, and the number of those that changed."""
-    found, new = free_name(documents, "found_in"), free_name(documents, "new_in")
-    text = F.col(quoted(text_col))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    text_col = named(documents, text_col)
+    old, new = free_name(documents, "old_in"), free_name(documents, "new_in")
     keep = [c for c in documents.columns if not count_col or c.lower() != count_col.lower()]
-    out = documents.select(*[quoted(c) for c in keep], F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias(found))
-    out = out.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
-    between = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    changed = F.coalesce(F.size(F.filter(F.zip_with(found, F.coalesce(new, F.array()), lambda a, b: a != b), lambda x: x)), F.lit(0))
-    columns = [F.when(F.size(found) > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(quoted(c)) for c in keep]
-    return out.select(*columns, *([F.when(F.size(found) > 0, changed).otherwise(0).cast("long").alias(count_col)] if count_col else []))
+    out = documents.select(*[quoted(c) for c in keep], parts(F.col(quoted(text_col))).alias(old))
+    out = out.withColumn(new, F.when(F.size(old) > 1, F.transform(old, lambda x, i: F.when(i % 2 == 1, pseudonym(x, key)).otherwise(x))))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x)).cast("long")
+    some = F.size(old) > 1
+    columns = [F.when(some, F.array_join(new, "")).otherwise(F.col(quoted(c))).alias(c) if c == text_col else F.col(quoted(c)) for c in keep]
+    return out.select(*columns, *([F.when(some, changed).otherwise(0).cast("long").alias(count_col)] if count_col else []))
