@@ -196,8 +196,8 @@ def brute_hits(texts, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("most_bytes", [1 << 20, 200])
-def test_decontamination(spark, most_bytes):
+@pytest.mark.parametrize("most_windows", [1 << 20, 40])
+def test_decontamination(spark, most_windows):
     rng = random.Random(2)
     word = lambda: rng.choice(["the", "of", "über", "x1", "and", "漢字"])
     line = lambda n: " ".join(word() for _ in range(n))
@@ -207,7 +207,7 @@ def test_decontamination(spark, most_bytes):
         item = rng.choice(items)[1] or "x"
         texts.append(f"{line(rng.randint(0, 30))}, {item.upper() if item.isascii() else item.replace(' ', ' -- ')}. {line(rng.randint(0, 9))}")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = find_benchmark(table(spark, texts), bench, most_bytes=most_bytes).orderBy("doc_id").collect()
+    got = find_benchmark(table(spark, texts), bench, most_windows=most_windows).orderBy("doc_id").collect()
     assert [(r.n_words, len(r.hit_words), r.item_ids) for r in got] == brute_hits(texts, items)
     for r in got:
         for at in r.hit_words[:50]:
@@ -219,6 +219,28 @@ def test_decontamination(spark, most_bytes):
     assert find_benchmark(table(spark, []), bench).count() == 0
 
 
+def test_long_items_come_in_pieces(spark, monkeypatch):
+    from tollgate.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    line = " ".join(f"w{k}" for k in range(60))
+    got = find_benchmark(table(spark, [line, line[: line.index(" w55")], "w1 w2"]), spark.createDataFrame([(1, line)], "item_id long, text string"), most_windows=20)
+    assert [(r.n_words, len(r.hit_words), r.item_ids) for r in got.orderBy("doc_id").collect()] == [(60, 60, ["1"]), (55, 55, ["1"]), (2, 0, [])]
+
+
+def test_memory_of_an_automaton():
+    from tollgate.llm import decontaminate
+
+    rng = random.Random(6)
+    line = " ".join(f"word{rng.randrange(40_000)}" for _ in range(decontaminate.MOST_WINDOWS // 3))
+    used = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    before = used()
+    built = decontaminate.Automaton([("x", line)])
+    assert used() - before < 1000 * len(line.split()) * 1.5
+    assert built.tree.get_stats()["nodes_count"] <= 20 * len(line.split())
+    assert len(built.scan("so " + line.upper())[1]) == len(line.split())
+
+
 def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 

@@ -5,9 +5,11 @@ A window is `window` consecutive words of an item (questions and answers alike);
 is one window. Text is scanned once, as its normalised words joined by spaces; each hit is mapped back to the place in
 the original text.
 
-The automaton lives in each Python worker. Benchmarks are small and documents are not, so the items are collected; if
-their text is above `most_bytes`, they are dealt into shards and the documents pass one automaton after the other,
-without a shuffle, so nothing is dropped at any size.
+The automaton lives in each Python worker, over numbers of words, two letters each, so a window costs at most twice as
+many nodes as it has words. Benchmarks are small and documents are not, so the items are collected; those of over
+`most_windows` windows are dealt into shards, and one job after the other scans the documents, which are written once, for
+the windows of one shard. So neither memory nor what the driver collects grows with the benchmark, and nothing is dropped
+at any size.
 
 Cases: null and empty texts have no words and no hit; repeated rows are scanned alike and all kept; an empty benchmark
 gives no hits; a null item_id is listed as the text "null"; repeated items and repeated item_ids count once; other
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import count
+from math import isqrt
 
 import ahocorasick
 import numpy as np
@@ -27,13 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import arrow_type, free_name, quoted, slices
+from tollgate.llm.common import arrow_type, free_name, named, quoted, slices, stored
 
 WINDOW = 10
-MOST_BYTES = 64 << 20
+#: Windows of one automaton; it and what it is built from take about 1 kB each in a worker.
+MOST_WINDOWS = 150_000
+#: Windows of one piece of a long item.
+PIECE = 10_000
 
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
+STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_words", SPANS), T.StructField("item_ids", T.ArrayType(T.StringType(), False))])
+SOURCE = "text_in"
+WORD, UPPER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ids = count()
 
 
@@ -55,9 +64,13 @@ class Automaton:
         for item, text in items:
             for w in windows(text, window):
                 owners.setdefault(w, set()).add(item)
+        known = sorted({x for w in owners for x in w})
+        base = isqrt(len(known)) + 1
+        # The two letters of a word's number are of different ranges, so no match begins within a word.
+        self.letters = {x: chr(2 + k // base) + chr(2 + 2 * base + k % base) for k, x in enumerate(known)}
         self.tree = ahocorasick.Automaton()
         for w, who in owners.items():
-            self.tree.add_word(f" {b' '.join(w).decode('latin-1')} ", (len(w), tuple(sorted(who))))
+            self.tree.add_word("".join([self.letters[x] for x in w]), (len(w), tuple(sorted(who))))
         self.empty = not owners
         if owners:
             self.tree.make_automaton()
@@ -71,12 +84,11 @@ class Automaton:
         words = spaced.split()
         if self.empty or not words:
             return len(words), [], set()
-        line = f" {b' '.join(words).decode('latin-1')} "
-        found = list(self.tree.iter(line))
+        get = self.letters.get
+        found = list(self.tree.iter("".join([get(w, "\0\0") for w in words])))
         if not found:
             return len(words), [], set()
-        breaks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        last = np.searchsorted(breaks, [end for end, _ in found])
+        last = np.array([end for end, _ in found]) // 2 + 1
         edge, items = np.zeros(len(words) + 1, np.int64), set()
         np.add.at(edge, last, -1)
         np.add.at(edge, last - [n for _, (n, _) in found], 1)
@@ -91,27 +103,50 @@ class Automaton:
 _built: dict[str, Automaton] = {}
 
 
-def find_benchmark(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+def pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """item, words (normalised, joined by spaces) and windows (their number) of the items, long ones in pieces."""
+    words = F.regexp_extract_all(F.translate(F.col(quoted(text_col)), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+    rows = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("null")).alias("item"), words.alias("all")).filter(F.size("all") > 0)
+    total = F.greatest(F.size("all") - window + 1, F.lit(1))
+    starts = F.sequence(F.lit(0), total - 1, F.lit(PIECE))
+    rows = rows.select("item", "all", total.alias("total"), F.explode(starts).alias("start"))
+    return rows.select("item", F.array_join(F.slice("all", F.col("start") + 1, F.lit(PIECE + window - 1)), " ").alias("words"), F.least(F.col("total") - F.col("start"), F.lit(PIECE)).alias("windows"))
+
+
+def find_benchmark(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """documents with n_words, hit_words (the ranges of characters of each hit word) and item_ids (sorted as strings)."""
-    spark = documents.sparkSession
-    items = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("null")).alias("item"), F.col(quoted(item_text_col)).alias("words")).filter("words is not null")
-    total = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-total // most_bytes))
-    fields = [("n_words", T.LongType()), ("hit_words", SPANS), ("item_ids", T.ArrayType(T.StringType(), False))]
-    names = {n for n, _ in fields}
+    text_col, item_col, item_text_col = named(documents, text_col), named(benchmark, item_col), named(benchmark, item_text_col)
+    items = pieces(benchmark, item_col, item_text_col, window)
+    total = items.agg(F.sum("windows")).first()[0] or 0
+    shards = 1 if total <= most_windows else -(-total * 5 // (4 * most_windows))  # some are larger than others
+    names = {f.name for f in STATE}
     keep = [c for c in documents.columns if c.lower() not in names]
-    source, state = "text_in", T.StructType([T.StructField(n, t) for n, t in fields])
     inner = [f"c{i}" for i in range(len(keep))]  # plain names while Python has the rows
-    out = documents.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, inner, strict=True)], F.col(quoted(text_col)).alias(source), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("hit_words"), F.array().cast("array<string>").alias("item_ids"))
-    for shard in range(shards):
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == shard)
-        bundle = spark.sparkContext.broadcast([(r.item, r.words) for r in part.collect()])
-        out = out.mapInArrow(_scanner(bundle, f"{spark.sparkContext.applicationId}-{next(_ids)}", source, state, window, shards > 1), T.StructType(out.select(*inner, source).schema.fields + state.fields))
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, inner, strict=True)], *[n for n, _ in fields])
-
-
-def _scanner(bundle, key: str, source: str, state: T.StructType, window: int, more: bool):
-    new = pa.schema([(f.name, arrow_type(f.dataType)) for f in state.fields])
+    rows = documents.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, inner, strict=True)], F.col(quoted(text_col)).alias(SOURCE))
+    if shards == 1:
+        out = scanned(rows, items, inner, window)
+    else:
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+        items = stored(items.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(shards))), "items")
+        some = [stored(scanned(rows.select("row", SOURCE), items.filter(F.col("shard") == k), ["row"], window).filter("size(hit_words) > 0"), "hits") for k in range(shards)]
+        every = some[0]
+        for more in some[1:]:
+            every = every.unionByName(more)
+        joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        hits = every.groupBy(F.col("row").alias("hit_row")).agg(joined("hit_words"), joined("item_ids"))
+        out = rows.join(hits, F.col("row") == F.col("hit_row"), "left")
+        none = lambda f: F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name)
+        n_words = F.coalesce(F.regexp_count(F.translate(F.col(SOURCE), UPPER, UPPER.lower()), F.lit(WORD)), F.lit(0)).cast("long")
+        out = out.select(*inner, n_words.alias("n_words"), none(STATE["hit_words"]), none(STATE["item_ids"]))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, inner, strict=True)], *STATE.names)
+
+
+def scanned(rows: DataFrame, items: DataFrame, inner: list[str], window: int) -> DataFrame:
+    """The columns inner of rows with what the automaton of items finds in SOURCE."""
+    spark = rows.sparkSession
+    bundle = spark.sparkContext.broadcast([(r.item, r.words) for r in items.select("item", "words").collect()])
+    key = f"{spark.sparkContext.applicationId}-{next(_ids)}"
+    new = pa.schema([(f.name, arrow_type(f.dataType)) for f in STATE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
@@ -119,16 +154,13 @@ def _scanner(bundle, key: str, source: str, state: T.StructType, window: int, mo
             _built[key] = Automaton(bundle.value, window)
         scan = _built[key].scan
         for batch in batches:
-            for part in slices(batch, source):
-                found = [scan(t) for t in part.column(source).to_pylist()]
-                if more:  # join with what the other shards have found
-                    olds = zip(part.column("hit_words").to_pylist(), part.column("item_ids").to_pylist(), strict=True)
-                    found = [(n, sorted({*at, *((x["start"], x["end"]) for x in a)}), {*who, *b}) for (n, at, who), (a, b) in zip(found, olds, strict=True)]
+            for part in slices(batch, SOURCE):
+                found = [scan(t) for t in part.column(SOURCE).to_pylist()]
                 made = [pa.array([n for n, _, _ in found], new[0].type), pa.array([[{"start": a, "end": b} for a, b in at] for _, at, _ in found], new[1].type), pa.array([sorted(who) for _, _, who in found], new[2].type)]
-                heads = [f for f in part.schema if f.name not in new.names]
+                heads = [f for f in part.schema if f.name in inner]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in heads] + made, schema=pa.schema(heads + list(new)))
 
-    return run
+    return rows.select(*inner, SOURCE).mapInArrow(run, T.StructType([*rows.select(*inner).schema.fields, *STATE.fields]))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,5 +168,5 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "
     flagged = free_name(documents, "hits_in")
     keep = documents.columns
     inner = documents.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)])
-    found = find_benchmark(inner, benchmark, f"c{keep.index(text_col)}").withColumn(flagged, F.size("hit_words"))
+    found = find_benchmark(inner, benchmark, f"c{keep.index(named(documents, text_col))}").withColumn(flagged, F.size("hit_words"))
     return found.filter(F.col(flagged) == 0).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)])
