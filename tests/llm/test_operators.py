@@ -78,6 +78,19 @@ def test_token_counts_and_cache(spark, texts, tmp_path, name):
     assert count_tokens(table(spark, []), path, f"file://{tmp_path}/none").count() == 0
 
 
+def test_a_race_of_first_runs_counts_once(spark, tmp_path, monkeypatch):
+    from tollgate.llm import token_counts
+
+    cache = f"file://{tmp_path}/cache"
+    rows = table(spark, ["one text", "two texts", "one text"])
+    count_tokens(rows, BYTE_BPE, cache).collect()
+    seen = token_counts.cached
+    calls = []
+    monkeypatch.setattr(token_counts, "cached", lambda *a: None if not calls and not calls.append(1) else seen(*a))
+    assert count_tokens(rows, BYTE_BPE, cache).count() == 3  # it found nothing at first, though there is a cache
+    assert spark.read.parquet(f"{cache}/*").count() == 4
+
+
 def brute_fingerprint(text):
     import xxhash
 
@@ -112,8 +125,8 @@ def test_fingerprints(spark):
     assert simhash.fingerprint("a b c") == spark_hash % 2**64
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_links_against_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "ranges"), [(2048, 5), (16, 5), (2048, 6), (16, 7), (64, 9)])
+def test_links_against_all_pairs(spark, block, ranges):
     rng = random.Random(3)
     fps = [rng.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
     for f in fps[:20]:
@@ -126,7 +139,7 @@ def test_links_against_all_pairs(spark, block):
     fps += [hot ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2]))) for _ in range(150)]
     fps = sorted(set(fps))
     rows = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
-    labels = {r.v: r.root for r in simhash.components(simhash.links(rows, block)).collect()}
+    labels = {r.v: r.root for r in simhash.components(simhash.links(rows, block, ranges)).collect()}
     want = brute_components(fps)
     groups = {}
     for f, w in zip(fps, want, strict=True):
@@ -134,6 +147,41 @@ def test_links_against_all_pairs(spark, block):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_ranges_follow_the_size():
+    assert [simhash.ranges_for(n) for n in (0, 10**6, 10**7, 10**9, 10**10)] == [5, 5, 6, 7, 8]
+    for r in range(5, 14):
+        parts = simhash.masks(r)
+        for bits in ((0, 1, 2), (0, 31, 63), (5, 40, 41), (13, 26, 52)):
+            assert any(not m & sum(1 << b for b in bits) for m in parts)
+
+
+def test_hot_cell(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    free = [k for k in range(64) if k >= 26]  # all share 26 bits, so they share a cell
+    fps = np.full(30_000, base, np.uint64)
+    for k in range(len(fps)):
+        for b in rng.choice(free, rng.integers(3, 9), replace=False):
+            fps[k] ^= np.uint64(1 << int(b))
+    fps = np.unique(fps)
+    rows = spark.createDataFrame([(simhash.signed(int(f)),) for f in fps], "fp long")
+    cells = simhash.links(rows)
+    got = {r.v: r.root for r in simhash.components(cells).collect()}
+    root, left = np.full(len(fps), -1), np.arange(len(fps))
+    while len(left):
+        queue, name = [int(left[0])], int(left[0])
+        left = left[1:]
+        root[name] = name
+        while queue and len(left):
+            near = left[np.bitwise_count(fps[left] ^ fps[queue.pop()]) <= 3]
+            root[near] = name
+            queue += near.tolist()
+            left = left[root[left] < 0]
+    own = np.array([got.get(simhash.signed(int(f)), simhash.signed(int(f))) for f in fps])
+    assert len(np.unique(own)) == len(np.unique(root)) == len({*zip(own.tolist(), root.tolist())})
+    assert len(np.unique(root)) < len(fps) // 3
+
+
 def test_near_dedup_keeps_one(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = table(spark, [base, base, base + " tail", "something else", None, ""], 10).unionByName(table(spark, [base], 10))

@@ -6,7 +6,8 @@ these has a sparse random index vector; its word vector is the sum of the index
 sample, at length one, plus its own. A document is the mean of its words' vectors with a few statistics of the words;
 a network with one hidden layer gives the score, and a temperature fitted on a tenth of the sample calibrates it.
 
-The sample is bounded: about `rows` labelled rows, and of them, in the order of a hash, those that make up `most_bytes`.
+The sample is bounded: about `rows` labelled rows, and of their ids, in the order of a hash, those whose texts still fit
+into `most_bytes`.
 Scores are computed from whole texts.
 
 Cases: null and empty texts are scored by the network as a text without words; null labels aren't learned from; rows
@@ -52,7 +53,7 @@ class Words(dict):
         shape = word
         for pattern, by in LETTERS:
             shape = pattern.sub(by, shape)
-        self[word] = out = VOCABULARY + zlib.crc32(shape[:16].encode("utf-8", "surrogatepass")) % SHAPES
+        self[word] = out = VOCABULARY + zlib.crc32(shape.encode("utf-8", "surrogatepass")) % SHAPES
         return out
 
 
@@ -126,11 +127,14 @@ def fit(labelled: DataFrame, documents: DataFrame, id_col: str = "doc_id", text_
     picked = labels.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(1 << 30) < share).orderBy(F.xxhash64("id")).limit(2 * rows).collect()  # at most 2 * rows small rows
     picked = spark.createDataFrame([(r.id, r.label) for r in picked], labels.schema)
     texts = documents.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter("text is not null")
-    total, kept = 0, []
-    for r in sorted(texts.join(F.broadcast(picked), "id").select("id", "label", F.octet_length("text").alias("n")).collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), r.n, r.label)):
-        total += r.n
-        if total <= most_bytes:
-            kept.append((r.id, r.label))
+    total = 0
+    sizes = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.sum(F.octet_length("text").cast("long")).alias("n"))
+    held_ids = set()
+    for r in sorted(sizes.collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id))):  # a row for each id
+        if total + r.n <= most_bytes:
+            total += r.n
+            held_ids.add(r.id)
+    kept = [(r.id, r.label) for r in picked.collect() if r.id in held_ids]
     picked = spark.createDataFrame(sorted(set(kept)), labels.schema)
     found = sorted((r.text, r.label) for r in texts.join(F.broadcast(picked), "id").select("text", "label").collect())
     y = np.array([label for _, label in found], float)

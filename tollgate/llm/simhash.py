@@ -2,10 +2,12 @@
 
 A fingerprint is embedded as the bit counts of its 32 two-bit segments, each in unary code (0: 00, 1: 01, 2: 11), so
 that the Manhattan distance of two embeddings is the number of differing code bits. It never exceeds the Hamming
-distance of the fingerprints, so within `DISTANCE` = 3 it is a filter that loses no link. The 32 places are dealt to six
-ranges; of three units of distance at least three ranges get none, so two linked fingerprints share a cell of the grid
-over some three ranges: twenty grids, a row for each. Within a cell, pairs are first held against the Manhattan
-distance and then verified by their differing bits.
+distance of the fingerprints, so within `DISTANCE` = 3 it is a filter that loses no link. The range join is one of equal
+cells in projections of this space: its 32 places are dealt to some ranges, and of three units of distance all but three
+ranges get none, so two linked fingerprints share a cell of the grid over all but some three ranges. The number of ranges
+follows the number of fingerprints (ten grids over two of five ranges up to eight millions, twenty over three of six
+beyond, and so on), so a cell holds a few fingerprints at every size of the table; all numbers of ranges give the same
+links. Within a cell, pairs are first held against the Manhattan distance and then verified by their differing bits.
 
 No cell emits all its pairs: it gives a spanning forest of its links, which has the same components. Cells of more than
 `BLOCK` fingerprints are cut into blocks, and each pair of blocks is a group of its own, so no task gets a whole hot
@@ -35,7 +37,8 @@ WORDS = 3
 SEED = 42
 DISTANCE = 3
 BLOCK = 2048
-RANGES = (10, 10, 10, 10, 12, 12)
+#: Fingerprints that a cell holds on average, at most; a two-bit segment has about three halves of a bit of information.
+CROWD = 16
 LOW = 0x5555555555555555
 #: The links of near_deduplicated: words of a shingle, the Jaccard similarity as a fraction, bands and rows of MinHash
 #: cells (a pair of similarity 0.8 shares none with a chance of 0.0002), members of a block of a large cell.
@@ -47,11 +50,16 @@ TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS)
 MOST_CELLS = 100_000
 
 
-def masks() -> list[int]:
-    """The code bits of each choice of three ranges."""
-    ends = list(accumulate(RANGES))
-    parts = [((1 << n) - 1) << (end - n) for n, end in zip(RANGES, ends, strict=True)]
-    return [sum(three) for three in combinations(parts, len(RANGES) - DISTANCE)]
+def ranges_for(n: int) -> int:
+    """The number of ranges for n fingerprints."""
+    return next((r for r in range(DISTANCE + 2, 13) if n <= CROWD * 2 ** (48 * (r - DISTANCE) // r)), 13)
+
+
+def masks(ranges: int) -> list[int]:
+    """The code bits of each choice of all ranges but three."""
+    ends = [64 * k // (2 * ranges) * 2 for k in range(1, ranges)] + [64]
+    parts = [(1 << b) - (1 << a) for a, b in zip([0, *ends], ends, strict=False)]
+    return [sum(some) for some in combinations(parts, ranges - DISTANCE)]
 
 
 def signed(x: int) -> int:
@@ -141,10 +149,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(heads, fps)
 
 
-def links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fingerprints: DataFrame, block: int = BLOCK, ranges: int | None = None) -> DataFrame:
     """Distinct links u < v that connect distinct fingerprints (column fp) as all links within DISTANCE do."""
     code = embedded(F.col("fp"))
-    cells = fingerprints.select("fp", F.posexplode(F.array(*[code.bitwiseAND(F.lit(signed(m))) for m in masks()])).alias("grid", "cell"))
+    ranges = ranges or ranges_for(fingerprints.count())
+    cells = fingerprints.select("fp", F.posexplode(F.array(*[code.bitwiseAND(F.lit(signed(m))) for m in masks(ranges)])).alias("grid", "cell"))
     hot = stored(cells.groupBy("grid", "cell").count().filter(F.col("count") > block), "cells")
     n = hot.count()
     if n:
@@ -160,13 +169,13 @@ def links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
     return cells.mapInArrow(_links, "u bigint, v bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The least vertex (root) reachable from each vertex v of edges (u, v). Each round is written to the shared folder."""
     spark = edges.sparkSession
     edges = stored(edges, "links")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = stored(both.groupBy(F.col("u").alias("v")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "labels")
-    for _ in range(rounds):
+    while True:  # the sum of the labels falls in every round but the last
         near = both.join(labels, "v").groupBy(F.col("u").alias("v")).agg(F.min("root").alias("near"))
         told = labels.join(near, "v").select("v", "root", F.least("root", "near").alias("next"))
         told = stored(told, "told")
@@ -178,7 +187,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("v", F.col("next").alias("root"))
         if not changed:
             return labels
-    raise RuntimeError(f"no end after {rounds} rounds")
 
 
 def near_duplicates(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, component_col: str = "component_id", fingerprint_col: str = "fingerprint") -> DataFrame:

@@ -123,9 +123,8 @@ def count_tokens(documents: DataFrame, file: str, cache: str, text_col: str = "t
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(_loaded[version](part.column("text").to_pylist()), pa.int64())], ["digest", "n_tokens"])
 
     fresh.mapInArrow(run, CACHE).write.mode("append").parquet(folder)
-    counts = cached(spark, folder)
-    if known is not None:
-        counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Concurrent runs may have appended a digest twice, be it before this one looked or since.
+    counts = cached(spark, folder).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = counts.withColumnsRenamed({"digest": "digest_in", "n_tokens": "n_tokens_in"})
     keep = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(documents.columns) if c.lower() not in ("n_bytes", "n_tokens")]
     names = [c for c in documents.columns if c.lower() not in ("n_bytes", "n_tokens")]
