@@ -3,6 +3,10 @@
 Language ID (texts that it rejects go), SimHash near-duplicates (one document of each component stays), benchmark
 decontamination (documents with a window of a test item go), pseudonyms for private values, and BPE encoding and
 decoding. All stages but the last return the columns of documents.
+
+Cases: texts that are null, empty or without a letter go with the first stage; rows without an id are compared like any
+other and come last when one of a component is chosen; rows that repeat an id stay where their texts are unlike, and
+equal rows are one; extra columns are kept up to the last stage, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations

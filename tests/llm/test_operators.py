@@ -767,7 +767,9 @@ def test_cosines_against_brute_force(spark):
 
 
 def test_pipeline_against_brute_force(spark):
+    """All stages by plain Python; the near-duplicate stage links 3 bits, and five-word shingles of similarity 0.8."""
     import corpus_pipeline
+    from tollgate.llm.queries import secret_key
 
     sf = "/root/testdata/sf0.001"
     rows = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
@@ -775,14 +777,47 @@ def test_pipeline_against_brute_force(spark):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     model = corpus_pipeline.language_model(spark.read.parquet(f"{sf}/documents.parquet"))
     docs = [d for d in docs if not model.predict(d.text)[2]]
-    roots = brute_components([brute_fingerprint(d.text) for d in docs])
+    roots, sets = brute_components([brute_fingerprint(d.text) for d in docs]), [shingle_set(d.text) for d in docs]
+    for i in range(len(docs)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and roots[i] != roots[j]:
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if r == high else r for r in roots]
     docs = [d for k, d in enumerate(docs) if roots[k] == k]
     docs = [d for d, hit in zip(docs, brute_hits([d.text for d in docs], bench), strict=True) if not hit[1]]
     assert set(rows) == {d.doc_id for d in docs}
     library = Tokenizer.from_file(BYTE_BPE)
-    plain = [d for d in docs if not re.search(r"[0-9@]", d.text)]
-    assert plain
-    for d in plain:
-        ids = np.array(library.encode(d.text, add_special_tokens=False).ids, "<u4")
-        assert rows[d.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
-        assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+    hidden = private.pseudonymised(spark.createDataFrame([(d.doc_id, d.text) for d in docs], "doc_id long, text string"), secret_key(spark)).collect()
+    assert any(h.n_private for h in hidden)
+    for h in hidden:
+        ids = np.array(library.encode(h.text, add_special_tokens=False).ids, "<u4")
+        assert rows[h.doc_id].ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert rows[h.doc_id].decoded_sha256 == hashlib.sha256(h.text.encode()).hexdigest()
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang is not null").limit(60)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    item = bench.filter("length(text) > 60").first().text
+    extra = "row string, fp string, n_private string, n_words string, `a.b` string"
+    text = base.orderBy(F.desc("n_chars")).first().text
+    odd = [(None, text), (None, text), (7_000_001, text + " end"), (7_000_001, text + " end"), (7_000_002, None), (7_000_003, ""), (7_000_004, f"{text[:400]} {item}"), (None, None)]
+    rows = spark.createDataFrame([(i, t, None, None, None, *"abcde") for i, t in odd], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs = base.selectExpr("doc_id", "text", "lang", "source", "n_chars", "'a' row", "'b' fp", "'c' n_private", "'d' n_words", "'e' `a.b`").unionByName(rows)
+    for name, table_, items in (("some", docs, bench), ("none", docs.limit(0), bench), ("no items", docs, bench.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        table_.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            got = run(spark, got, folder)
+            if stage != "bpe":
+                assert got.columns == docs.columns
+                got.write.parquet(f"{folder}/{stage}")
+                got = spark.read.parquet(f"{folder}/{stage}")
+        ids = [r.doc_id for r in got.collect()]
+        assert len(ids) == len(set(ids)) and not {7_000_001, 7_000_002, 7_000_003, None} & set(ids)
+        assert (7_000_004 in ids) == (name == "no items")
+        assert (len(ids) > 20) == (name != "none")
