@@ -224,7 +224,7 @@ def test_like_texts_are_linked(spark, monkeypatch, block):
     for i, j in like * 8:
         root[i] = root[j] = root[root[i]] = root[root[j]] = min(root[i], root[j])
     least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
-    monkeypatch.setattr(simhash.likes, "__defaults__", (block,))
+    monkeypatch.setattr(simhash.likes, "__defaults__", (None, block))
     assert {r.doc_id for r in simhash.near_deduplicated(table(spark, texts)).collect()} == set(least.values())
 
 

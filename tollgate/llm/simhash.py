@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import add_columns, discard, quoted, stored
+from tollgate.llm.common import add_columns, discard, named, quoted, stored
 
 WORDS = 3
 SEED = 42
@@ -41,10 +41,11 @@ BLOCK = 2048
 CROWD = 16
 LOW = 0x5555555555555555
 #: The links of near_deduplicated: words of a shingle, the Jaccard similarity as a fraction, bands and rows of MinHash
-#: cells (a pair of similarity 0.8 shares none with a chance of 0.0002), members of a block of a large cell.
+#: cells (a pair of similarity 0.8 shares none with a chance of 0.0002), bands that are held against each other before
+#: the others, members and bytes of a block of a large cell.
 SHINGLE, LIKE = 5, (4, 5)
-BANDS, ROWS = 16, 4
-LIKE_BLOCK = 512
+BANDS, ROWS, BEFORE = 16, 4, 2
+LIKE_BLOCK, LIKE_BYTES = 4096, 32 << 20
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Hot cells are broadcast up to this many, each about 40 bytes.
 MOST_CELLS = 100_000
@@ -186,6 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(spark, labels)
         labels = new.select("v", F.col("next").alias("root"))
         if not changed:
+            discard(spark, edges)
             return labels
 
 
@@ -212,13 +214,14 @@ def banded(hashes: np.ndarray) -> list[int]:
 
 
 def _printed(texts: list) -> list[list]:
-    """Fingerprint, digest of the set of shingles and its cells; texts without words have none."""
-    out: list[list] = [[], [], []]
+    """Fingerprint, digest and size of the set of shingles, and its cells; texts without words have none."""
+    out: list[list] = [[], [], [], []]
     for t in texts:
         kinds = np.unique(shingled(t, SHINGLE))
         out[0].append(signed(fingerprint(t)))
         out[1].append(signed(xxhash.xxh64_intdigest(kinds.astype("<u8").tobytes())))
-        out[2].append(banded(kinds) if len(kinds) else [])
+        out[2].append(len(kinds))
+        out[3].append(banded(kinds) if len(kinds) else [])
     return out
 
 
@@ -242,7 +245,11 @@ def like_forest(fps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
         if not len(maybe):
             continue
         mark[own[i]] = 1
-        both = np.array([mark[own[k]].sum() for k in maybe])
+        if 4 * len(maybe) > len(sets):
+            sums = np.concatenate(([0], np.cumsum(mark[held])))
+            both = sums[ends[maybe]] - sums[ends[maybe] - sizes[maybe]]
+        else:
+            both = np.array([mark[own[k]].sum() for k in maybe])
         mark[own[i]] = 0
         near = maybe[both * below >= (sizes[maybe] + sizes[i] - both) * top]
         if len(near):
@@ -274,16 +281,18 @@ def _likes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield found()
 
 
-def likes(prints: DataFrame, texts: DataFrame, block: int = LIKE_BLOCK) -> DataFrame:
+def likes(cells: DataFrame, texts: DataFrame, labels: DataFrame | None = None, block: int = LIKE_BLOCK) -> DataFrame:
     """Links u < v of fingerprints of texts (row, text) that connect them as all pairs with like sets of shingles do.
 
-    Texts with equal sets are one row from the start. MinHash cells with the same members are one cell, and cells of
-    over `block` members are cut into pairs of blocks. prints: row, fp, digest, bands.
+    cells: row, fp, size (of the set) and cell. Cells with the same members are one, as are, with labels (v and root, of
+    fingerprints), cells whose members are linked already. Those of over `block` members or `LIKE_BYTES` are cut into
+    pairs of blocks.
     """
-    one = prints.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    cells = stored(one.select("row", "fp", F.explode("bands").alias("cell")), "cells")
-    sums = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("x"))
-    kept = sums.filter("n > 1").groupBy("n", "a", "b", "x").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("n") / block).alias("blocks"))
+    roots = cells if labels is None else cells.join(labels.withColumnRenamed("v", "fp"), "fp", "left")
+    root = F.col("row") if labels is None else F.coalesce("root", "fp")
+    sums = roots.groupBy("cell").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor(F.xxhash64("row")).alias("x"), (F.min(root) != F.max(root)).alias("open"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / LIKE_BYTES))
+    kept = sums.filter("n > 1 and open").groupBy("n", "a", "b", "x").agg(F.min("cell").alias("cell"), F.first(blocks).alias("blocks")).select("cell", "blocks")
     own = F.pmod(F.xxhash64("row"), F.col("blocks"))
     pair = lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
     members = cells.join(kept, "cell").select("row", "fp", "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("pair"))
@@ -291,28 +300,43 @@ def likes(prints: DataFrame, texts: DataFrame, block: int = LIKE_BLOCK) -> DataF
     wanted = texts.join(members.select("row").distinct(), "row", "left_semi")
     sets = add_columns(wanted, "text", [T.StructField("kinds", T.ArrayType(T.LongType()))], lambda some: [[np.unique(shingled(t, SHINGLE)).view(np.int64) for t in some]])
     told = members.join(sets.select("row", "kinds"), "row").select("cell", "pair", "fp", "kinds")
-    return told.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_likes, "u bigint, v bigint").distinct()
+    found = stored(told.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_likes, "u bigint, v bigint").distinct(), "likes")
+    discard(texts.sparkSession, members)
+    return found
 
 
 def near_deduplicated(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """documents with one row of each component: the one with the least id.
 
     Links are those of near_duplicates, and pairs of texts whose sets of five-word shingles have a Jaccard similarity
-    of 0.8 or more, which differ in far more bits.
+    of 0.8 or more, which differ in far more bits. The cells of the first bands are held against each other first: they
+    connect most copies, and of the other bands only cells with unconnected members are left to do.
 
     Rows, not ids, are kept: those that share an id but no component all stay, and of those that share both the one
     with the least hash of its text does. A row without an id comes after all with one.
     """
+    spark = documents.sparkSession
+    id_col, text_col = named(documents, id_col), named(documents, text_col)
     names = [f"c{i}" for i in range(len(documents.columns))]
     inner = [F.col(quoted(c)).alias(n) for c, n in zip(documents.columns, names, strict=True)]
     extra = [F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]
     rows = stored(documents.select(*inner, *extra), "rows")
-    fields = [T.StructField("fp", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("fp", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     prints = add_columns(rows.select("row", "id", "text"), "text", fields, _printed)
-    prints = stored(prints.select("row", "id", F.xxhash64("text").alias("tie"), "fp", "digest", "bands"), "prints")
+    prints = stored(prints.select("row", "id", F.xxhash64("text").alias("tie"), *[f.name for f in fields]), "prints")
     order = F.struct(F.col("id").isNull().alias("lost"), "id", "tie", "row")
     firsts = stored(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
-    labels = components(links(firsts.select("fp")).unionByName(likes(prints, rows.select("row", "text"))).distinct())
+    # Texts with equal sets are one row.
+    one = prints.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    cells = stored(one.select("row", "fp", "size", F.posexplode("bands").alias("band", "cell")), "cells")
+    texts = rows.select("row", "text")
+    some = likes(cells.filter(F.col("band") < BEFORE), texts)
+    before = components(links(firsts.select("fp")).unionByName(some).distinct())
+    more = likes(cells.filter(F.col("band") >= BEFORE), texts, before)
+    labels = components(before.select(F.col("root").alias("u"), "v").unionByName(more).filter("u <> v").distinct())
     component = F.coalesce("root", "fp")
     kept = firsts.join(labels.withColumnRenamed("v", "fp"), "fp", "left").groupBy(component).agg(F.min("first").alias("first"))
-    return rows.join(kept.select("first.row"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
+    kept = stored(kept.select("first.row"), "kept")
+    for done in (prints, firsts, cells, some, before, more, labels):
+        discard(spark, done)
+    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
