@@ -6,6 +6,7 @@ variant of its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -20,8 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def allow_last_key(spark: SparkSession) -> None:
-    spark.conf.set(*LAST_KEY)
+def last_key_wins(spark: SparkSession) -> None:
+    """Let the last of equal keys count. Variants take it from the session at run time, so it must be set there; a session
+    that has a value of its own keeps it."""
+    if spark.conf.get(LAST_KEY[0], None) in (None, "false"):
+        spark.conf.set(*LAST_KEY)
 
 
 def lossy_text(raw: Column) -> Column:
@@ -29,20 +33,22 @@ def lossy_text(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
-def document(raw: Column) -> Column:
-    """The payload as a variant, NULL if it is no single JSON document.
+def wrapped(text: Column, mark: str) -> Column:
+    """The text within an object of two keys: parsers stop at the end of the first document, so what the text opens,
+    closes or adds shows in the keys, as it can't foresee the mark."""
+    return F.when(F.is_valid_utf8(text), F.concat(F.lit('{"r":'), text, F.lit(f',"{mark}":1}}')))
+
 
-    Parsers stop at the end of the first document, so the payload is wrapped with a hash that it can't foresee; what it
-    opens, closes or adds then shows in the keys.
-    """
-    text = raw.cast("string")
-    mark = F.sha2(text, 256)
+def unwrapped(w: Column, mark: str) -> Column:
+    """The document that wrapped() holds as a variant, NULL unless it is one."""
+    keys = F.json_object_keys(w)
+    return F.when((F.size(keys) == 2) & F.array_contains(keys, mark), F.try_variant_get(F.try_parse_json(w), "$.r", "variant"))
 
-    def parsed(w: Column) -> Column:
-        good = let(F.json_object_keys(w), lambda keys: (F.size(keys) == 2) & F.array_contains(keys, mark))
-        return F.when(good, F.try_variant_get(F.try_parse_json(w), "$.r", "variant"))
 
-    return F.when(F.is_valid_utf8(text), let(F.concat(F.lit('{"r":'), text, F.lit(',"'), mark, F.lit('":1}')), parsed))
+def document(raw: Column) -> Column:
+    """The payload as a variant, NULL if it is no single JSON document."""
+    mark = uuid.uuid4().hex
+    return unwrapped(wrapped(raw.cast("string"), mark), mark)
 
 
 def members(value: Column) -> Column:

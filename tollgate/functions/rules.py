@@ -5,9 +5,10 @@ A rule gives an issue struct or NULL. A field's rules are tried in order and the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,11 @@ MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt _][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,]
 ZONE = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
 
 
+def held(value: Column) -> Column:
+    """value, kept from being copied into later conditions and projections: it would be computed once for each use."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def issue(path: Column | str, code: str, message: Column | str, value: Column) -> Column:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     return F.struct(
@@ -47,12 +53,9 @@ def amount(text: Column) -> Column:
 def digits(text: Column) -> Column:
     """A decimal's text as struct (number, whole, places): zeros that don't count are left out of the digits."""
     plain = F.regexp_replace(F.when(text.rlike("[eE]"), amount(text).cast("string")).otherwise(text), "^[+-]", "")
-
-    def counted(p: Column) -> Column:
-        places = F.regexp_replace(F.when(p.contains("."), F.substring_index(p, ".", -1)).otherwise(""), "0+$", "")
-        return F.struct(amount(text).alias("number"), F.length(F.regexp_replace(F.substring_index(p, ".", 1), "^0+", "")).alias("whole"), F.length(places).alias("places"))
-
-    return let(plain, counted)
+    whole = F.length(F.regexp_extract(plain, r"^0*([0-9]*)", 1))
+    places = F.length(F.regexp_replace(F.regexp_extract(plain, r"\.([0-9]*)", 1), "0+$", ""))
+    return F.struct(amount(text).alias("number"), whole.alias("whole"), places.alias("places"))
 
 
 def moment(text: Column) -> Column:
@@ -66,7 +69,8 @@ def checked(f: Field, value: Column, path: Column | str, as_of: Column, lax: boo
     return let(F.struct(as_text(value).alias("text"), kind(value).alias("kind")), lambda v: _checked(f, v.getField("text"), v.getField("kind"), path, as_of, lax))
 
 
-def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Column, lax: bool) -> Column:
+def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Column, lax: bool, size: Column | None = None) -> Column:
+    """The same of its text and kind; size: what digits() gives for an amount, if it is at hand."""
     broken = lambda code, message: lambda: issue(path, code, message, text)
     string = of == "STRING"
     null = F.when(F.lit(f.nullable) & (of == "VOID"), F.lit(True)).otherwise(F.lit(False))
@@ -90,7 +94,7 @@ def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Colu
             (trimmed.rlike(NOT_FINITE), broken("finite_number", "Input should be a finite number")),
             (~trimmed.rlike(DECIMAL), broken("decimal_parsing", "Input is no decimal")),
         ]
-        return first_of(*rules, (F.lit(True), lambda: let(digits(trimmed), lambda d: _bounded(f, d, text, path))))
+        return first_of(*rules, (F.lit(True), lambda: _bounded(f, size, text, path) if size is not None else let(digits(trimmed), lambda d: _bounded(f, d, text, path))))
     elif f.kind == "whole":
         huge = of.rlike(r"^DECIMAL\((?:19|[23][0-9]),0\)")
         number = text.try_cast("decimal(38,0)")
@@ -106,7 +110,7 @@ def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Colu
             rules.append((number > f.at_most, broken("less_than_equal", f"Input should be {f.at_most} or less")))
     elif f.kind == "moment":
         known, ts = text.rlike(MOMENT + f"(?:{ZONE})?" + r"\z") | text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), moment(text)
-        ahead = F.format_string("Event timestamp %s is more than 0:05:00 ahead of now (%s)", text, F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        ahead = F.format_string(f"%s is over {SKEW_MINUTES} minutes later than %s", text, F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ssXXX"))
         rules += [
             (~string, broken("datetime_type", "Input should be a time")),
             (~known | ts.isNull(), broken("datetime_parsing", "Input is no time")),
@@ -193,6 +197,73 @@ def _list_issues(f: Field, value: Column, at: Column | str, below: Column | str,
     return let(elements(value), lambda own: F.when(own.isNull(), wrong).when(F.size(own) < f.shortest, few).when(F.size(own) > f.longest, many).otherwise(F.flatten(F.transform(own, of_element))))
 
 
+def step(path: str, name: str) -> str:
+    return f"{path}['{name}']" if "'" not in name else f'{path}["{name}"]'
+
+
+def with_issues(rows: DataFrame, fields: tuple[Field, ...], doc: str, whole: Column, as_of: Column, lax: bool, result: str, where: Column | None = None) -> DataFrame:
+    """rows with result, all issues of the object in the variant column doc: fields in order, then unknown keys.
+
+    Scalars and records are read in layers of plain columns, which are compiled; only lists go element by element. Rows that
+    where excludes, and those whose doc is no object, get NULL.
+    """
+    wanted = F.col(doc).isNotNull() if where is None else where & F.col(doc).isNotNull()
+    scalars: list[tuple[Field, str, str]] = []  # field, path in the variant, path in issues
+    parts: list[tuple[tuple[Field, ...], str, str]] = [(fields, "$", "")]  # objects, in the order of their issues
+    for own, at, named in parts:
+        for f in own:
+            scalars.append((f, step(at, f.name), named + f.name))
+            if f.kind == "record":
+                parts.append((f.fields, step(at, f.name), f"{named}{f.name}."))
+    name = {path: f"__{k}" for k, (_, path, _) in enumerate(scalars)}
+    col = lambda path, what: F.col(f"{name[path]}_{what}")
+    keep = rows.columns
+    values = [held(F.when(wanted, F.try_variant_get(doc, path, "variant"))).alias(f"{name[path]}_v") for _, path, _ in scalars]
+    keys = [held(F.when(wanted, F.map_keys(F.try_variant_get(doc, at, "map<string,variant>")))).alias(f"__keys{k}") for k, (_, at, _) in enumerate(parts)]
+    out = rows.select(*keep, *values, *keys)
+    read = [c for _, path, _ in scalars for c in (held(as_text(col(path, "v"))).alias(f"{name[path]}_t"), held(kind(col(path, "v"))).alias(f"{name[path]}_k"))]
+    out = out.select(*out.columns, *read)
+    sizes = [held(F.when(F.trim(col(path, "t")).rlike(DECIMAL), digits(F.trim(col(path, "t"))))).alias(f"{name[path]}_d") for f, path, _ in scalars if f.kind == "money"]
+    lists = [held(F.when(col(path, "v").isNotNull(), list_issues(f, col(path, "v"), col(path, "k"), named, as_of, lax))).alias(f"{name[path]}_i") for f, path, named in scalars if f.kind == "records"]
+    out = out.select(*out.columns, *sizes, *lists)
+    none = F.array().cast(f"array<{ISSUE.simpleString()}>")
+
+    def of_part(k: int, within: Column) -> list[Column]:
+        own, at, named = parts[k]
+        found: list[Column] = []
+        for f in own:
+            path, place = step(at, f.name), named + f.name
+            value = col(path, "v")
+            if f.kind == "record":
+                below = next(i for i, (_, p, _) in enumerate(parts) if p == path)
+                made = F.when(F.col(f"__keys{below}").isNull(), F.array(issue(place, "model_type", "Input should be an object", col(path, "t")))).otherwise(F.concat(*of_part(below, col(path, "t"))))
+            elif f.kind == "records":
+                made = col(path, "i")
+            else:
+                one = _checked(f, col(path, "t"), col(path, "k"), place, as_of, lax, col(path, "d") if f.kind == "money" else None)
+                made = F.array_compact(F.array(one))
+            missing = F.array(issue(place, "missing", "Field required", within)) if f.required else none
+            found.append(F.when(value.isNull(), missing).otherwise(made))
+        extra = F.array_except(F.col(f"__keys{k}"), F.array(*[F.lit(f.name) for f in own]))
+        have = F.try_variant_get(doc, at, "map<string,variant>")
+        told = F.transform(extra, lambda x: issue(F.concat(F.lit(named), x), "extra_forbidden", "Extra inputs are not permitted", as_text(F.try_element_at(have, x))))
+        return [*found, F.when(F.size(extra) > 0, told).otherwise(none)]
+
+    found = F.when(wanted & F.col("__keys0").isNotNull(), F.concat(*of_part(0, whole)))
+    return out.select(*keep, held(found).alias(result))
+
+
+def list_issues(f: Field, value: Column, of: Column, at: str, as_of: Column, lax: bool) -> Column:
+    """The issues of a list's variant. Lists whose elements all have the plain types, and break no rule, are told at once."""
+    if lax or any(x.kind in ("record", "records") for x in f.fields):
+        return _list_issues(f, value, at, f"{at}.", as_of, lax)
+    names = sorted(f.fields, key=lambda x: x.name)
+    plain = "ARRAY<OBJECT<" + ", ".join(f"{x.name}: {'BIGINT' if x.kind == 'whole' else 'STRING'}" for x in names) + ">>"
+    typed_ = F.try_variant_get(value, "$", T.ArrayType(text_schema(f.fields)).simpleString())
+    good = (of == plain) & F.coalesce(surely_good(f, typed_, as_of), F.lit(False))
+    return F.when(good, F.array().cast(f"array<{ISSUE.simpleString()}>")).otherwise(_list_issues(f, value, at, f"{at}.", as_of, lax))
+
+
 def record_of(fields: tuple[Field, ...], have: Column) -> Column:
     """The typed struct of a valid object's map of variants."""
     made = []
@@ -244,6 +315,17 @@ def surely_good(f: Field, x: Column, as_of: Column) -> Column:
     return F.coalesce(x.isNull() | out if f.has_default else out, F.lit(False))
 
 
+def timely(fields: tuple[Field, ...], have: Column, as_of: Column) -> Column:
+    """Whether the times of what good_form has matched are times, and not ahead."""
+    out = have.isNotNull()
+    for f in fields:
+        if f.kind == "moment":
+            out = out & (F.try_to_timestamp(have.getField(f.name)) <= as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"))
+        elif f.kind == "record":
+            out = out & timely(f.fields, have.getField(f.name), as_of)
+    return out
+
+
 def all_good(fields: tuple[Field, ...], have: Column, as_of: Column) -> Column:
     out = F.lit(True)
     for f in fields:
@@ -251,6 +333,10 @@ def all_good(fields: tuple[Field, ...], have: Column, as_of: Column) -> Column:
     return out
 
 
+def _money_text(text: Column) -> Column:
+    return text.cast(f"decimal({MONEY_DIGITS},{MONEY_PLACES})")
+
+
 def text_record(fields: tuple[Field, ...], have: Column) -> Column:
     """The typed struct of what text_schema has read."""
     made = []
@@ -261,8 +347,10 @@ def text_record(fields: tuple[Field, ...], have: Column) -> Column:
         elif f.kind == "records":
             out = F.transform(x, _text_record(f))
         else:
-            plain = {"whole": lambda x: x, "uuid": F.lower, "moment": F.try_to_timestamp}.get(f.kind)  # as surely_good has it
-            out = plain(x) if plain else typed_text(f, x, x.isNull())
+            plain = {"whole": lambda x: x, "uuid": F.lower, "moment": F.try_to_timestamp, "money": _money_text}.get(f.kind)  # as good_form has it
+            out = plain(x) if plain and not (f.has_default and f.kind == "whole") else typed_text(f, x, x.isNull())
+            if f.kind == "money" and f.has_default:
+                out = F.coalesce(out, F.lit(f.default).cast(type_of(f)))
         made.append(out.alias(f.name))
     return F.struct(*made)
 
@@ -271,14 +359,49 @@ def _text_record(f: Field) -> Callable[[Column], Column]:
     return lambda x: text_record(f.fields, x)
 
 
-def same_form(raw: Column, have: Column) -> Column:
-    """Whether raw is what to_json makes of have, spaces after commas and colons aside, with or without a null campaign.
+def good_form(fields: tuple[Field, ...]) -> str | None:
+    """A pattern of the compact JSON of an object that breaks no rule but those on the clock and across fields.
 
-    Then it is one JSON document with the contract's keys only, in their order, once each, and its text is text.
+    Keys come in order; a space may follow commas and colons; text has no escapes; fields with a default may be left out
+    at the end of their object only, or be null if they are nullable. What doesn't match goes the long way.
     """
-    tight = F.replace(F.replace(F.replace(raw, F.lit('": '), F.lit('":')), F.lit(', "'), F.lit(',"')), F.lit(", {"), F.lit(",{"))
-    tight = F.when(tight.contains(',"campaign":null}'), F.regexp_replace(tight, r',"campaign":null(?=\}(?:,"contract_version"|\}))', "")).otherwise(tight)
-    return F.coalesce(tight == F.to_json(have), F.lit(False))
+    text = r"[^\x22\\\x00-\x1F]"
+    money = lambda f: (r"(?=[0-9.]*[1-9])" if f.above == 0 else "") + rf"[0-9]{{1,{MONEY_DIGITS - MONEY_PLACES}}}(?:\.[0-9]{{1,{MONEY_PLACES}}})?"
+
+    def value(f: Field) -> str | None:
+        if f.kind == "record":
+            return good_form(f.fields)
+        if f.kind == "records":
+            one = good_form(f.fields)
+            return one and rf"\[(?:{one}(?:, ?+(?=\{{)|(?=\]))){{{f.shortest},{f.longest}}}+\]"
+        if f.kind == "whole":
+            return whole_form(f)
+        if f.kind == "money":
+            return f'"{money(f)}"' if f.above in (None, 0) and f.at_least in (None, 0) and f.at_most is None else None
+        if f.kind == "text":
+            inner = f.pattern[1:-1] if f.pattern else text + "{" + f"{f.shortest or 0},{f.longest or ''}" + "}+"
+            sized = f'(?={text}{{{f.shortest or 0},{f.longest or ""}}}+")' if f.pattern else ""
+            return f'"{sized}{inner}"'
+        return '"' + {"uuid": "[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "choice": f"(?:{'|'.join(map(re.escape, f.choices))})", "moment": MOMENT[1:].replace("[Tt _]", "T").replace("[.,]", r"\.") + r"(?:Z|[+-][0-9]{2}:[0-9]{2})"}[f.kind] + '"'
+
+    made = [value(f) for f in fields]
+    if None in made:
+        return None
+    last = max((k for k, f in enumerate(fields) if not f.has_default), default=-1)
+    out = ""
+    for k, (f, v) in enumerate(zip(fields, made, strict=True)):
+        one = f'"{re.escape(f.name)}": ?+(?:{v}' + ("|null)" if f.nullable else ")")
+        comma = ", ?+" if k else ""
+        out += f"(?:{comma}{one})?+" if k > last and k else comma + one
+    return rf"\{{{out}\}}"
+
+
+def whole_form(f: Field) -> str | None:
+    """A pattern of the whole numbers from 1 to a power of ten; None for other bounds."""
+    places = len(str(f.at_most)) - 1 if f.at_most else 0
+    if f.above != 0 or not places or f.at_most != 10**places:
+        return None
+    return rf"(?:[1-9][0-9]{{0,{places - 1}}}+(?![0-9])|1{'0' * places}(?![0-9]))"
 
 
 def items_total(items: Column) -> Column:
@@ -290,17 +413,12 @@ def line_totals(items: Column) -> Column:
     return F.transform(items, lambda x: x["price"] * x["quantity"].cast("decimal(10,0)"))
 
 
-def value_issue(event: Column) -> Column:
-    """The issue of an event whose value is not its items plus shipping less discount, or NULL."""
-    return let(items_total(event["items"]), lambda total: _value_issue(event, total))
-
-
-def _value_issue(event: Column, total: Column) -> Column:
+def value_issue(event: Column, total: Column) -> Column:
+    """The issue of an event whose value is not its items' total plus shipping less discount, or NULL."""
     expected = (total + event["shipping"] - event["discount"]).cast("decimal(38,2)")
-    message = F.format_string("Transaction value %s does not match line items (%s + shipping %s - discount %s = %s)", *[c.cast("string") for c in (event["value"], total, event["shipping"], event["discount"], expected)])
+    message = F.format_string("The value is %s, but items of %s with shipping of %s and a discount of %s make %s", *[c.cast("string") for c in (event["value"], total, event["shipping"], event["discount"], expected)])
     return F.when(expected != event["value"], issue("", "value_mismatch", message, canonical(event)))
 
 
-#: Further rules on clean events: functions of the event struct that give an issue or NULL.
-RECORD_RULES: list[Callable[[Column], Column]] = [value_issue]
-
+#: Further rules on clean events: functions of the event struct and its items' total that give an issue or NULL.
+RECORD_RULES: list[Callable[[Column, Column], Column]] = [value_issue]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tollgate.contract import Contract, Field, money
 from tollgate.functions.payload import as_text, document, elements, kind, let, members, transaction_id
 from tollgate.functions.reasons import reason_for, reason_of
-from tollgate.functions.rules import items_total, line_totals, of_fields
+from tollgate.functions.rules import items_total, line_totals, with_issues
 from tollgate.operators import counts, generator, ledger
 from tollgate.operators.verdict import validate
 from tollgate.sources.envelope import read_envelopes, to_envelope
@@ -110,9 +110,8 @@ def order_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    as_of = F.to_timestamp(F.lit(AS_OF))
-    found = let(members(document(F.col("value"))), lambda have: of_fields(ORDER.fields, have, "", F.col("value"), as_of, False))
-    return order_payload(spark, sf_dir).select("o_orderkey", found.alias("issues"))
+    rows = order_payload(spark, sf_dir).withColumn("doc", document(F.col("value")))
+    return with_issues(rows, ORDER.fields, "doc", F.col("value"), F.to_timestamp(F.lit(AS_OF)), False, "issues").select("o_orderkey", "issues")
 
 
 def issue_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
