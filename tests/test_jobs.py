@@ -82,7 +82,7 @@ def test_loads(spark, made, tmp_path):
     assert not batch.write_manifest(spark, root, two.manifest)
     report = build_report(spark, root)
     assert (report.events, report.distinct_transactions, sum(report.by_stage("batch").values())) == (301, 301, 101)
-    assert "events accepted" in format_report(report) and "accepted 1" in batch.format_result(two)
+    assert "301 events of 301" in format_report(report) and "1 accepted" in batch.format_result(two)
     assert events_deduplicated(tables.events(spark, root)).count() == 301
     assert registry_counts(tables.events(spark, root), "transaction_id").first().duplicates == 0
     with pytest.raises(Exception):
@@ -90,6 +90,45 @@ def test_loads(spark, made, tmp_path):
         tables.manifests(spark, root).collect()
 
 
+def test_a_slower_load_of_the_same_file_counts_for_nothing(spark, made, tmp_path, monkeypatch):
+    _, path = made
+    root = str(tmp_path / "race")
+    write = batch.write_manifest
+
+    def late(*args):
+        monkeypatch.setattr(batch, "write_manifest", write)
+        assert batch.load_file(spark, path, root, F.lit(REF)).status == "loaded"  # another run is faster
+        return write(*args)
+
+    monkeypatch.setattr(batch, "write_manifest", late)
+    slow = batch.load_file(spark, path, root, F.lit(REF))
+    assert slow.status == "skipped" and slow.manifest["accepted"] == 300
+    assert tables.events(spark, root).count() == 300 and tables.quarantine(spark, root).count() == 100
+    assert len(list((tmp_path / "race" / "events").glob("part=*"))) == 1
+
+
+def test_a_letter_that_fails_again_is_there_again(spark, tmp_path):
+    root = str(tmp_path / "again")
+    one = spark.createDataFrame([(bytearray(b"x"), "m1"), (bytearray(b"same"), None), (bytearray(b"same"), None)], "body binary, message_id string")
+    for round_ in range(3):
+        topic.append(topic.messages(one.withColumn("message_id", F.coalesce("message_id", F.sha2("body", 256)))), f"{root}/dead_letters")
+        assert topic.dead_letters(spark, root).count() == 3 and topic.pull(spark, root, 2).count() == 2
+        assert topic.redrive(spark, root, 3, 5) == 3
+        assert topic.dead_letters(spark, root).count() == 0
+    assert topic.read_topic(spark, root).count() == 9
+    assert topic.purge(spark, root) == 0 and topic.purge(spark, root, days=-1) > 0 and topic.read_topic(spark, root).count() == 0
+
+
+def test_amounts_are_text_at_every_depth(spark, made, tmp_path):
+    from tollgate.operators.verdict import accepted, validate
+
+    rows, _ = made
+    lines = spark.createDataFrame([(bytearray(r.line.encode()),) for r in rows[:20]], "value binary")
+    JsonSink(str(tmp_path / "j")).write_events(accepted(validate(lines, as_of=F.lit(REF)), ["stage"]), "a")
+    one = json.loads(next((tmp_path / "j" / "events" / "part=a").glob("*.json")).read_text().splitlines()[0])
+    assert isinstance(one["value"], str) and isinstance(one["items"][0]["price"], str) and isinstance(one["items"][0]["quantity"], int)
+
+
 class Failing:
     """A sink that fails between its two writes."""
 
@@ -196,6 +235,20 @@ def test_schemas(tmp_path):
     assert "mismatch" not in str(schema)
 
 
+def test_committed_schemas_and_version(tmp_path):
+    import tomllib
+    from pathlib import Path
+
+    import tollgate
+    from tollgate.contract import VERSION
+
+    top = Path(tollgate.__file__).resolve().parent.parent
+    for path in write_schemas(tmp_path):
+        assert path.read_text() == (top / "schemas" / path.name).read_text()
+    assert tomllib.loads((top / "pyproject.toml").read_text())["project"]["version"] == tollgate.__version__ == VERSION
+    assert all(getattr(tollgate, name) is not None for name in tollgate.__all__)
+
+
 def test_commands(spark, tmp_path, capsys):
     assert main(["gen", "-n", "0"]) == 2
     assert main(["gen", "-n", "x"]) == 2

@@ -8,28 +8,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.contract import CURRENCIES, PURCHASE, VERSION
+from tollgate.contract import CHANNELS, CURRENCIES, PURCHASE, VERSION
 from tollgate.functions.payload import utc_text
 
+class Fault(NamedTuple):
+    """A kind of fault: the reason that its records must get, and what is done to them."""
+
+    reason: str
+    about: str
+
+
 #: Kind of fault, the reason that a record with it must get, and what is done.
-FAULTS: dict[str, tuple[str, str]] = {
-    "value_mismatch": ("value_mismatch", "the value differs from the sum of the items"),
-    "future_timestamp": ("future_timestamp", "the event is 1 to 14 hours ahead"),
-    "non_positive_amount": ("non_positive_amount", "a price or quantity is zero or less"),
-    "unsupported_currency": ("unsupported_currency", "the currency is not of the contract"),
-    "duplicate_transaction": ("duplicate_transaction", "the id is that of an earlier valid record"),
-    "missing_field": ("missing_field", "a required field is left out"),
-    "unexpected_field": ("unexpected_field", "an unknown field is added to the event or an item"),
-    "type_mismatch": ("type_mismatch", "a quantity is text"),
+FAULTS: dict[str, Fault] = {
+    "value_mismatch": Fault("value_mismatch", "the value differs from the sum of the items"),
+    "future_timestamp": Fault("future_timestamp", "the event is 1 to 14 hours ahead"),
+    "non_positive_amount": Fault("non_positive_amount", "a price or quantity is zero or less"),
+    "unsupported_currency": Fault("unsupported_currency", "the currency is not of the contract"),
+    "duplicate_transaction": Fault("duplicate_transaction", "the id is that of an earlier valid record"),
+    "missing_field": Fault("missing_field", "a required field is left out"),
+    "unexpected_field": Fault("unexpected_field", "an unknown field is added to the event or an item"),
+    "type_mismatch": Fault("type_mismatch", "a quantity is text"),
 }
 PRODUCTS = [("P-01", "Notebook", "4.99"), ("P-02", "Desk lamp", "39.50"), ("P-03", "Office chair", "189.00"), ("P-04", "Monitor arm", "79.90"), ("P-05", "Cable set", "12.49"), ("P-06", "Backpack", "64.99"), ("P-07", "Water bottle", "17.00"), ("P-08", "Headphones", "129.95")]
-TRAFFIC = [("search", "cpc", "spring"), ("search", "organic", None), ("letter", "email", "weekly"), ("feed", "social", "launch"), ("(direct)", "direct", None), ("blog", "affiliate", "partners"), ("portal", "referral", None)]
-WEIGHTS = {"PLN": 80, "EUR": 10, "CZK": 5, "USD": 3, "GBP": 2}
-SHIPPING = ["0.00", "9.99", "14.99"]
+#: Sources by their campaigns; the medium is drawn from the contract's, so every pair comes up.
+SOURCES = ["atlas", "beacon", "cedar"]
+CAMPAIGNS = [None, "autumn", "clearance", "members", None]
+SHIPPING = ["0.00", "3.50", "7.25", "12.80"]
 
 
 @dataclass(frozen=True)
@@ -82,27 +91,25 @@ def valid_events(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
         p = F.pmod(start + i * step, F.lit(len(ids)))
         return F.struct(of(ids, p).alias("item_id"), of([x[1] for x in PRODUCTS], p).alias("item_name"), of([x[2] for x in PRODUCTS], p).alias("price"), (draw(config, "quantity", 3, i) + 1).alias("quantity"))
 
-    bands = [c for c, w in WEIGHTS.items() for _ in range(w)]
     rows = rows.withColumn("items", F.transform(places, item)).withColumn("shipping", money(of(SHIPPING, draw(config, "shipping", len(SHIPPING)))))
     rows = rows.withColumn("sum", F.aggregate("items", F.lit(0).cast("decimal(12,2)"), lambda a, x: (a + money(x["price"]) * x["quantity"].cast("int")).cast("decimal(12,2)")))
     off = (F.floor(F.col("sum") * of([5, 10, 15, 20], draw(config, "off", 4))) / 100).cast("decimal(12,2)")
     rows = rows.withColumn("discount", F.when(draw(config, "discounted", 10) < 3, off).otherwise(money(F.lit("0.00"))))
     hexes = F.md5(F.concat_ws("|", F.lit(str(config.seed)), F.col("index").cast("string"), F.lit("event")))
     uuid = F.concat_ws("-", hexes.substr(1, 8), hexes.substr(9, 4), F.concat(F.lit("4"), hexes.substr(14, 3)), F.concat(F.lit("a"), hexes.substr(18, 3)), hexes.substr(21, 12))
-    at = draw(config, "traffic", len(TRAFFIC))
     age = draw(config, "age", 7 * 24 * 3600 - 60) + 60
     when = utc_text(F.timestamp_seconds(F.lit(int(config.reference_time.timestamp())) - age), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     event = F.struct(
         uuid.alias("event_id"),
         F.format_string("T-%d-%06d", F.lit(config.reference_time.year), F.col("index") + 1).alias("transaction_id"),
         F.format_string("CUST-%05d", draw(config, "customer", 100_000)).alias("customer_id"),
-        of(bands, draw(config, "currency", len(bands))).alias("currency"),
+        of(CURRENCIES, draw(config, "currency", len(CURRENCIES))).alias("currency"),
         (F.col("sum") + F.col("shipping") - F.col("discount")).cast("decimal(12,2)").cast("string").alias("value"),
         F.col("shipping").cast("string").alias("shipping"),
         F.col("discount").cast("string").alias("discount"),
         F.col("items"),
         when.alias("event_timestamp"),
-        F.struct(of([t[0] for t in TRAFFIC], at).alias("source"), of([t[1] for t in TRAFFIC], at).alias("medium"), of([t[2] for t in TRAFFIC], at).alias("campaign")).alias("traffic_source"),
+        F.struct(*[of(values, draw(config, name, len(values))).alias(name) for name, values in (("source", SOURCES), ("medium", CHANNELS), ("campaign", CAMPAIGNS))]).alias("traffic_source"),
         F.lit(VERSION).alias("contract_version"),
     )
     return rows.select("index", event.alias("event"))
