@@ -13,12 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.contract import Contract, Field, money
-from tollgate.functions.payload import as_text, document, elements, kind, let, members, transaction_id
+from tollgate.functions.payload import as_text, document, elements, fingerprint, kind, let, members, transaction_id, utc_text
 from tollgate.functions.reasons import reason_for, reason_of
 from tollgate.functions.rules import items_total, line_totals, with_issues
 from tollgate.operators import counts, generator, ledger
-from tollgate.operators.verdict import validate
+from tollgate.operators.verdict import rejected, validate
+from tollgate.plans.report import event_counts
+from tollgate.sinks import ParquetSink
+from tollgate.sources import tables
 from tollgate.sources.envelope import read_envelopes, to_envelope
+from tollgate.streaming import ingest, topic
 
 AS_OF = "1998-01-01T00:00:00Z"
 EVENTS_AS_OF = "2024-01-20 00:00:00"
@@ -98,8 +102,9 @@ def known_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers that a merge of those with orders would leave to insert."""
-    return ledger.unknown(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Customers that a merge into a table with two thirds of them would insert."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return ledger.unknown(customers, "c_custkey", customers.filter("c_custkey % 3 <> 0"))
 
 
 def order_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +156,10 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons whose number differs between urgent and all orders: a full outer join of counts."""
-    found = reason_priority(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
-    count = lambda rows: rows.groupBy("reason").agg(F.count("*").alias("n"))
-    return counts.compared(count(found), count(found.filter("o_orderpriority = '1-URGENT'")))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    found = reason_priority(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", urgent.alias("urgent")), "o_orderkey")
+    both = found.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("urgent").alias("m")).persist()  # a row for each reason
+    return counts.compared(both.select("reason", "n"), both.filter("m > 0").select("reason", F.col("m").alias("n")))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,18 +181,113 @@ def value_cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("o_orderkey", total.alias("items_total"), value.alias("value")).withColumn("mismatch", F.col("items_total") != F.col("value"))
 
 
+EVENT = Contract(title="Event", fields=(Field("event_id", "whole", above=-1), Field("ts", "moment")))
+
+
 def future_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limit = F.lit(EVENTS_AS_OF).cast("timestamp_ntz") + F.expr("INTERVAL 5 MINUTES")
-    return table(spark, sf_dir, "events").filter(F.col("ts") > limit).select("event_id", "user_id")
+    made = F.format_string('{"event_id":%d,"ts":"%sZ"}', "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", document(made).alias("doc"))
+    found = with_issues(rows, EVENT.fields, "doc", F.lit(""), F.to_timestamp(F.lit(EVENTS_AS_OF + "Z")), False, "issues")
+    return found.filter(F.exists("issues", lambda i: i["error_type"] == "future_timestamp")).select("event_id", "user_id")
 
 
 def accepted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
-    return rows.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    return event_counts(table(spark, sf_dir, "events").withColumn("transaction_id", F.col("user_id").cast("string")))
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events of the purchase contract, each with one item, and their keys."""
+    key, total = F.col("o_orderkey"), amount("o_totalprice")
+    item = F.struct(F.lit("A").alias("item_id"), F.col("o_orderpriority").alias("item_name"), total.alias("price"), F.lit(1).cast("long").alias("quantity"))
+    source = F.struct(F.lit("s").alias("source"), F.lit("cpc").alias("medium"), F.lit(None).cast("string").alias("campaign"))
+    none = F.lit("0.00").cast("decimal(12,2)")
+    event = F.struct(
+        F.format_string("00000000-0000-4000-8000-%012d", key).alias("event_id"), F.format_string("T-%06d", key).alias("transaction_id"), F.format_string("C-%d", "o_custkey").alias("customer_id"),
+        F.lit("PLN").alias("currency"), total.alias("value"), none.alias("shipping"), none.alias("discount"), F.array(item).alias("items"),
+        F.convert_timezone(F.lit("UTC"), F.lit("UTC"), F.col("o_orderdate").cast("timestamp_ntz")).cast("timestamp").alias("event_timestamp"), source.alias("traffic_source"), F.lit("0.1.0").alias("contract_version"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", event.alias("event"))
 
 
 def day_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(day("ts").alias("event_date")).agg(F.count("*").alias("n"))
+    """Events that the sink has written, by the day that it lays them under."""
+    root = scratch(spark)
+    ParquetSink(root).write_events(order_events(spark, sf_dir).select("event.*", fingerprint(F.col("event")).alias("fingerprint"), F.lit("batch").alias("stage")), "batch-0")
+    return tables.events(spark, root).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
+
+
+#: A purchase as it should be, and changes to its text, with the codes and the reason that they must get.
+PURCHASE_TEXT = '{"event_id":"00000000-0000-4000-8000-%012d","transaction_id":"T-%06d","customer_id":"C-1","currency":"PLN","value":"25.00","shipping":"5.00","discount":"0.00","items":[{"item_id":"A","item_name":"a","price":"10.00","quantity":2}],"event_timestamp":"2026-01-14T10:00:00Z","traffic_source":{"source":"s","medium":"cpc","campaign":null},"contract_version":"0.1.0"}'
+CHANGES: list[tuple[str, str, str, str | None]] = [
+    ("", "", "", None),
+    ('"value":"25.00"', '"value":"26.00"', "value_mismatch", "value_mismatch"),
+    ('"currency":"PLN"', '"currency":"XXX"', "enum", "unsupported_currency"),
+    ('"item_name":"a"', '"item_name":7', "string_type", "type_mismatch"),
+    ('"event_id":"0', '"event_id":"z', "uuid_parsing", "type_mismatch"),
+    ('"price":"10.00"', '"price":"ten"', "decimal_parsing", "type_mismatch"),
+    ('"shipping":"5.00"', '"shipping":"-5.00"', "greater_than_equal", "non_positive_amount"),
+    ('"value":"25.00"', '"value":"1234567890123.00"', "decimal_max_digits", "out_of_range"),
+    ('"price":"10.00"', '"price":"10.001"', "decimal_max_places", "out_of_range"),
+    ('"item_id":"A"', '"item_id":""', "string_too_short", "out_of_range"),
+    ('"contract_version":"0.1.0"', '"contract_version":"1"', "string_pattern_mismatch", "out_of_range"),
+    ('[{"item_id":"A","item_name":"a","price":"10.00","quantity":2}]', "[]", "too_short", "out_of_range"),
+    ("10:00:00Z", "10:00:00", "timezone_aware", "type_mismatch"),
+    ("2026-01-14T10", "2027-01-14T10", "future_timestamp", "future_timestamp"),
+    ('"quantity":2', '"quantity":"2"', "int_type", "type_mismatch"),
+    ('"quantity":2', '"quantity":0', "greater_than", "non_positive_amount"),
+    ('"discount":"0.00",', "", "", None),
+    ('"medium":"cpc"', '"medium":"tv"', "enum", "out_of_range"),
+    ('"currency":"PLN",', "", "missing", "missing_field"),
+    ('{"source"', '{"x":1,"source"', "extra_forbidden", "unexpected_field"),
+    ('"0.1.0"}', '"0.1.0"', "json_invalid", "malformed_payload"),
+    ("10:00:00Z", "12:00:00+02:00", "", None),
+    ('"price":"10.00"', '"price":10.00', "", None),
+    (',"contract_version":"0.1.0"', "", "", None),
+    ('"currency":"PLN","value":"25.00"', '"currency":"XXX","value":true', "decimal_type,enum", "type_mismatch"),
+]
+
+
+def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purchase for each order, changed by its key."""
+    base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
+    text = F.when(F.lit(False), base)
+    for k, (old, new, _, _) in enumerate(CHANGES):
+        text = text.when(F.col("o_orderkey") % len(CHANGES) == k, F.replace(base, F.lit(old), F.lit(new)) if old else base)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("value"))
+    return validate(rows, "value", "batch", as_of=F.lit(REFERENCE), order_col="o_orderkey")
+
+
+def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes and the reason of each changed purchase, and time, price and version of those that are good."""
+    codes = F.array_join(F.array_sort(F.array_distinct(F.transform("issues", lambda i: i["error_type"]))), ",")
+    return changed_orders(spark, sf_dir).select(
+        "o_orderkey", codes.alias("codes"), "reason", utc_text(F.col("event.event_timestamp"), "yyyy-MM-dd HH:mm:ss").alias("sent"), F.col("event")["items"][0]["price"].alias("price"), F.col("event.discount").alias("discount"), F.col("event.contract_version").alias("version")
+    )
+
+
+def quarantine_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quarantine holds of the changed purchases, but for when."""
+    rows = rejected(changed_orders(spark, sf_dir), ["o_orderkey"])
+    return rows.select("o_orderkey", "stage", "reason", "contract_version", "transaction_id", F.size("issues").cast("long").alias("n_issues"), F.length("raw_payload").cast("long").alias("n_chars"))
+
+
+def file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of purchases loaded twice: what the manifests say, and what is in the tables after that."""
+    from tollgate.plans.batch import load_file
+
+    root = scratch(spark)
+    lines = changed_orders(spark, sf_dir).select(F.col("raw_payload").alias("value"))
+    lines.coalesce(1).write.text(f"{root}/in")
+    done = [load_file(spark, f"{root}/in/{name}", root, F.lit(REFERENCE)) for name in names_in(spark, f"{root}/in") * 2]
+    rows = [(k, r.status, r.manifest["lines"], r.manifest["accepted"], r.quarantined_total) for k, r in enumerate(done)]
+    told = spark.createDataFrame(rows, "load long, status string, lines long, accepted long, quarantined long")
+    stored = tables.events(spark, root).agg(F.count("*").alias("events")).join(tables.quarantine(spark, root).agg(F.count("*").alias("rejected")))
+    return told.join(stored)
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.txt")
+    return [x.getPath().getName() for x in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)]
 
 
 #: Endings put to the payloads of events, by event_id modulo their number, and whether the whole is one JSON document.
@@ -221,8 +322,7 @@ def transaction_id_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    record = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), amount("o_totalprice").cast("string").alias("value"), day("o_orderdate").alias("day"), F.lit(None).cast("string").alias("campaign"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256).alias("fingerprint"))
+    return order_events(spark, sf_dir).select("o_orderkey", fingerprint(F.col("event")).alias("fingerprint"))
 
 
 def envelope_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,21 +340,27 @@ def purchase_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first event of each user by a stream with the ledger in foreachBatch: user, class and number."""
+    """Purchases through a stream of three batches that share transactions: what was accepted and what went to quarantine.
+
+    The second batch repeats every other purchase of the first, half of them with another currency.
+    """
+    root = scratch(spark)
+    base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("body"))
+    other = F.when(F.col("o_orderkey") % 8 == 0, F.replace("body", F.lit('"PLN"'), F.lit('"EUR"'))).otherwise(F.col("body"))
+    for part in (rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 4 = 0").withColumn("body", other), rows.filter("o_orderkey % 2 = 1")):
+        topic.append(topic.messages(part.coalesce(1)), f"{root}/topic")
+        ingest.start(topic.stream_topic(spark, root, 1), root, ParquetSink(root), f"{root}/checkpoint", as_of=F.lit(REFERENCE)).awaitTermination()
+    kept = tables.events(spark, root, "ingest").select(F.lit("accepted").alias("kind"))
+    return kept.unionByName(tables.quarantine(spark, root, "ingest").select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors share."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or local_folder(spark)
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        part = batch.select(F.col("user_id").cast("string").alias("user_id"), "event_type", F.struct("ts", "event_id").alias("at"))
-        done = ledger.classify(part, "user_id", "event_type", "at")
-        done.select("user_id", "seen").write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
-
-    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parquet*")
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id string, seen string").parquet(f"{at}/out").groupBy("user_id", "seen").agg(F.count("*").alias("n"))
+    return f"{base.rstrip('/')}/tollgate-{uuid.uuid4().hex}"
 
 
 def local_folder(spark: SparkSession) -> str:
@@ -266,21 +372,29 @@ def local_folder(spark: SparkSession) -> str:
 
 
 def redrive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with a bad envelope, dead-lettered and put back on the topic with their mark."""
-    rows = envelope_roundtrip(spark, sf_dir).filter(~F.col("good"))
-    marked = F.map_concat(F.create_map(F.lit("type"), F.col("event_type")), F.create_map(F.lit("redriven"), F.lit("true")))
-    return rows.select("event_id", "body", F.element_at(marked, "redriven").alias("redriven"))
+    """Events with a bad envelope as dead letters, redriven twice as they fail again: how often each is on the topic."""
+    root = scratch(spark)
+    bad = envelope_roundtrip(spark, sf_dir).filter(~F.col("good"))
+    for _ in range(2):
+        letters = bad.select(F.col("body").cast("binary").alias("body"), F.col("event_id").cast("string").alias("message_id"), F.create_map(F.lit("type"), F.col("event_type")).alias("attributes"))
+        topic.append(topic.messages(letters), f"{root}/dead_letters")
+        topic.redrive(spark, root)
+    redriven = F.count_if(F.element_at("attributes", "redriven") == "true").alias("redriven")
+    return topic.read_topic(spark, root).groupBy(F.col("message_id").cast("long").alias("event_id"), F.col("body").cast("string").alias("body")).agg(F.count("*").alias("n"), redriven)
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     dedup_first_per_key, repeat_ordinal, duplicate_count, replay_vs_duplicate, seeded_overlap_load, known_orders, merge_insert, issue_explode, reason_priority,
     quarantine_report, manifest_counts, order_compared, nested_items, value_cross_field, future_timestamp, accepted_summary, day_partition_counts, json_malformed,
-    json_type_mismatch, json_unknown_keys, transaction_id_extract, canonical_fingerprint, envelope_roundtrip, purchase_verdicts, stream_dedup_ingest, redrive_roundtrip,
+    json_type_mismatch, json_unknown_keys, rule_codes, quarantine_records, file_load, transaction_id_extract, canonical_fingerprint, envelope_roundtrip, purchase_verdicts, stream_dedup_ingest, redrive_roundtrip,
 ]
 QUERIES = {f.__name__: f for f in ALL}
 
 DEC = "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_quantity AS BIGINT)"
 ITEMS = f"SELECT o_orderkey, o_orderstatus, o_totalprice, count(*) AS n_items, CAST(max({DEC}) AS DECIMAL(24,2)) AS largest, CAST(sum({DEC}) AS DECIMAL(38,2)) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL"
+quote = lambda x: "NULL" if x is None else f"'{x}'"
+CHANGED = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quote(codes)}, {quote(reason)}, {len(new) - len(old)})" for k, (old, new, codes, reason) in enumerate(CHANGES)) + ") AS c(k, codes, reason, grown)"
+TOLD = "CASE WHEN o_orderkey > 999999 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END"
 ORACLES = {
     "dedup_first_per_key": f"SELECT * FROM (SELECT {ROWS} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ship_day, l_partkey, l_suppkey) = 1",
     "repeat_ordinal": f"SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ship_day, l_partkey, l_suppkey) - 1 AS repeat FROM ({LINES})",
@@ -288,7 +402,7 @@ ORACLES = {
     "replay_vs_duplicate": LEDGER.format(rows=f"(SELECT *, 0 AS copy FROM ({LINES}) UNION ALL SELECT *, 1 FROM ({LINES}))"),
     "seeded_overlap_load": "SELECT * FROM (" + LEDGER.format(rows=f"(SELECT *, 0 AS copy FROM ({LINES}))") + ") WHERE ship_day >= '1995-01-01'",
     "known_orders": "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
-    "merge_insert": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "merge_insert": "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0",
     "issue_explode": ISSUES,
     "reason_priority": REASON,
     "quarantine_report": f"SELECT 'batch' AS stage, reason, count(*) AS n FROM ({REASON}) GROUP BY ALL ORDER BY stage, n DESC, reason",
@@ -297,17 +411,22 @@ ORACLES = {
     "nested_items": f"SELECT o_orderkey, n_items, largest, total FROM ({ITEMS})",
     "value_cross_field": f"SELECT *, items_total <> value AS mismatch FROM (SELECT o_orderkey, total AS items_total, CASE WHEN o_orderstatus = 'F' THEN total ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DECIMAL(38,2)) END AS value FROM ({ITEMS}))",
     "future_timestamp": "SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:05:00'",
-    "accepted_summary": "SELECT count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'purchase') AS purchases FROM events",
-    "day_partition_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM events GROUP BY 1",
+    "accepted_summary": "SELECT count(*) AS events, count(DISTINCT user_id) AS distinct_transactions FROM events",
+    "day_partition_counts": "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM orders GROUP BY 1",
     "json_malformed": f"SELECT event_id, event_id % {len(ENDINGS)} NOT IN ({', '.join(str(i) for i, (_, ok) in enumerate(ENDINGS) if ok)}) AS malformed FROM events",
     "json_type_mismatch": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'whole' WHEN 1 THEN 'int_type' WHEN 2 THEN 'list' ELSE 'model_type' END AS kind, CASE event_id % 4 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN concat('[', k, ']') END AS k FROM (SELECT event_id, regexp_extract(props, '[0-9]+') AS k FROM events)",
     "json_unknown_keys": "SELECT event_id, event_type AS unknown FROM events",
     "transaction_id_extract": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('T-', lpad(CAST(event_id AS VARCHAR), 6, '0')) END AS transaction_id FROM events",
-    "canonical_fingerprint": """SELECT o_orderkey, sha256(concat('{"id":', o_orderkey, ',"status":"', o_orderstatus, '","value":"', CAST(o_totalprice AS DECIMAL(12,2)), '","day":"', CAST(o_orderdate AS DATE), '","campaign":null}')) AS fingerprint FROM orders""",
+    "canonical_fingerprint": """SELECT o_orderkey, sha256(concat('{"event_id":"00000000-0000-4000-8000-', lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '","transaction_id":"T-', CASE WHEN o_orderkey > 999999 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END,
+  '","customer_id":"C-', o_custkey, '","currency":"PLN","value":"', p, '","shipping":"0.00","discount":"0.00","items":[{"item_id":"A","item_name":"', o_orderpriority, '","price":"', p, '","quantity":1}],"event_timestamp":"', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ'),
+  '","traffic_source":{"source":"s","medium":"cpc","campaign":null},"contract_version":"0.1.0"}')) AS fingerprint FROM (SELECT *, CAST(o_totalprice AS DECIMAL(12,2)) AS p FROM orders)""",
     "envelope_roundtrip": "SELECT event_id, props AS body, event_type, user_id % 2 = 0 AS good FROM events",
     "purchase_verdicts": "SELECT * FROM (VALUES ('valid', 'accepted', 'none', 1500), "
     + ", ".join(f"('{k}', 'rejected', '{generator.FAULTS[k][0]}', {500 // 8 + (i < 500 % 8)})" for i, k in enumerate(sorted(generator.FAULTS)))
     + ") AS t(fault, verdict, reason, n)",
-    "stream_dedup_ingest": "SELECT user_id, seen, count(*) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN first_value(event_type) OVER w = event_type THEN 'replay' ELSE 'duplicate' END AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY ALL",
-    "redrive_roundtrip": "SELECT event_id, props AS body, 'true' AS redriven FROM events WHERE user_id % 2 <> 0",
+    "rule_codes": f"SELECT o_orderkey, codes, reason, CASE WHEN reason IS NULL THEN '2026-01-14 10:00:00' END AS sent, CASE WHEN reason IS NULL THEN 10.00 END AS price, CASE WHEN reason IS NULL THEN 0.00 END AS discount, CASE WHEN reason IS NULL THEN '0.1.0' END AS version FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k",
+    "quarantine_records": f"SELECT o_orderkey, 'batch' AS stage, reason, '0.1.0' AS contract_version, CASE WHEN reason <> 'malformed_payload' THEN concat('T-', {TOLD}) END AS transaction_id, len(string_split(codes, ',')) AS n_issues, {len(PURCHASE_TEXT) - 9} + 12 + len({TOLD}) + grown AS n_chars FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k WHERE reason IS NOT NULL",
+    "file_load": f"SELECT load, status, lines, accepted, lines - accepted AS quarantined, accepted AS events, lines - accepted AS rejected FROM (SELECT count(*) AS lines, count(*) FILTER (WHERE reason IS NULL) AS accepted FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k), (VALUES (0, 'loaded'), (1, 'skipped')) AS t(load, status)",
+    "stream_dedup_ingest": "SELECT 'accepted' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'duplicate_transaction', count(*) FROM orders WHERE o_orderkey % 8 = 0 HAVING count(*) > 0",
+    "redrive_roundtrip": "SELECT event_id, props AS body, 2 AS n, 2 AS redriven FROM events WHERE user_id % 2 <> 0",
 }
