@@ -28,7 +28,7 @@ from tollgate.llm.common import add_columns
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words whose ids a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def byte_letters() -> list[str]:

@@ -45,7 +45,7 @@ LOW = 0x5555555555555555
 #: the others, members and bytes of a block of a large cell.
 SHINGLE, LIKE = 5, (4, 5)
 BANDS, ROWS, BEFORE = 16, 4, 2
-LIKE_BLOCK, LIKE_BYTES = 4096, 32 << 20
+LIKE_BLOCK, LIKE_BYTES = 4096, 8 << 20
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 #: Hot cells are broadcast up to this many, each about 40 bytes.
 MOST_CELLS = 100_000
@@ -297,11 +297,14 @@ def likes(cells: DataFrame, texts: DataFrame, labels: DataFrame | None = None, b
     pair = lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
     members = cells.join(kept, "cell").select("row", "fp", "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("pair"))
     members = stored(members, "members")
-    wanted = texts.join(members.select("row").distinct(), "row", "left_semi")
+    # Written, its size is known: a small one is broadcast by Spark, which spares the texts a shuffle.
+    few = stored(members.select("row").distinct(), "wanted")
+    wanted = texts.join(few, "row", "left_semi")
     sets = add_columns(wanted, "text", [T.StructField("kinds", T.ArrayType(T.LongType()))], lambda some: [[np.unique(shingled(t, SHINGLE)).view(np.int64) for t in some]])
     told = members.join(sets.select("row", "kinds"), "row").select("cell", "pair", "fp", "kinds")
     found = stored(told.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_likes, "u bigint, v bigint").distinct(), "likes")
-    discard(texts.sparkSession, members)
+    for done in (members, few):
+        discard(texts.sparkSession, done)
     return found
 
 
