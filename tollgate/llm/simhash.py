@@ -322,17 +322,17 @@ def near_deduplicated(documents: DataFrame, text_col: str = "text", id_col: str
     id_col, text_col = named(documents, id_col), named(documents, text_col)
     names = [f"c{i}" for i in range(len(documents.columns))]
     inner = [F.col(quoted(c)).alias(n) for c, n in zip(documents.columns, names, strict=True)]
-    extra = [F.monotonically_increasing_id().alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")]
-    rows = stored(documents.select(*inner, *extra), "rows")
+    rows = stored(documents.select(*inner, F.monotonically_increasing_id().alias("row")), "rows")
+    id_of, text_of = (F.col(names[documents.columns.index(c)]).alias(n) for c, n in ((id_col, "id"), (text_col, "text")))
     fields = [T.StructField("fp", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    prints = add_columns(rows.select("row", "id", "text"), "text", fields, _printed)
+    prints = add_columns(rows.select("row", id_of, text_of), "text", fields, _printed)
     prints = stored(prints.select("row", "id", F.xxhash64("text").alias("tie"), *[f.name for f in fields]), "prints")
     order = F.struct(F.col("id").isNull().alias("lost"), "id", "tie", "row")
     firsts = stored(prints.groupBy("fp").agg(F.min(order).alias("first")), "firsts")
     # Texts with equal sets are one row.
     one = prints.groupBy("fp", "digest").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     cells = stored(one.select("row", "fp", "size", F.posexplode("bands").alias("band", "cell")), "cells")
-    texts = rows.select("row", "text")
+    texts = rows.select("row", text_of)
     some = likes(cells.filter(F.col("band") < BEFORE), texts)
     before = components(links(firsts.select("fp")).unionByName(some).distinct())
     more = likes(cells.filter(F.col("band") >= BEFORE), texts, before)
