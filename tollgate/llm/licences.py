@@ -179,8 +179,13 @@ def passages(text: Column, path: Column) -> Column:
     return F.coalesce(F.when(text.rlike(CUE), F.array_distinct(joined)), F.array().cast("array<string>"))
 
 
+def digest(passage: Column) -> Column:
+    """What stands for a passage in joins; a whole licence beside each of its terms would take the square of its length."""
+    return F.unhex(F.md5(passage))
+
+
 def similar(found: DataFrame, least: float) -> DataFrame:
-    """passage, licence, similarity of the passages (passage, n: how many rows have it) that are like a template."""
+    """key, licence, similarity of the passages (key, passage, n: how many rows have it) that are like a template."""
     spark = found.sparkSession
     counts = [(k, name, Counter(re.findall(TERM, text.lower()))) for k, (name, text) in enumerate(TEMPLATES)]
     vocabulary = sorted({t for _, _, c in counts for t in c})
@@ -196,12 +201,12 @@ def similar(found: DataFrame, least: float) -> DataFrame:
         rows += [(t, k, name, n * idf[t] ** 2 / norm, idf[t]) for t, n in c.items()]
     weights = F.broadcast(spark.createDataFrame([(t, idf[t]) for t in vocabulary], "term string, idf double"))
     vectors = F.broadcast(spark.createDataFrame(rows, "term string, template int, licence string, weight double, idf double").drop("idf"))
-    held = found.select("passage", F.explode(F.split("passage", " ")).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
-    norms = held.join(weights, "term", "left").groupBy("passage").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
-    dots = held.join(vectors, "term").groupBy("passage", "template", "licence").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    held = found.select("key", F.explode(F.split("passage", " ")).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    norms = held.join(weights, "term", "left").groupBy("key").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(other)), 2))).alias("norm"))
+    dots = held.join(vectors, "term").groupBy("key", "template", "licence").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = dots.join(norms, "passage").groupBy("passage").agg(F.max(F.struct(cosine.alias("similarity"))).alias("top"), F.collect_list(F.struct("licence", cosine.alias("similarity"))).alias("all"))
-    top = best.select("passage", F.col("top.similarity").alias("similarity"), F.array_min(F.transform(F.filter("all", lambda x: x.similarity == F.col("top.similarity")), lambda x: x.licence)).alias("licence"))
+    best = dots.join(norms, "key").groupBy("key").agg(F.max(F.struct(cosine.alias("similarity"))).alias("top"), F.collect_list(F.struct("licence", cosine.alias("similarity"))).alias("all"))
+    top = best.select("key", F.col("top.similarity").alias("similarity"), F.array_min(F.transform(F.filter("all", lambda x: x.similarity == F.col("top.similarity")), lambda x: x.licence)).alias("licence"))
     return top.filter(F.col("similarity") >= least)
 
 
@@ -216,13 +221,14 @@ def scan_licences(files: DataFrame, path_col: str = "path", text_col: str = "tex
     path, text = F.col(quoted(path_col)).cast("string"), F.col(quoted(text_col))
     rows = files.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, names, strict=True)], path.alias("path"), passages(text, F.coalesce(path, F.lit(""))).alias("passages"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "passages")
-    found = stored(rows.select(F.explode("passages").alias("passage")).groupBy("passage").agg(F.count("*").alias("n")), "distinct")
-    told = stored(similar(found, least).join(found, "passage"), "similar")
-    said = rows.select("row", F.explode("passages").alias("passage"))
+    found = rows.select(F.explode("passages").alias("passage")).groupBy("passage").agg(F.count("*").alias("n"))
+    found = stored(found.select(digest(F.col("passage")).alias("key"), "passage", "n"), "distinct")
+    told = stored(similar(found, least).join(found.select("key", "n"), "key"), "similar")
+    said = rows.select("row", F.explode(F.transform("passages", digest)).alias("key"))
     total = rows.count()
     hot = F.broadcast(told.filter(F.col("n") * HOT > total))
     cold = told.filter(F.col("n") * HOT <= total)
-    own = said.join(hot, "passage").unionByName(said.join(cold, "passage"))
+    own = said.join(hot, "key").unionByName(said.join(cold, "key"))
     rank = F.struct((F.col("licence") == CLAIM).alias("claim"), (-F.col("similarity")).alias("far"), "licence")
     own = own.groupBy("row").agg(F.min(rank).alias("best"))
     rows = rows.drop("passages").join(own, "row", "left").withColumn("folder", F.regexp_replace("path", r"(^|/)[^/]*\z", ""))
