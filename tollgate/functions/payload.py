@@ -33,10 +33,17 @@ def lossy_text(raw: Column) -> Column:
     return F.make_valid_utf8(raw.cast("string"))
 
 
+def lone_surrogate(text: Column) -> Column:
+    """Whether an escape stands for half a character, which no parser can read; pairs are one character."""
+    hidden = F.regexp_replace(text, r"\\\\", "x")
+    hidden = F.regexp_replace(hidden, r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}", "x")
+    return F.when(text.rlike(r"\\u[dD][89a-fA-F]"), hidden.rlike(r"(?i)\\ud[89a-f][0-9a-f]{2}")).otherwise(F.lit(False))
+
+
 def wrapped(text: Column, mark: str) -> Column:
     """The text within an object of two keys: parsers stop at the end of the first document, so what the text opens,
     closes or adds shows in the keys, as it can't foresee the mark."""
-    return F.when(F.is_valid_utf8(text), F.concat(F.lit('{"r":'), text, F.lit(f',"{mark}":1}}')))
+    return F.when(F.is_valid_utf8(text) & ~lone_surrogate(text), F.concat(F.lit('{"r":'), text, F.lit(f',"{mark}":1}}')))
 
 
 def unwrapped(w: Column, mark: str) -> Column:

@@ -24,7 +24,7 @@ ZONE = r"(?:[Zz]|[+-][0-9]{2}:?[0-9]{2})\z"
 
 def held(value: Column) -> Column:
     """value, kept from being copied into later conditions and projections: it would be computed once for each use."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def issue(path: Column | str, code: str, message: Column | str, value: Column) -> Column:

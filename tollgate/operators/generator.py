@@ -1,7 +1,8 @@
 """Synthetic purchase events with faults of known kinds, as DataFrames.
 
 All choices are hashes of (seed, row, what is chosen), so the rows are the same however they are partitioned. The exact
-number of faults comes from ranking the rows by a hash.
+number of faults comes from the rows of the least hashes, and their even kinds from prefix counts. Faults are laid over
+events that are made here, or over those that are given.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tollgate.contract import CHANNELS, CURRENCIES, PURCHASE, VERSION
 from tollgate.functions.payload import utc_text
+from tollgate.operators.ordinals import least, numbered
 
 class Fault(NamedTuple):
     """A kind of fault: the reason that its records must get, and what is done to them."""
@@ -115,20 +117,23 @@ def valid_events(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
     return rows.select("index", event.alias("event"))
 
 
-def fault_plan(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
+def fault_plan(spark: SparkSession, config: GeneratorConfig, rows: DataFrame | None = None) -> DataFrame:
     """index and fault (NULL for valid rows): exactly config.n_faults faults, the kinds as even as they can be."""
-    rows = spark.range(config.count).select(F.col("id").alias("index"))
+    rows = spark.range(config.count).select(F.col("id").alias("index")) if rows is None else rows.select("index")
     free = rows.filter("index > 0") if "duplicate_transaction" in config.faults else rows
     kinds = sorted(config.faults)
-    picked = free.orderBy(F.xxhash64(F.lit(config.seed), F.lit("plan"), "index"), "index").limit(config.n_faults)
-    # zipWithIndex numbers sorted rows without gathering them.
-    placed = picked.rdd.zipWithIndex().map(lambda x: (x[0][0], kinds[x[1] % len(kinds)])).toDF("index long, fault string") if config.n_faults else spark.createDataFrame([], "index long, fault string")
+    mark = F.xxhash64(F.lit(config.seed), F.lit("plan"), "index")
+    picked = numbered(least(free, mark, config.n_faults, ["index"]).withColumn("mark", mark), [], ["mark", "index"], "place")
+    placed = picked.select("index", of(kinds, F.pmod("place", F.lit(len(kinds)))).alias("fault"))
     return rows.join(placed, "index", "left")
 
 
-def generate(spark: SparkSession, config: GeneratorConfig) -> DataFrame:
-    """index, line (JSON) and fault (NULL where the line is valid)."""
-    rows = valid_events(spark, config).join(fault_plan(spark, config), "index")
+def generate(spark: SparkSession, config: GeneratorConfig, events: DataFrame | None = None) -> DataFrame:
+    """index, line (JSON) and fault (NULL where the line is valid).
+
+    events: config.count rows of index (from 0, each once) and event, as valid_events() has them, in place of new ones.
+    """
+    rows = (valid_events(spark, config) if events is None else events).join(fault_plan(spark, config, events), "index")
     event, fault = F.col("event"), F.col("fault")
     # A duplicate takes the id of the last valid row before it; runs of faults are short, so a few candidates are tried.
     if "duplicate_transaction" in config.faults and config.n_faults:

@@ -1,19 +1,21 @@
 """New, replayed or duplicate: what each record is among those with its id, first come first kept.
 
 The first record of an id is found by a partial aggregate and joined back, so an id that holds a third of all rows costs
-a row per task and a join that can be split, and no window gathers it in one place.
+a row per task and a join that can be split, and no window gathers it in one place. Numbers of repeats are prefix counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.operators.ordinals import numbered
 
-def classify(rows: DataFrame, id_col: str, digest_col: str, order_col: str, seen: DataFrame | None = None, result: str = "seen", where: Column | None = None) -> DataFrame:
+
+def classify(rows: DataFrame, id_col: str, digest_col: str, order_col: str, seen: DataFrame | None = None, result: str = "seen", where: Column | None = None, before: Column | None = None) -> DataFrame:
     """rows with result: new for an id's first record, replay for an equal digest, duplicate for another.
 
-    seen: id_col and digest_col of earlier records, ids unique. order_col is unique. Rows that where excludes, and those
+    seen: id_col and digest_col of earlier records, ids unique; or before: the digest that each row's id had, if it had one. order_col is unique. Rows that where excludes, and those
     without an id, get NULL and reserve nothing.
     """
     counted = F.col(id_col).isNotNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
@@ -23,15 +25,16 @@ def classify(rows: DataFrame, id_col: str, digest_col: str, order_col: str, seen
         out = out.join(seen.select(F.col(id_col).alias("__seen_id"), F.col(digest_col).alias("__digest")), F.col(id_col) == F.col("__seen_id"), "left")
     else:
         out = out.withColumn("__seen_id", F.lit(None).cast("string")).withColumn("__digest", F.lit(None).cast("string"))
-    before = F.coalesce(F.col("__digest"), F.col("__first.digest"))
-    is_first = F.col("__seen_id").isNull() & (F.col("__first.at") == F.col(order_col))
+    earlier = F.col("__digest") if before is None else F.coalesce("__digest", before)
+    before = F.coalesce(earlier, F.col("__first.digest"))
+    is_first = earlier.isNull() & F.col("__seen_id").isNull() & (F.col("__first.at") == F.col(order_col))
     kind = F.when(is_first, "new").when(before == F.col(digest_col), "replay").otherwise("duplicate")
     return out.withColumn(result, F.when(counted, kind)).drop("__id", "__first", "__seen_id", "__digest")
 
 
 def repeats(rows: DataFrame, id_col: str, *order: str, result: str = "repeat") -> DataFrame:
     """rows with the number of earlier rows of the same id."""
-    return rows.withColumn(result, F.row_number().over(Window.partitionBy(id_col).orderBy(*order)) - 1)
+    return numbered(rows, [id_col], list(order), result)
 
 
 def registry_counts(rows: DataFrame, id_col: str) -> DataFrame:

@@ -12,13 +12,15 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.contract import Contract, Field, money
+from tollgate.contract import PURCHASE, Contract, Field, money
 from tollgate.functions.payload import as_text, document, elements, fingerprint, kind, let, members, transaction_id, utc_text
 from tollgate.functions.reasons import reason_for, reason_of
 from tollgate.functions.rules import items_total, line_totals, with_issues
 from tollgate.operators import counts, generator, ledger
+from tollgate.operators.ordinals import numbered
 from tollgate.operators.verdict import rejected, validate
 from tollgate.plans.report import event_counts
+from tollgate.shared import fresh, written
 from tollgate.sinks import ParquetSink
 from tollgate.sources import tables
 from tollgate.sources.envelope import read_envelopes, to_envelope
@@ -68,7 +70,7 @@ def dedup_first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.repeats(lines(spark, sf_dir), "line_id", "ship_day", "l_partkey", "l_suppkey").withColumn("repeat", F.col("repeat").cast("long"))
+    return ledger.repeats(lines(spark, sf_dir), "line_id", "ship_day", "l_partkey", "l_suppkey")
 
 
 def duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +213,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def day_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that the sink has written, by the day that it lays them under."""
-    root = scratch(spark)
+    root = fresh(spark)
     ParquetSink(root).write_events(order_events(spark, sf_dir).select("event.*", fingerprint(F.col("event")).alias("fingerprint"), F.lit("batch").alias("stage")), "batch-0")
     return tables.events(spark, root).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
 
@@ -275,7 +277,7 @@ def file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of purchases loaded twice: what the manifests say, and what is in the tables after that."""
     from tollgate.plans.batch import load_file
 
-    root = scratch(spark)
+    root = fresh(spark)
     lines = changed_orders(spark, sf_dir).select(F.col("raw_payload").alias("value"))
     lines.coalesce(1).write.text(f"{root}/in")
     done = [load_file(spark, f"{root}/in/{name}", root, F.lit(REFERENCE)) for name in names_in(spark, f"{root}/in") * 2]
@@ -331,11 +333,22 @@ def envelope_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_envelopes(rows).select("event_id", F.col("body").cast("string").alias("body"), F.element_at("attributes", "type").alias("event_type"), "good")
 
 
+def order_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished and open orders as events, numbered by key, with amounts and times as text."""
+    rows = numbered(order_events(spark, sf_dir).filter(F.col("event.value") > 0), [], ["o_orderkey"], "index")
+    event, text = F.col("event"), lambda name: F.col(f"event.{name}").cast("string").alias(name)
+    lines = F.transform("event.items", lambda x: F.struct(x["item_id"].alias("item_id"), x["item_name"].alias("item_name"), x["price"].cast("string").alias("price"), x["quantity"].alias("quantity")))
+    made = {"value": text("value"), "shipping": text("shipping"), "discount": text("discount"), "items": lines.alias("items"), "event_timestamp": utc_text(F.col("event.event_timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("event_timestamp")}
+    return rows.select("index", F.struct(*[made.get(name, event[name].alias(name)) for name in PURCHASE.names]).alias("event"))
+
+
 def purchase_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated purchases with faults of all kinds through the whole record operator: kind, verdict, reason and number."""
-    config = generator.GeneratorConfig(2000, 0.25, 11, reference_time=REFERENCE)
-    rows = generator.generate(spark, config).select(F.col("line").alias("value"), "index", "fault")
-    verdicts = validate(rows, "value", "batch", as_of=F.lit(REFERENCE), order_col="index")
+    """Orders as purchases, a quarter of them with faults of all kinds, through the whole record operator: kind, verdict,
+    reason and number."""
+    rows = written(order_purchases(spark, sf_dir), "purchases")
+    config = generator.GeneratorConfig(rows.count(), 0.25, 11, reference_time=REFERENCE)
+    lines = generator.generate(spark, config, rows).select(F.col("line").alias("value"), "index", "fault")
+    verdicts = validate(lines, "value", "batch", as_of=F.lit(REFERENCE), order_col="index")
     return verdicts.groupBy(F.coalesce("fault", F.lit("valid")).alias("fault"), "verdict", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -344,7 +357,7 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The second batch repeats every other purchase of the first, half of them with another currency.
     """
-    root = scratch(spark)
+    root = fresh(spark)
     base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("body"))
     other = F.when(F.col("o_orderkey") % 8 == 0, F.replace("body", F.lit('"PLN"'), F.lit('"EUR"'))).otherwise(F.col("body"))
@@ -355,25 +368,9 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(tables.quarantine(spark, root, "ingest").select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder that the driver and all executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or local_folder(spark)
-    return f"{base.rstrip('/')}/tollgate-{uuid.uuid4().hex}"
-
-
-def local_folder(spark: SparkSession) -> str:
-    import tempfile
-
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tollgate-")
-
-
 def redrive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a bad envelope as dead letters, redriven twice as they fail again: how often each is on the topic."""
-    root = scratch(spark)
+    root = fresh(spark)
     bad = envelope_roundtrip(spark, sf_dir).filter(~F.col("good"))
     for _ in range(2):
         letters = bad.select(F.col("body").cast("binary").alias("body"), F.col("event_id").cast("string").alias("message_id"), F.create_map(F.lit("type"), F.col("event_type")).alias("attributes"))
@@ -421,9 +418,9 @@ ORACLES = {
   '","customer_id":"C-', o_custkey, '","currency":"PLN","value":"', p, '","shipping":"0.00","discount":"0.00","items":[{"item_id":"A","item_name":"', o_orderpriority, '","price":"', p, '","quantity":1}],"event_timestamp":"', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ'),
   '","traffic_source":{"source":"s","medium":"cpc","campaign":null},"contract_version":"0.1.0"}')) AS fingerprint FROM (SELECT *, CAST(o_totalprice AS DECIMAL(12,2)) AS p FROM orders)""",
     "envelope_roundtrip": "SELECT event_id, props AS body, event_type, user_id % 2 = 0 AS good FROM events",
-    "purchase_verdicts": "SELECT * FROM (VALUES ('valid', 'accepted', 'none', 1500), "
-    + ", ".join(f"('{k}', 'rejected', '{generator.FAULTS[k][0]}', {500 // 8 + (i < 500 % 8)})" for i, k in enumerate(sorted(generator.FAULTS)))
-    + ") AS t(fault, verdict, reason, n)",
+    "purchase_verdicts": "WITH o AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.25, 0) AS BIGINT) AS f FROM orders WHERE CAST(o_totalprice AS DECIMAL(12,2)) > 0) SELECT 'valid' AS fault, 'accepted' AS verdict, 'none' AS reason, n - f AS n FROM o UNION ALL SELECT fault, 'rejected', reason, f // 8 + CASE WHEN k < f % 8 THEN 1 ELSE 0 END FROM o, (VALUES "
+    + ", ".join(f"({i}, '{k}', '{generator.FAULTS[k].reason}')" for i, k in enumerate(sorted(generator.FAULTS)))
+    + ") AS t(k, fault, reason) WHERE f // 8 + CASE WHEN k < f % 8 THEN 1 ELSE 0 END > 0",
     "rule_codes": f"SELECT o_orderkey, codes, reason, CASE WHEN reason IS NULL THEN '2026-01-14 10:00:00' END AS sent, CASE WHEN reason IS NULL THEN 10.00 END AS price, CASE WHEN reason IS NULL THEN 0.00 END AS discount, CASE WHEN reason IS NULL THEN '0.1.0' END AS version FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k",
     "quarantine_records": f"SELECT o_orderkey, 'batch' AS stage, reason, '0.1.0' AS contract_version, CASE WHEN reason <> 'malformed_payload' THEN concat('T-', {TOLD}) END AS transaction_id, len(string_split(codes, ',')) AS n_issues, {len(PURCHASE_TEXT) - 9} + 12 + len({TOLD}) + grown AS n_chars FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k WHERE reason IS NOT NULL",
     "file_load": f"SELECT load, status, lines, accepted, lines - accepted AS quarantined, accepted AS events, lines - accepted AS rejected FROM (SELECT count(*) AS lines, count(*) FILTER (WHERE reason IS NULL) AS accepted FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k), (VALUES (0, 'loaded'), (1, 'skipped')) AS t(load, status)",
