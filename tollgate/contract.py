@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
 VERSION = "0.1.0"
@@ -71,6 +73,22 @@ class Field:
         return not self.has_default
 
 
+@dataclass(frozen=True)
+class Kind:
+    """A kind of scalar field that is added to the contract's own: its rules, in order, and what is stored.
+
+    broken: from the field, its text and the name of its JSON type (STRING, BIGINT, ...) to conditions with code and message;
+    value: from the field and its text to a Column of the type.
+    """
+
+    broken: Callable[[Field, Column, Column], list[tuple[Column, str, str]]]
+    value: Callable[[Field, Column], Column]
+    type: T.DataType
+
+
+#: Added kinds by name.
+KINDS: dict[str, Kind] = {}
+
 MONEY_DIGITS, MONEY_PLACES = 12, 2
 MONEY = T.DecimalType(MONEY_DIGITS, MONEY_PLACES)
 
@@ -105,6 +123,8 @@ def type_of(f: Field) -> T.DataType:
     if f.kind in ("record", "records"):
         inner = struct_of(f.fields)
         return T.ArrayType(inner, False) if f.kind == "records" else inner
+    if f.kind in KINDS:
+        return KINDS[f.kind].type
     return {"text": T.StringType(), "uuid": T.StringType(), "choice": T.StringType(), "money": MONEY, "whole": T.LongType(), "moment": T.TimestampType()}[f.kind]
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.contract import ISSUE, PURCHASE, SKEW_MINUTES, Contract, Field, type_of
+from tollgate.contract import ISSUE, KINDS, PURCHASE, SKEW_MINUTES, Contract, Field, type_of
 from tollgate.functions.payload import fingerprint
-from tollgate.functions.rules import UUID, RECORD_RULES, _bounded, digits, first_of, held, issue, items_total, let, typed_text
+from tollgate.functions.rules import AMOUNTS, RECORD_RULES, UUID, _bounded, digits, first_of, held, issue, items_total, let, typed_text
 
 NONE = f"array<{ISSUE.simpleString()}>"
 Get = Callable[[str], Column]
@@ -72,6 +72,9 @@ def scalar(f: Field, kind: T.DataType, value: Column, path: Column | str, as_of:
         if not isinstance(kind, T.TimestampType):
             return broken("datetime_type", "The column should hold times")()
         rules.append((value > as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"), broken("future_timestamp", "The time is ahead of the clock")))
+    elif f.kind in KINDS:
+        name = "STRING" if string else kind.simpleString().upper()
+        rules += [(condition, broken(code, message)) for condition, code, message in KINDS[f.kind].broken(f, text, F.lit(name))]
     return first_of(*rules) if rules else F.lit(None).cast(ISSUE)
 
 
@@ -127,6 +130,8 @@ def stored(fields: tuple[Field, ...], kind: T.StructType, get: Get) -> Column:
         elif f.kind == "records":
             inner = getattr(kinds[f.name], "elementType", None)
             out = F.transform(get(f.name), _element(f, inner)) if isinstance(inner, T.StructType) else F.lit(None).cast(type_of(f))
+        elif f.kind in KINDS:
+            out = KINDS[f.kind].value(f, text_of(get(f.name), kinds[f.name]))
         elif f.kind == "uuid" and isinstance(kinds[f.name], T.StringType):
             out = typed_text(f, get(f.name), get(f.name).isNull())
         else:
@@ -153,13 +158,14 @@ def check_typed(rows: DataFrame, contract: Contract = PURCHASE, as_of: Column |
     out = out.withColumn("__found", held(of_record(contract.fields, own, get, "", now, F.col("raw_payload"))))
     out = out.withColumn("__event", held(F.when(F.size("__found") == 0, stored(contract.fields, own, get))))
     event = F.col("__event")
-    if RECORD_RULES and {"items", "value", "shipping", "discount"} <= set(contract.names):
+    if RECORD_RULES and set(contract.names) >= AMOUNTS:
         out = out.withColumn("__total", held(items_total(event["items"])))
         more = F.array_compact(F.array(*[rule(event, F.col("__total")) for rule in RECORD_RULES]))
         out = out.withColumn("__found", held(F.when(event.isNotNull(), more).otherwise(F.col("__found"))))
     clean = F.size("__found") == 0
+    digest = fingerprint(event) if contract.names == PURCHASE.names else F.sha2(F.to_json(event), 256)
     named = any(f.name == "transaction_id" and isinstance(f.dataType, T.StringType) for f in own.fields)
     identity = get("transaction_id") if named else F.lit(None).cast("string")
     return out.select(
-        *(keep or []), "raw_payload", identity.alias("transaction_id"), F.when(clean, event).alias("event"), F.when(clean, fingerprint(event)).alias("fingerprint"), F.col("__found").alias("issues")
+        *(keep or []), "raw_payload", identity.alias("transaction_id"), F.when(clean, event).alias("event"), F.when(clean, digest).alias("fingerprint"), F.col("__found").alias("issues")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.contract import INPUT_CHARS, ISSUE, MESSAGE_CHARS, MONEY_DIGITS, MONEY_PLACES, PATH_CHARS, SKEW_MINUTES, Field, type_of
+from tollgate.contract import INPUT_CHARS, ISSUE, KINDS, MESSAGE_CHARS, MONEY_DIGITS, MONEY_PLACES, PATH_CHARS, SKEW_MINUTES, Field, type_of
 from tollgate.functions.payload import as_text, canonical, elements, kind, let, members
 
 UUID = r"^(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|urn:uuid:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|\{[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\})\z"
@@ -117,6 +117,10 @@ def _checked(f: Field, text: Column, of: Column, path: Column | str, as_of: Colu
             (~text.rlike(":[^:].*" + ZONE) | text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), broken("timezone_aware", "Input should have a time zone")),
             (ts > as_of + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES"), lambda: issue(path, "future_timestamp", ahead, text)),
         ]
+    elif f.kind in KINDS:
+        rules += [(condition, broken(code, message)) for condition, code, message in KINDS[f.kind].broken(f, text, of)]
+    else:
+        raise ValueError(f"unknown kind of field {f.kind!r}")
     return first_of(*rules)
 
 
@@ -136,6 +140,8 @@ def typed_text(f: Field, text: Column, missing: Column) -> Column:
         out = F.trim(text).try_cast("decimal(38,0)").try_cast("bigint")
     elif f.kind == "moment":
         out = moment(text)
+    elif f.kind in KINDS:
+        out = KINDS[f.kind].value(f, text)
     else:
         out = text
     if f.has_default and f.default is not None:
@@ -298,6 +304,8 @@ def surely_good(f: Field, x: Column, as_of: Column) -> Column:
         out = x.isNotNull() & all_good(f.fields, x, as_of)
     elif f.kind == "records":
         out = F.size(x).between(f.shortest, f.longest) & F.forall(x, lambda i: i.isNotNull() & all_good(f.fields, i, as_of))
+    elif f.kind in KINDS:
+        out = F.lit(False)
     elif f.kind == "uuid":
         out = x.rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z")
     elif f.kind == "choice":
@@ -374,6 +382,8 @@ def good_form(fields: tuple[Field, ...]) -> str | None:
         if f.kind == "records":
             one = good_form(f.fields)
             return one and rf"\[(?:{one}(?:, ?+(?=\{{)|(?=\]))){{{f.shortest},{f.longest}}}+\]"
+        if f.kind in KINDS:
+            return None
         if f.kind == "whole":
             return whole_form(f)
         if f.kind == "money":
@@ -420,5 +430,7 @@ def value_issue(event: Column, total: Column) -> Column:
     return F.when(expected != event["value"], issue("", "value_mismatch", message, canonical(event)))
 
 
+#: The fields that those rules are about; contracts without them have no such rules.
+AMOUNTS = {"items", "value", "shipping", "discount"}
 #: Further rules on clean events: functions of the event struct and its items' total that give an issue or NULL.
 RECORD_RULES: list[Callable[[Column, Column], Column]] = [value_issue]

@@ -7,6 +7,7 @@ events that are made here, or over those that are given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import NamedTuple
@@ -19,10 +20,12 @@ from tollgate.functions.payload import utc_text
 from tollgate.operators.ordinals import least, numbered
 
 class Fault(NamedTuple):
-    """A kind of fault: the reason that its records must get, and what is done to them."""
+    """A kind of fault: the reason that its records must get, what is done to them, and for kinds that are added to the
+    built-in ones the injector: from a valid line and its event to the faulty line."""
 
     reason: str
     about: str
+    inject: Callable[[Column, Column], Column] | None = None
 
 
 #: Kind of fault, the reason that a record with it must get, and what is done.
@@ -167,6 +170,9 @@ def generate(spark: SparkSession, config: GeneratorConfig, events: DataFrame | N
     line = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     line = F.when((fault == "unexpected_field") & in_item, F.regexp_replace(line, r'"items":\[\{', '"items":[{"colour":"red",')).otherwise(line)
     line = F.when(fault == "type_mismatch", F.regexp_replace(line, r'"quantity":([0-9]+)', '"quantity":"$1"')).otherwise(line)
+    for kind in config.faults:
+        if FAULTS[kind].inject:
+            line = F.when(fault == kind, FAULTS[kind].inject(line, event)).otherwise(line)
     return rows.select("index", line.alias("line"), "fault")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.contract import PURCHASE, Contract, Field, money
+from tollgate.functions.native import check_typed
 from tollgate.functions.payload import as_text, document, elements, fingerprint, kind, let, members, transaction_id, utc_text
 from tollgate.functions.reasons import reason_for, reason_of
 from tollgate.functions.rules import items_total, line_totals, with_issues
@@ -21,10 +22,10 @@ from tollgate.operators.ordinals import numbered
 from tollgate.operators.verdict import rejected, validate
 from tollgate.plans.report import event_counts
 from tollgate.shared import fresh, written
-from tollgate.sinks import ParquetSink
+from tollgate.sinks import InsertOnlySink, JsonSink, ParquetSink
 from tollgate.sources import tables
 from tollgate.sources.envelope import read_envelopes, to_envelope
-from tollgate.streaming import ingest, topic
+from tollgate.streaming import ingest, keyed, topic
 
 AS_OF = "1998-01-01T00:00:00Z"
 EVENTS_AS_OF = "2024-01-20 00:00:00"
@@ -218,7 +219,7 @@ def day_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.events(spark, root).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("n"))
 
 
-#: A purchase as it should be, and changes to its text, with the codes and the reason that they must get.
+#: A purchase as it should be, and changes to its text ("*": the whole of it), with the codes and the reason that they must get.
 PURCHASE_TEXT = '{"event_id":"00000000-0000-4000-8000-%012d","transaction_id":"T-%06d","customer_id":"C-1","currency":"PLN","value":"25.00","shipping":"5.00","discount":"0.00","items":[{"item_id":"A","item_name":"a","price":"10.00","quantity":2}],"event_timestamp":"2026-01-14T10:00:00Z","traffic_source":{"source":"s","medium":"cpc","campaign":null},"contract_version":"0.1.0"}'
 CHANGES: list[tuple[str, str, str, str | None]] = [
     ("", "", "", None),
@@ -246,17 +247,30 @@ CHANGES: list[tuple[str, str, str, str | None]] = [
     ('"price":"10.00"', '"price":10.00', "", None),
     (',"contract_version":"0.1.0"', "", "", None),
     ('"currency":"PLN","value":"25.00"', '"currency":"XXX","value":true', "decimal_type,enum", "type_mismatch"),
+    ('"value":"25.00"', '"value":"0.00"', "greater_than", "non_positive_amount"),
+    ('"price":"10.00"', '"price":"-1.00"', "greater_than", "non_positive_amount"),
+    ('"items":[', '"items":7,"lines":[', "extra_forbidden,list_type", "unexpected_field"),
+    ('[{"item_id":"A","item_name":"a","price":"10.00","quantity":2}]', "[" + ",".join(['{"item_id":"A"}'] * 201) + "]", "too_long", "out_of_range"),
+    ('"item_name":"a"', '"item_name":"\\ud800"', "json_invalid", "malformed_payload"),
+    ("*", "[1, 2]", "model_type", "type_mismatch"),
+    ("*", " ", "json_invalid", "malformed_payload"),
+    ('"customer_id":"C-1"', '"customer_id":null', "string_type", "type_mismatch"),
+    ('"campaign":null', '"campaign":7', "string_type", "type_mismatch"),
 ]
 
 
-def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A purchase for each order, changed by its key."""
     base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
     text = F.when(F.lit(False), base)
     for k, (old, new, _, _) in enumerate(CHANGES):
-        text = text.when(F.col("o_orderkey") % len(CHANGES) == k, F.replace(base, F.lit(old), F.lit(new)) if old else base)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("value"))
-    return validate(rows, "value", "batch", as_of=F.lit(REFERENCE), order_col="o_orderkey")
+        changed = F.lit(new) if old == "*" else F.replace(base, F.lit(old), F.lit(new)) if old else base
+        text = text.when(F.col("o_orderkey") % len(CHANGES) == k, changed)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("value"))
+
+
+def changed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate(changed_texts(spark, sf_dir), "value", "batch", as_of=F.lit(REFERENCE), order_col="o_orderkey")
 
 
 def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,8 +292,8 @@ def file_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tollgate.plans.batch import load_file
 
     root = fresh(spark)
-    lines = changed_orders(spark, sf_dir).select(F.col("raw_payload").alias("value"))
-    lines.coalesce(1).write.text(f"{root}/in")
+    lines = changed_texts(spark, sf_dir).filter(F.length("value") > 1).select("value")
+    lines.unionByName(lines.limit(1).select(F.lit("").alias("value"))).repartition(1).write.text(f"{root}/in")  # with a blank line
     done = [load_file(spark, f"{root}/in/{name}", root, F.lit(REFERENCE)) for name in names_in(spark, f"{root}/in") * 2]
     rows = [(k, r.status, r.manifest["lines"], r.manifest["accepted"], r.quarantined_total) for k, r in enumerate(done)]
     told = spark.createDataFrame(rows, "load long, status string, lines long, accepted long, quarantined long")
@@ -368,6 +382,107 @@ def stream_dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(tables.quarantine(spark, root, "ingest").select(F.col("reason").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def stream_keyed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases of stream_dedup_ingest in one stream of three batches, the ledger in keyed state: verdicts by batch."""
+    root = fresh(spark)
+    base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("body"))
+    other = F.when(F.col("o_orderkey") % 8 == 0, F.replace("body", F.lit('"PLN"'), F.lit('"EUR"'))).otherwise(F.col("body"))
+    for part in (rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 4 = 0").withColumn("body", other), rows.filter("o_orderkey % 2 = 1")):
+        topic.append(topic.messages(part.repartition(4)), f"{root}/topic")
+    keyed.start(topic.stream_topic(spark, root, 4), ParquetSink(root), f"{root}/checkpoint", as_of=F.lit(REFERENCE)).awaitTermination()
+    kept = tables.events(spark, root, "ingest").select("part", F.lit("accepted").alias("kind"))
+    return kept.unionByName(tables.quarantine(spark, root, "ingest").select("part", F.col("reason").alias("kind"))).groupBy("part", "kind").agg(F.count("*").alias("n"))
+
+
+def overlapping_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files: the second repeats purchases of the first, as they were or with another currency, and has new ones."""
+    from tollgate.plans.batch import load_file
+
+    root = fresh(spark)
+    base = F.format_string(PURCHASE_TEXT, "o_orderkey", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("value"))
+    other = F.when(F.col("o_orderkey") % 8 == 0, F.replace("value", F.lit('"PLN"'), F.lit('"EUR"'))).otherwise(F.col("value"))
+    done = []
+    for k, part in enumerate((rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 4 = 0 or o_orderkey % 2 = 1").withColumn("value", other))):
+        part.select("value").repartition(1).write.text(f"{root}/in{k}")
+        done += [load_file(spark, f"{root}/in{k}/{name}", root, F.lit(REFERENCE)) for name in names_in(spark, f"{root}/in{k}")]
+    told = [(k, r.manifest["lines"], r.manifest["accepted"], r.manifest["replayed"], r.quarantined_total) for k, r in enumerate(done)]
+    return spark.createDataFrame(told, "load long, lines long, accepted long, replayed long, quarantined long")
+
+
+def inserts_by_row_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders inserted in three parts that overlap, the last twice: what each part holds in the end."""
+    root = fresh(spark)
+    sink = InsertOnlySink(root)
+    rows = order_events(spark, sf_dir).select("o_orderkey", "event.*", fingerprint(F.col("event")).alias("fingerprint"), F.lit("ingest").alias("stage"))
+    for k, which in enumerate(("o_orderkey % 2 = 0", "o_orderkey % 3 = 0", "o_orderkey % 5 = 0", "o_orderkey % 5 = 0")):
+        sink.write_events(rows.filter(which).drop("o_orderkey"), f"batch-{min(k, 2)}")
+    return tables.events(spark, root).groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("transaction_id").alias("ids"))
+
+
+def native_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract on orders as typed rows, without JSON: the issues of issue_explode."""
+    orders = table(spark, sf_dir, "orders")
+    priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("o_orderpriority")
+    sent = F.convert_timezone(F.lit("UTC"), F.lit("UTC"), F.col("o_orderdate").cast("timestamp_ntz")).cast("timestamp").alias("o_orderdate")
+    rows = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", amount("o_totalprice").alias("o_totalprice"), priority, sent, F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(1)).alias("rush"))
+    one = check_typed(rows, ORDER, F.to_timestamp(F.lit(AS_OF)), ["key"]).select(F.col("key").alias("o_orderkey"), F.explode("issues").alias("i"))
+    return one.select("o_orderkey", F.col("i.field_path").alias("field_path"), F.col("i.error_type").alias("error_type"), reason_for(F.col("i.error_type"), F.col("i.field_path")).alias("reason"))
+
+
+def native_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as typed purchases, some of them broken in nested fields: paths and codes."""
+    key, lines = F.col("o_orderkey"), F.col("items")
+    of = lambda k, new, old: F.when(key % 7 == k, new).otherwise(old)
+    none = F.lit("0.00").cast("decimal(12,2)")
+    item = lambda x, i: F.struct(
+        F.concat(F.lit("P-"), x["l_partkey"].cast("string")).alias("item_id"), of(1, F.lit(""), F.lit("line")).alias("item_name"), F.when((key % 7 == 2) & (i == 0), none).otherwise(x["price"]).alias("price"),
+        F.when((key % 7 == 3) & (i == 0), F.lit(10_001).cast("long")).otherwise(x["quantity"]).alias("quantity"),
+    )
+    made = F.transform(of(4, F.slice(lines, 1, 0), lines), item)
+    total = F.aggregate(made, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x["price"] * x["quantity"].cast("decimal(10,0)")).cast("decimal(38,2)"))
+    value = of(5, (total + 1).cast("decimal(12,2)"), of(6, (-total).cast("decimal(12,2)"), F.greatest(total, F.lit(1)).cast("decimal(12,2)")))
+    rows = items(spark, sf_dir).filter(F.size("items") <= 200).select(
+        "o_orderkey", F.format_string("00000000-0000-4000-8000-%012d", key).alias("event_id"), F.format_string("T-%06d", key).alias("transaction_id"), F.lit("C-1").alias("customer_id"), F.lit("PLN").alias("currency"), value.alias("value"),
+        made.alias("items"), F.to_timestamp(F.lit(AS_OF)).alias("event_timestamp"), F.struct(F.lit("s").alias("source"), F.lit("cpc").alias("medium"), F.lit(None).cast("string").alias("campaign")).alias("traffic_source"),
+    )
+    one = check_typed(rows, as_of=F.lit(REFERENCE), keep=["o_orderkey"]).select("o_orderkey", F.explode("issues").alias("i"))
+    return one.select("o_orderkey", F.col("i.field_path").alias("field_path"), F.col("i.error_type").alias("error_type"))
+
+
+def json_sink_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through the JSON sink, read back as texts: amounts at every depth."""
+    root = fresh(spark)
+    JsonSink(root).write_events(order_events(spark, sf_dir).select("event.*"), "batch-0")
+    rows = spark.read.schema("transaction_id string, value string, items array<struct<price:string>>, part string").json(f"{root}/events")
+    return rows.select("transaction_id", "value", F.col("items")[0]["price"].alias("price"))
+
+
+def publish_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed purchases, each sent twice, published: how many go out, are left out as replays, or are quarantined and why."""
+    root = fresh(spark)
+    rows = changed_texts(spark, sf_dir)
+    twice = rows.withColumn("copy", F.lit(0)).unionByName(rows.withColumn("copy", F.lit(1))).select("value", F.struct("copy", "o_orderkey").alias("place"))
+    told = topic.publish_lines(twice, root, ParquetSink(root), F.lit(REFERENCE))
+    sent = topic.read_topic(spark, root).count()
+    rows = [("published", told["published"]), ("on the topic", sent), ("replays", told["replays_skipped"]), *told["quarantined"].items()]
+    return spark.createDataFrame([(k, int(n)) for k, n in rows], "kind string, n long")
+
+
+def fault_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults laid over orders, by kind."""
+    rows = written(order_purchases(spark, sf_dir), "purchases")
+    config = generator.GeneratorConfig(rows.count(), 0.4, 3, reference_time=REFERENCE)
+    return generator.fault_counts(generator.generate(spark, config, rows))
+
+
+def lax_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of the changed purchases in lax mode, where text may be a whole number."""
+    lax = validate(changed_texts(spark, sf_dir), as_of=F.lit(REFERENCE), mode="lax")
+    return lax.select("o_orderkey", "reason", F.col("event.items")[0]["quantity"].alias("quantity"))
+
+
 def redrive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a bad envelope as dead letters, redriven twice as they fail again: how often each is on the topic."""
     root = fresh(spark)
@@ -383,6 +498,7 @@ def redrive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     dedup_first_per_key, repeat_ordinal, duplicate_count, replay_vs_duplicate, seeded_overlap_load, known_orders, merge_insert, issue_explode, reason_priority,
     quarantine_report, manifest_counts, order_compared, nested_items, value_cross_field, future_timestamp, accepted_summary, day_partition_counts, json_malformed,
+    stream_keyed_ledger, overlapping_loads, inserts_by_row_id, native_issues, native_purchases, json_sink_rows, publish_counts, fault_kinds, lax_codes,
     json_type_mismatch, json_unknown_keys, rule_codes, quarantine_records, file_load, transaction_id_extract, canonical_fingerprint, envelope_roundtrip, purchase_verdicts, stream_dedup_ingest, redrive_roundtrip,
 ]
 QUERIES = {f.__name__: f for f in ALL}
@@ -390,7 +506,7 @@ QUERIES = {f.__name__: f for f in ALL}
 DEC = "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_quantity AS BIGINT)"
 ITEMS = f"SELECT o_orderkey, o_orderstatus, o_totalprice, count(*) AS n_items, CAST(max({DEC}) AS DECIMAL(24,2)) AS largest, CAST(sum({DEC}) AS DECIMAL(38,2)) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL"
 quote = lambda x: "NULL" if x is None else f"'{x}'"
-CHANGED = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quote(codes)}, {quote(reason)}, {len(new) - len(old)})" for k, (old, new, codes, reason) in enumerate(CHANGES)) + ") AS c(k, codes, reason, grown)"
+CHANGED = "SELECT * FROM (VALUES " + ", ".join(f"({k}, {quote(codes)}, {quote(reason)}, {len(new) - len(old)}, {len(new) if old == '*' else 'NULL'})" for k, (old, new, codes, reason) in enumerate(CHANGES)) + ") AS c(k, codes, reason, grown, whole)"
 TOLD = "CASE WHEN o_orderkey > 999999 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END"
 ORACLES = {
     "dedup_first_per_key": f"SELECT * FROM (SELECT {ROWS} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ship_day, l_partkey, l_suppkey) = 1",
@@ -422,8 +538,22 @@ ORACLES = {
     + ", ".join(f"({i}, '{k}', '{generator.FAULTS[k].reason}')" for i, k in enumerate(sorted(generator.FAULTS)))
     + ") AS t(k, fault, reason) WHERE f // 8 + CASE WHEN k < f % 8 THEN 1 ELSE 0 END > 0",
     "rule_codes": f"SELECT o_orderkey, codes, reason, CASE WHEN reason IS NULL THEN '2026-01-14 10:00:00' END AS sent, CASE WHEN reason IS NULL THEN 10.00 END AS price, CASE WHEN reason IS NULL THEN 0.00 END AS discount, CASE WHEN reason IS NULL THEN '0.1.0' END AS version FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k",
-    "quarantine_records": f"SELECT o_orderkey, 'batch' AS stage, reason, '0.1.0' AS contract_version, CASE WHEN reason <> 'malformed_payload' THEN concat('T-', {TOLD}) END AS transaction_id, len(string_split(codes, ',')) AS n_issues, {len(PURCHASE_TEXT) - 9} + 12 + len({TOLD}) + grown AS n_chars FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k WHERE reason IS NOT NULL",
-    "file_load": f"SELECT load, status, lines, accepted, lines - accepted AS quarantined, accepted AS events, lines - accepted AS rejected FROM (SELECT count(*) AS lines, count(*) FILTER (WHERE reason IS NULL) AS accepted FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k), (VALUES (0, 'loaded'), (1, 'skipped')) AS t(load, status)",
+    "quarantine_records": f"SELECT o_orderkey, 'batch' AS stage, reason, '0.1.0' AS contract_version, CASE WHEN reason <> 'malformed_payload' AND whole IS NULL THEN concat('T-', {TOLD}) END AS transaction_id, len(string_split(codes, ',')) AS n_issues, coalesce(whole, {len(PURCHASE_TEXT) - 9} + 12 + len({TOLD}) + grown) AS n_chars FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k WHERE reason IS NOT NULL",
+    "file_load": f"SELECT load, status, lines, accepted, lines - accepted AS quarantined, accepted AS events, lines - accepted AS rejected FROM (SELECT count(*) AS lines, count(*) FILTER (WHERE reason IS NULL) AS accepted FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k WHERE coalesce(whole, 2) > 1), (VALUES (0, 'loaded'), (1, 'skipped')) AS t(load, status)",
     "stream_dedup_ingest": "SELECT 'accepted' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'duplicate_transaction', count(*) FROM orders WHERE o_orderkey % 8 = 0 HAVING count(*) > 0",
+    "stream_keyed_ledger": "SELECT 'batch-0000000000' AS part, 'accepted' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'batch-0000000001', 'duplicate_transaction', count(*) FROM orders WHERE o_orderkey % 8 = 0 UNION ALL SELECT 'batch-0000000002', 'accepted', count(*) FROM orders WHERE o_orderkey % 2 = 1",
+    "overlapping_loads": "SELECT 0 AS load, count(*) AS lines, count(*) AS accepted, 0 AS replayed, 0 AS quarantined FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, count(*), count(*) FILTER (WHERE o_orderkey % 2 = 1), count(*) FILTER (WHERE o_orderkey % 8 = 4), count(*) FILTER (WHERE o_orderkey % 8 = 0) FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 2 = 1",
+    "inserts_by_row_id": "SELECT part, count(*) AS n, count(*) AS ids FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'batch-0' WHEN o_orderkey % 3 = 0 THEN 'batch-1' WHEN o_orderkey % 5 = 0 THEN 'batch-2' END AS part FROM orders) WHERE part IS NOT NULL GROUP BY part",
+    "native_issues": ISSUES,
+    "native_purchases": f"""WITH o AS ({ITEMS}), l AS (SELECT l_orderkey, unnest(range(0, count(*))) AS i FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey AS o_orderkey, concat('items.', i, '.item_name') AS field_path, 'string_too_short' AS error_type FROM l WHERE l_orderkey % 7 = 1 AND l_orderkey IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT o_orderkey, 'items.0.price', 'greater_than' FROM o WHERE o_orderkey % 7 = 2 UNION ALL SELECT o_orderkey, 'items.0.quantity', 'less_than_equal' FROM o WHERE o_orderkey % 7 = 3
+UNION ALL SELECT o_orderkey, 'items', 'too_short' FROM o WHERE o_orderkey % 7 = 4 UNION ALL SELECT o_orderkey, '', 'value_mismatch' FROM o WHERE o_orderkey % 7 = 5 UNION ALL SELECT o_orderkey, 'value', 'greater_than' FROM o WHERE o_orderkey % 7 = 6""",
+    "json_sink_rows": f"SELECT concat('T-', {TOLD}) AS transaction_id, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS value, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM orders",
+    "publish_counts": f"WITH c AS (SELECT reason, count(*) AS n FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k GROUP BY reason) SELECT kind, n FROM c, (VALUES ('published'), ('on the topic'), ('replays')) AS t(kind) WHERE reason IS NULL UNION ALL SELECT reason, 2 * n FROM c WHERE reason IS NOT NULL",
+    "fault_kinds": "WITH o AS (SELECT count(*) AS n, CAST(round_even(count(*) * 0.4, 0) AS BIGINT) AS f FROM orders WHERE CAST(o_totalprice AS DECIMAL(12,2)) > 0) SELECT 'valid' AS fault, n - f AS n FROM o UNION ALL SELECT fault, f // 8 + CASE WHEN k < f % 8 THEN 1 ELSE 0 END FROM o, (VALUES "
+    + ", ".join(f"({i}, '{k}')" for i, k in enumerate(sorted(generator.FAULTS)))
+    + ") AS t(k, fault)",
+    "lax_codes": f"SELECT o_orderkey, CASE WHEN codes <> 'int_type' THEN reason END AS reason, CASE WHEN reason IS NULL OR codes = 'int_type' THEN 2 END AS quantity FROM orders JOIN ({CHANGED}) ON o_orderkey % {len(CHANGES)} = k",
     "redrive_roundtrip": "SELECT event_id, props AS body, 2 AS n, 2 AS redriven FROM events WHERE user_id % 2 <> 0",
 }

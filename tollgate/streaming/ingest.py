@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tollgate.operators.verdict import accepted, accepted_ids, judged, parse, rejected
+from tollgate.plans.report import summarise
 from tollgate.sinks import Sink
 from tollgate.sources import history, tables
 from tollgate.sources.envelope import read_envelopes
@@ -59,6 +60,7 @@ def handler(root: str, sink: Sink, stage: str = "ingest", as_of: Column | None =
             sink.write_events(accepted(verdicts, ["stage"]), part_of(batch_id))
             sink.write_rejected(rejected(verdicts), part_of(batch_id))
             history.remember(accepted_ids(verdicts), root, part_of(batch_id))
+            summarise(verdicts, root, part_of(batch_id))
             verdicts.unpersist()
         finally:
             parsed.unpersist()
