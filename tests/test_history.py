@@ -1,9 +1,11 @@
 import random
 from datetime import UTC, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from tollgate.sinks import InsertOnlySink
+from tollgate.queries import PURCHASE_TEXT
+from tollgate.sinks import InsertError, InsertOnlySink
 from tollgate.sources import history, tables
 
 
@@ -56,3 +58,22 @@ def test_inserts_by_row_id(spark, tmp_path):
     sink.write_rejected(broken(["b", "c"]), "batch-2")
     sink.write_rejected(broken(["b", "c"]), "batch-2")  # a retry replaces its own rows
     assert sorted(r.raw_payload for r in tables.quarantine(spark, root).collect()) == ["a", "b", "c"]
+
+
+def test_refused_inserts_name_the_first_three(spark, tmp_path):
+    sink = InsertOnlySink(f"file://{tmp_path}")
+    rows = spark.createDataFrame([(None, f"T-{k:06d}", None) for k in range(9)], "event_id string, transaction_id string, currency string")
+    with pytest.raises(InsertError) as e:
+        sink.write_events(rows, "batch-0")
+    assert str(e.value).count("no event_id, currency") == 3
+
+
+def test_names_of_folders_and_schemas_agree(spark, tmp_path):
+    from tollgate.plans.batch import load_file
+    from tollgate.plans.schemas import write_schemas
+
+    (tmp_path / "in.txt").write_text("{broken\n" + PURCHASE_TEXT.replace("%012d", f"{1:012d}").replace("%06d", f"{1:06d}") + "\n")
+    load_file(spark, f"{tmp_path}/in.txt", f"file://{tmp_path}/root", F.to_timestamp(F.lit("2026-01-15T00:00:00Z")))
+    assert {p.name for p in (tmp_path / "root").iterdir()} == set(tables.FOLDERS)
+    (tmp_path / "s").mkdir()
+    assert {p.stem for p in write_schemas(tmp_path / "s")} == {"events", "quarantine"} <= set(tables.FOLDERS)

@@ -161,7 +161,7 @@ def order_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons whose number differs between urgent and all orders: a full outer join of counts."""
     urgent = F.col("o_orderpriority") == "1-URGENT"
     found = reason_priority(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", urgent.alias("urgent")), "o_orderkey")
-    both = found.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("urgent").alias("m")).persist()  # a row for each reason
+    both = written(found.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("urgent").alias("m")), "reasons")  # a row for each
     return counts.compared(both.select("reason", "n"), both.filter("m > 0").select("reason", F.col("m").alias("n")))
 
 
