@@ -213,6 +213,38 @@ def with_issues(rows: DataFrame, fields: tuple[Field, ...], doc: str, whole: Col
     Scalars and records are read in layers of plain columns, which are compiled; only lists go element by element. Rows that
     where excludes, and those whose doc is no object, get NULL.
     """
+    out, keep = rows, rows.columns
+    *layers, found = layers_of(fields, doc, whole, as_of, lax, where)
+    for layer in layers:
+        out = out.select(*out.columns, *layer)
+    return out.select(*keep, found.alias(result))
+
+
+_layers: dict[tuple, list] = {}
+
+
+def told(c: Column) -> tuple[str, str]:
+    """An expression as text, without the place in the program that made it, and of a literal the kind of its value too."""
+    node = c._jc.node()
+    if node.getClass().getSimpleName() != "Literal":
+        return node.normalized().toString(), ""
+    value = node.value()
+    return node.normalized().toString(), value.getClass().getName() if hasattr(value, "getClass") else type(value).__name__
+
+
+def layers_of(fields: tuple[Field, ...], doc: str, whole: Column, as_of: Column, lax: bool, where: Column | None) -> list:
+    """The layers of columns of with_issues, and its result. They depend on no rows, so the last ones are kept: building some
+    thousands of expressions takes seconds, which a stream would pay for each batch."""
+    parts = [told(c) if c is not None else None for c in (whole, as_of, where)]
+    key = (fields, doc, lax, *parts, id(F.col("x")._jc._gateway_client), *((n, id(k)) for n, k in sorted(KINDS.items())))
+    if key not in _layers:
+        if len(_layers) >= 32:
+            _layers.clear()
+        _layers[key] = _made_layers(fields, doc, whole, as_of, lax, where)
+    return _layers[key]
+
+
+def _made_layers(fields: tuple[Field, ...], doc: str, whole: Column, as_of: Column, lax: bool, where: Column | None) -> list:
     wanted = F.col(doc).isNotNull() if where is None else where & F.col(doc).isNotNull()
     scalars: list[tuple[Field, str, str]] = []  # field, path in the variant, path in issues
     parts: list[tuple[tuple[Field, ...], str, str]] = [(fields, "$", "")]  # objects, in the order of their issues
@@ -223,15 +255,11 @@ def with_issues(rows: DataFrame, fields: tuple[Field, ...], doc: str, whole: Col
                 parts.append((f.fields, step(at, f.name), f"{named}{f.name}."))
     name = {path: f"__{k}" for k, (_, path, _) in enumerate(scalars)}
     col = lambda path, what: F.col(f"{name[path]}_{what}")
-    keep = rows.columns
     values = [held(F.when(wanted, F.try_variant_get(doc, path, "variant"))).alias(f"{name[path]}_v") for _, path, _ in scalars]
     keys = [held(F.when(wanted, F.map_keys(F.try_variant_get(doc, at, "map<string,variant>")))).alias(f"__keys{k}") for k, (_, at, _) in enumerate(parts)]
-    out = rows.select(*keep, *values, *keys)
     read = [c for _, path, _ in scalars for c in (held(as_text(col(path, "v"))).alias(f"{name[path]}_t"), held(kind(col(path, "v"))).alias(f"{name[path]}_k"))]
-    out = out.select(*out.columns, *read)
     sizes = [held(F.when(F.trim(col(path, "t")).rlike(DECIMAL), digits(F.trim(col(path, "t"))))).alias(f"{name[path]}_d") for f, path, _ in scalars if f.kind == "money"]
     lists = [held(F.when(col(path, "v").isNotNull(), list_issues(f, col(path, "v"), col(path, "k"), named, as_of, lax))).alias(f"{name[path]}_i") for f, path, named in scalars if f.kind == "records"]
-    out = out.select(*out.columns, *sizes, *lists)
     none = F.array().cast(f"array<{ISSUE.simpleString()}>")
 
     def of_part(k: int, within: Column) -> list[Column]:
@@ -256,7 +284,7 @@ def with_issues(rows: DataFrame, fields: tuple[Field, ...], doc: str, whole: Col
         return [*found, F.when(F.size(extra) > 0, told).otherwise(none)]
 
     found = F.when(wanted & F.col("__keys0").isNotNull(), F.concat(*of_part(0, whole)))
-    return out.select(*keep, held(found).alias(result))
+    return [[*values, *keys], read, [*sizes, *lists], held(found)]
 
 
 def list_issues(f: Field, value: Column, of: Column, at: str, as_of: Column, lax: bool) -> Column:
