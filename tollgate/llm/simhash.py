@@ -297,9 +297,9 @@ def likes(cells: DataFrame, texts: DataFrame, labels: DataFrame | None = None, b
     pair = lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)
     members = cells.join(kept, "cell").select("row", "fp", "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("pair"))
     members = stored(members, "members")
-    # Written, its size is known: a small one is broadcast by Spark, which spares the texts a shuffle.
+    # The same join at every size: no broadcast that a larger table would turn into a shuffle of the texts.
     few = stored(members.select("row").distinct(), "wanted")
-    wanted = texts.join(few, "row", "left_semi")
+    wanted = texts.join(few.hint("shuffle_hash"), "row", "left_semi")
     sets = add_columns(wanted, "text", [T.StructField("kinds", T.ArrayType(T.LongType()))], lambda some: [[np.unique(shingled(t, SHINGLE)).view(np.int64) for t in some]])
     told = members.join(sets.select("row", "kinds"), "row").select("cell", "pair", "fp", "kinds")
     found = stored(told.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(_likes, "u bigint, v bigint").distinct(), "likes")
@@ -342,4 +342,4 @@ def near_deduplicated(documents: DataFrame, text_col: str = "text", id_col: str
     kept = stored(kept.select("first.row"), "kept")
     for done in (prints, firsts, cells, some, before, more, labels):
         discard(spark, done)
-    return rows.join(kept, "row", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
+    return rows.join(kept.hint("shuffle_hash"), "row", "left_semi").select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
