@@ -22,15 +22,28 @@ from tollgate.llm.queries import bpe_digests, language_model, secret_key
 from tollgate.llm.simhash import near_deduplicated
 
 
+#: Bytes of an Arrow batch of the stages that run Python. Spark's own bound, for each task and direction, is eight times that.
+BATCH, USUAL = "8m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's bound on Arrow batches, unless it has one other than Spark's own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == USUAL:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return understood(docs, language_model(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,6 +55,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe_digests(docs)
 
 
