@@ -1,9 +1,10 @@
 """Ingestion with the ledger in keyed state: what an id was first accepted with is held by Spark's state store.
 
-A batch costs what its own rows cost, however much was accepted before: no earlier event is read. The state is keyed by
-transaction id, kept in RocksDB and in the checkpoint, and may start from the events that a table already has. Only the
-state before the batch comes from it; which of a batch's rows of an id is the first is found as in batch mode, so the
-verdicts are the same, and an id that holds a third of a batch streams through its task without being gathered.
+A batch costs what its own rows cost, however much was accepted before: no earlier event is read. The state is a map
+of transaction ids for each hash bucket, kept in RocksDB and in the checkpoint, and may start from the events that a table
+already has. Only the state before the batch comes from it; which of a batch's rows of an id is the first is found as in
+batch mode, so the verdicts are the same, and an id that holds a third of a batch streams through its task without being
+gathered.
 
 The state of a batch is committed after foreachBatch has written its rows. A batch that fails is repeated from the state
 before it and overwrites its own parts, so rows are neither lost nor doubled.
@@ -24,34 +25,40 @@ from tollgate.operators.verdict import accepted, judged, parse, rejected
 from tollgate.sinks import Sink
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-#: Rows that reserve no id are dealt over so many keys of their own, which hold no state.
-LOOSE = 4096
+#: Buckets that ids are dealt to by hash; a state keeps the number that it began with.
+BUCKETS = 2048
 ROW = T.StructType([T.StructField(n, T.StringType()) for n in ("arrival", "raw_payload", "transaction_id", "event", "fingerprint", "issues", "before")])
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
-class FirstDigest(StatefulProcessor):
-    """Each row with the fingerprint that its id had before the batch; the batch's first is remembered if there is none."""
+class FirstDigests(StatefulProcessor):
+    """Each row with the fingerprint that its id had before the batch; the batch's first is remembered if there is none.
+
+    The ids of a bucket are a map in its state, so a bucket's rows go through in frames, and an id costs one look-up a batch.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "fingerprint string")
+        self.first = handle.getMapState("first", "id string", "fingerprint string")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
-        self.first.update((initialState["fingerprint"].iloc[0],))
+        for i, fingerprint in zip(initialState["id"], initialState["fingerprint"], strict=True):
+            self.first.updateValue((i,), (fingerprint,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        before = self.first.get()[0] if self.first.exists() else None
-        least: tuple[str, str] | None = None
+        before: dict[str, str | None] = {}
+        least: dict[str, tuple[str, str]] = {}
         for part in rows:
-            if before is None:
-                clean = part[part["fingerprint"].notna()]
-                if len(clean):
-                    at = clean["arrival"].idxmin()
-                    new = (clean["arrival"][at], clean["fingerprint"][at])
-                    least = new if least is None else min(least, new)
-            yield part[ROW.names[:-1]].assign(before=before)
-        if least is not None:
-            self.first.update((least[1],))
+            clean = part[part["fingerprint"].notna() & part["transaction_id"].notna()]
+            clean = clean.sort_values("arrival").drop_duplicates("transaction_id")
+            for i, arrival, fingerprint in zip(clean["transaction_id"], clean["arrival"], clean["fingerprint"], strict=True):
+                if i not in before:
+                    before[i] = self.first.getValue((i,))[0] if self.first.containsKey((i,)) else None
+                if before[i] is None:
+                    least[i] = min(least.get(i, (arrival, fingerprint)), (arrival, fingerprint))
+            known = [before.get(i) if f is not None else None for i, f in zip(part["transaction_id"], part["fingerprint"], strict=True)]
+            yield part[ROW.names[:-1]].assign(before=pd.Series(known, index=part.index, dtype=object))
+        for i, (_, fingerprint) in least.items():
+            self.first.updateValue((i,), (fingerprint,))
 
     def close(self) -> None:
         pass
@@ -63,6 +70,10 @@ def arrivals(published: Column, message_id: Column, body: Column) -> Column:
     return F.concat_ws("|", when, F.coalesce(message_id, F.lit("")), F.hex(F.xxhash64(body)))
 
 
+def bucket(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("string")
+
+
 def with_state(messages: DataFrame, as_of: Column | None = None, known: DataFrame | None = None, body: str = "body", published: str = "published_at") -> DataFrame:
     """A stream of messages, parsed, with before: the fingerprint of the id before the batch.
 
@@ -70,12 +81,12 @@ def with_state(messages: DataFrame, as_of: Column | None = None, known: DataFram
     """
     told = messages.withColumn("arrival", arrivals(F.col(published), F.col("message_id"), F.col(body)))
     rows = parse(told, body, as_of).select("arrival", "raw_payload", "transaction_id", "event", "fingerprint", "issues")
+    # Rows that reserve no id go to any bucket.
     reserves = F.col("fingerprint").isNotNull() & F.col("transaction_id").isNotNull()
-    loose = F.concat(F.lit("\n"), F.pmod(F.xxhash64("raw_payload", "arrival"), F.lit(LOOSE)).cast("string"))
-    key = F.when(reserves, F.col("transaction_id")).otherwise(loose)
+    key = bucket(F.when(reserves, F.col("transaction_id")).otherwise(F.concat("arrival", F.coalesce("raw_payload", F.lit("")))))
     flat = [F.to_json(c, TIMES).alias(c) if c in ("event", "issues") else c for c in ROW.names[:-1]]
-    start = None if known is None else known.select(F.col("transaction_id").alias("key"), "fingerprint").groupBy("key")
-    out = rows.withColumn("key", key).select("key", *flat).groupBy("key").transformWithStateInPandas(FirstDigest(), ROW, "append", "none", start)
+    start = None if known is None else known.select(bucket(F.col("transaction_id")).alias("key"), F.col("transaction_id").alias("id"), "fingerprint").groupBy("key")
+    out = rows.withColumn("key", key).select("key", *flat).groupBy("key").transformWithStateInPandas(FirstDigests(), ROW, "append", "none", start)
     event = F.from_json("event", PURCHASE.schema, TIMES)
     issues = F.from_json("issues", T.ArrayType(ISSUE), TIMES)
     return out.withColumns({"event": event, "issues": F.coalesce(issues, F.array().cast(T.ArrayType(ISSUE)))})
