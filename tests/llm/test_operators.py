@@ -645,6 +645,14 @@ def test_all_names_of_an_element_count():
     assert wrappers.extract(page) == "Story"
 
 
+def test_a_name_is_told_by_its_head():
+    kept = ["legal-history", "share-prices", "search_engines", "login-theory", "has-sidebar", "menu-engineering", "advert-law", "comment-culture"]
+    body = "".join(f"<section class='{n}'><p>About {n}</p></section>" for n in kept)
+    gone = ["ad", "ad-slot-12", "cookie-notice", "sidebar-left", "site-footer__inner", "share-buttons", "related-articles", "comment-list", "x y:widget", "menu-item-77"]
+    rest = "".join(f"<div class='{n}'><p>Gone {n}</p></div>" for n in gone)
+    assert wrappers.extract(f"<body><article><p>Story</p>{rest}{body}</article></body>") == "\n\n".join(["Story", *(f"About {n}" for n in kept)])
+
+
 def test_closes_below_deep_nesting():
     for deep in (10, 100, 5000):
         inner = "<div>" * deep + "quote<nav>Menu</nav><div class='advert'>Buy</div>" + "</div>" * deep

@@ -62,6 +62,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "o
 LISTS = set("ul ol dl table menu select".split())
 ASIDE_TAGS = set("nav footer aside form button select dialog menu head search fieldset".split())
 ASIDE_NAMES = set("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that say where or how a part stands, not what it is: a name's kind is the last of its other words.
+PLACE_WORDS = set("0 area articles author bar block body bottom box btn button buttons center cell col column container content copyright div elem field form full group header heading holder icon icons inner item items label left link links list meta outer panel part pane posts primary right row secondary section slot small sticky stories text title top unit wide wrap wrapper zone".split())
+#: Words before a name that make it a state of the layout: "has-sidebar" is none.
+STATE_WORDS = set("has no with without".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 MAIN_NAMES = set("article articlebody content entry post story maincontent main".split())
 
@@ -91,10 +95,18 @@ def signature(tag: str, attributes: str) -> tuple[str, bool]:
     return labelled(label.replace("*", "-"), tag, {w for n in names for w in n.split(".")}, role), hidden
 
 
+def names_aside(name: str) -> bool:
+    """Whether a name tells a part that is no article: "cookie-notice" and "sidebar-left" do, "legal-history" does not."""
+    words = [w for w in re.split(r"[-_:]+", name) if w]
+    while words and (words[-1] in PLACE_WORDS or not words[-1].strip("0")):
+        words.pop()
+    return bool(words) and words[-1] in ASIDE_NAMES and not (len(words) > 1 and words[-2] in STATE_WORDS)
+
+
 def labelled(label: str, tag: str, names: set[str], role: str) -> str:
     """label with "*" and the kind of part: a for asides, 0 for articles, 1 for main elements, 2 for those named as content."""
     words = {w for n in names for w in re.split(r"[-_:]+", n)}
-    aside = role in ASIDE_ROLES or words & ASIDE_NAMES and tag not in ("html", "body", "article", "main")
+    aside = role in ASIDE_ROLES or any(map(names_aside, names)) and tag not in ("html", "body", "article", "main")
     main = "0" if tag == "article" or "articlebody" in names else "1" if tag == "main" or role == "main" else "2" if words & MAIN_NAMES and tag in ("div", "section", "td") else ""
     kind = ("a" if aside else "") + main
     return f"{label}*{kind}" if kind else label
