@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -414,6 +415,36 @@ def test_pseudonyms_by_brute_force(spark):
         private.pseudonymised(rows, "k", "words")
 
 
+def test_pseudonyms_of_many_formats(spark):
+    """Each text, and a pattern that its pseudonym fits while it is another text."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"
+    cases = [
+        ("mail 田中@example.jp", r"mail [\u4e00-\u9fff]{2}@example\.jp"), ("иван@почта.рф", r"[а-я]{4}@почта\.рф"), ("müller@x.de", r"[a-z][ø-ÿ][a-z]{4}@x\.de"),
+        ("联系a1@b.com谢谢", r"联系[a-z][0-9]@b\.com谢谢"), ("a@b.xn--p1ai", r"[a-z]@b\.xn--p1ai"), ("+48 601 234 567", r"\+48 \d{3} \d{3} \d{3}"), ("+33 1 23 45 67 89", r"\+33 \d \d\d \d\d \d\d \d\d"),
+        ("+351 912 345 678", r"\+351 \d{3} \d{3} \d{3}"), ("+48.601.234.567", r"\+48\.\d{3}\.\d{3}\.\d{3}"), ("SSN: 123456789", r"SSN: \d{9}"), ("phone number 5551234567.", r"phone number \d{10}\."),
+        ("at 2001:db8::8a2e:370:7334 now", r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} now"), ("FE80:0:0:0:1:2:3:4", r"[0-9A-F]{4}(:[0-9A-F]){7}"), ("fe80::1", r"[0-9a-f]{4}::[0-9a-f]"),
+        ("born March 3, 1999.", r"born [A-Z][a-z]+ \d\d?, \d{4}\."), ("3 March 1999", r"\d\d? [A-Z][a-z]+ \d{4}"), ("1999/03/04", r"(19|20)\d\d/\d\d/\d\d"), ("May 03, 1850", r"[A-Z][a-z]+ \d\d, \d{4}"),
+        ("aB1" * 14, r"[0-9A-F]{42}"), ("my sk-abcdefghijklmnopqrst", r"my sk-[a-z]{20}"), ("sk-proj-Abc_def-1234567890xyz", r"sk-proj-[A-Z][a-z]{2}_[a-z]{3}-\d{10}[a-z]{3}"), ("github_pat_11ABCDEFG0123_abcdefghijk", r"github_pat_\d\d[A-Z]{7}\d{4}_[a-z]{11}"),
+        (jwt, re.sub(r"[0-9A-Za-z]+", lambda m: rf"[0-9A-Za-z]{{{len(m[0])}}}", jwt).replace(".", r"\.")),
+    ]
+    clear = ["5551234567", "601 234 567", "std::sort a1::b2 12:30:45", "abcd::efab", "February 30, 1999", "in March 1999", "+5 10 15", "x@y", "@b.com", "eyJ.eyJ.x", "phone 12345678901"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([c for c, _ in cases] + clear)], "id int, text string")
+    got = {r.id: (r.text, r.n_private) for r in private.pseudonymised(rows, "k").collect()}
+    for k, (old, fits) in enumerate(cases):
+        assert re.fullmatch(fits, got[k][0]) and got[k][0] != old and got[k][1] == 1, (old, got[k])
+    for k, old in enumerate(clear, len(cases)):
+        assert got[k] == (old, 0)
+    same = spark.createDataFrame([(0, "1999-03-03"), (1, "March 3, 1999"), (2, "+48 601 234 567"), (3, "+48-601-234-567")], "id int, text string")
+    same = [r.text for r in private.pseudonymised(same, "k").orderBy("id").collect()]
+    assert pd.Timestamp(same[0]) == pd.Timestamp(same[1]) and same[2].replace(" ", "-") == same[3]
+
+
+def test_letters_are_permuted_without_clash(spark):
+    rows = spark.range(0x4E00, 0x9FFF + 1).selectExpr("id", "decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE') AS c")
+    got = rows.select("c", private.swapped_letters(F.concat("c", F.lit("-"), "c"), F.lit("k")).alias("n")).collect()
+    assert len({r.n for r in got}) == len(got) == 20992 and all(r.n[1] == "-" and r.n[0] != r.c for r in got)
+
+
 def test_dates_are_permuted_without_clash(spark):
     days = spark.sql("SELECT explode(sequence(DATE '1890-01-01', DATE '1910-12-31')) AS d").selectExpr("CAST(d AS STRING) AS text")
     got = [(r.old, r.text) for r in private.pseudonymised(days.withColumn("old", F.col("text")), "k").collect()]
