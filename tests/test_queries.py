@@ -40,5 +40,15 @@ def test_ids_of_more_than_six_places(spark, tmp_path):
     assert plain(entry.queries()["transaction_id_extract"](spark, str(tmp_path)).select("event_id", "transaction_id").collect()) == plain(want)
 
 
+def test_no_batch_of_a_stream_is_one_task(spark, tmp_path, monkeypatch):
+    for k in range(4):
+        spark.range(k * 50, k * 50 + 50, 1, 1).withColumnRenamed("id", "o_orderkey").write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    dealt, append = [], entry.own.topic.append
+    monkeypatch.setattr(entry.own.topic, "append", lambda rows, path: (dealt.append(rows.rdd.getNumPartitions()), append(rows, path)))
+    got = entry.queries()["stream_dedup_ingest"](spark, str(tmp_path))
+    assert {r.kind: r.n for r in got.collect()} == {"accepted": 200, "duplicate_transaction": 25}
+    assert len(dealt) == 3 and min(dealt) > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
