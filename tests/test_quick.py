@@ -39,3 +39,27 @@ def test_a_document_is_the_whole_text(spark):
     texts = {"{}": True, ' {"a":[1]}\n': True, "{} x": False, '1,"r":2': False, "{}{}": False, "": False, "[" * 3: False, '{"r":1}': True, "nul": False, "7": True}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", document(F.col("t")).isNotNull().alias("ok")).collect()
     assert {r.t: r.ok for r in got} == texts
+
+
+def cached_when_judged(spark, monkeypatch, module):
+    """A list that gets, for each time that module judges rows, how many partitions are cached, and of how many."""
+    seen, judge = [], module.judged
+
+    def spy(*args, **more):
+        seen.append([(x.numCachedPartitions(), x.numPartitions()) for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()])
+        return judge(*args, **more)
+
+    monkeypatch.setattr(module, "judged", spy)
+    return seen
+
+
+def test_published_lines_are_parsed_before_they_are_read_twice(spark, monkeypatch, tmp_path):
+    from tollgate.sinks import ParquetSink
+    from tollgate.streaming import topic
+
+    spark.catalog.clearCache()
+    seen = cached_when_judged(spark, monkeypatch, topic)
+    lines = spark.range(0, 40, 1, 4).select(F.format_string(queries.PURCHASE_TEXT, "id", "id").alias("value"), F.col("id").alias("place"))
+    told = topic.publish_lines(lines, str(tmp_path), ParquetSink(str(tmp_path)), F.lit(queries.REFERENCE))
+    assert told == {"published": 40, "replays_skipped": 0, "quarantined": {}}
+    assert seen == [[(4, 4)]]
