@@ -84,3 +84,40 @@ def test_half_characters_are_malformed(spark):
     cases = {r'"\ud800"': True, r'"😀"': False, r'"\udc00\ud800"': True, r'"\\ud800"': False, r'"\\\ud800"': True, '"x"': False, r'"😀\uDE00"': True}
     rows = spark.createDataFrame(list(cases.items()), "t string, want boolean")
     assert rows.filter(lone_surrogate(F.col("t")) != F.col("want")).count() == 0
+
+
+class Kept:
+    """A state as the ledger calls it, with the number of calls."""
+
+    def __init__(self):
+        self.map, self.value, self.calls = {}, None, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "getValue": lambda k: self.map[k], "updateValue": self.map.__setitem__, "iterator": lambda: iter(list(self.map.items()))}[name]
+
+
+def test_a_call_to_the_state_is_for_many_ids(spark):
+    import pandas as pd
+
+    ledger = keyed.FirstDigests()
+    ledger.first, ledger.size = Kept(), Kept()
+    seen: dict[str, str] = {}
+    for n, ids in enumerate([range(3000), range(2990, 3010), range(0, 9000, 3), [5, 5, 100_000], range(20_000)]):
+        rows = pd.DataFrame([(f"{k:06d}", "raw", f"T-{i}\n\"", "{}", f"f{i}-{n}", "[]") for k, i in enumerate(ids)], columns=keyed.ROW.names[:-1])
+        got = pd.concat(ledger.handleInputRows(("1",), iter([rows[:1000], rows[1000:]]), None))
+        assert got["before"].where(got["before"].notna(), None).tolist() == [seen.get(i) for i in rows["transaction_id"]]
+        for i, f in zip(rows["transaction_id"], rows["fingerprint"]):
+            seen.setdefault(i, f)
+        if n == 0:
+            assert ledger.first.calls + ledger.size.calls < 3000 / 30
+    assert len(seen) == ledger.size.value[0] == 20_001
+    assert max(len(text) for (text,) in ledger.first.map.values()) < 30 * 4 * keyed.PAGE_IDS
+
+
+def test_batches_are_dealt_before_they_are_parsed(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    topic.append(batch(spark, [(n, "PLN") for n in range(100)]), f"{root}/topic")
+    query = run(spark, root, ParquetSink(root))
+    plan = query._jsq.streamingQuery().lastExecution().executedPlan().toString() if hasattr(query._jsq, "streamingQuery") else query._jsq.lastExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and tables.events(spark, root).count() == 100
