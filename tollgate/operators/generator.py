@@ -46,17 +46,24 @@ CAMPAIGNS = [None, "autumn", "clearance", "members", None]
 SHIPPING = ["0.00", "3.50", "7.25", "12.80"]
 
 
+#: Events that are made for one config; those that are given are as many as they are.
+MOST_MADE = 10_000_000
+
+
 @dataclass(frozen=True)
 class GeneratorConfig:
+    """What is made, or for given events what is laid over them: count is then their number, which has no bound."""
+
     count: int
     error_rate: float = 0.0
     seed: int = 0
     faults: tuple[str, ...] = tuple(FAULTS)
     reference_time: datetime = field(default_factory=lambda: datetime.now(UTC))
+    given: bool = False
 
     def __post_init__(self) -> None:
-        if not 1 <= self.count <= 10_000_000:
-            raise ValueError("count must be within 1 to 10,000,000")
+        if self.count < 1 or (self.count > MOST_MADE and not self.given):
+            raise ValueError("count must be 1 or more" if self.given else f"count must be within 1 to {MOST_MADE:,}")
         if not 0 <= self.error_rate <= 1:
             raise ValueError("error_rate must be within 0 to 1")
         if not 0 <= self.seed <= 2**32:
@@ -136,6 +143,8 @@ def generate(spark: SparkSession, config: GeneratorConfig, events: DataFrame | N
 
     events: config.count rows of index (from 0, each once) and event, as valid_events() has them, in place of new ones.
     """
+    if config.given and events is None:
+        raise ValueError("the config is for given events, and there are none")
     rows = (valid_events(spark, config) if events is None else events).join(fault_plan(spark, config, events), "index")
     event, fault = F.col("event"), F.col("fault")
     # A duplicate takes the id of the last valid row before it; runs of faults are short, so a few candidates are tried.
